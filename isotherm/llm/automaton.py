@@ -74,6 +74,13 @@ class Automaton:
                 at = to
             self.label_at[at] = label
 
+    @classmethod
+    def of(cls, tables: dict) -> Automaton:
+        """From the tables of a compiled one (its ``vars``), as tasks get them."""
+        new = cls.__new__(cls)
+        vars(new).update(tables)
+        return new
+
     def had(self, state: int, label: int, time: int) -> bool:
         """Whether the arc was there just before the merge of rank ``time`` was compiled."""
         while True:
@@ -182,10 +189,11 @@ class Codec:
 
 
 def _encoded(docs: DataFrame, tokenizer_path: str, schema: str, row) -> DataFrame:
-    loaded = docs.sparkSession.sparkContext.broadcast(load_automaton(tokenizer_path))
+    automaton, specials = load_automaton(tokenizer_path)
+    loaded = docs.sparkSession.sparkContext.broadcast((vars(automaton), specials))
 
     def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        codec = Codec(*loaded.value)
+        codec = Codec(Automaton.of(loaded.value[0]), loaded.value[1])
         names = [c.split(" ")[0] for c in schema.split(", ")]
         for batch in batches:
             got = [row(*codec.encode(t)) for t in batch["text"]]

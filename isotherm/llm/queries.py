@@ -9,13 +9,21 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .automaton import bpe_digest
 from .common import table
+from .licenses import license_scan
+from .licenses import oracle as license_oracle
+from .sharding import shard
 from .token_counts import token_counts
+from .toxicity import toxicity
 
 WORD_BPE, BYTE_BPE = "word_bpe_49k.json", "byte_bpe_50k.json"
 #: Tokens that a document may have in op6.
 TOKEN_LIMIT = 1024
 
 
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan(table(spark, sf_dir, "documents"))
+
+
 def op3_bpe_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_digest(table(spark, sf_dir, "documents"), public_tokenizers.path(WORD_BPE))
 
@@ -25,12 +33,23 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.withColumn("over_limit", counts["n_tokens"] > TOKEN_LIMIT)
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shard(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_license_scan": op1_license_scan,
         "op3_bpe_automaton": op3_bpe_automaton,
         "op6_token_counts": op6_token_counts,
+        "op7_toxicity": op7_toxicity,
+        "op9_sharding": op9_sharding,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_license_scan": license_oracle()}
