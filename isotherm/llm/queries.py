@@ -6,13 +6,16 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .automaton import bpe_digest
 from .common import table
+from .embedding_dedup import near_vectors
 from .licenses import license_scan
 from .licenses import oracle as license_oracle
 from .sharding import shard
 from .token_counts import token_counts
+from .topk import top_k
 from .toxicity import toxicity
 
 WORD_BPE, BYTE_BPE = "word_bpe_49k.json", "byte_bpe_50k.json"
@@ -28,6 +31,10 @@ def op3_bpe_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_digest(table(spark, sf_dir, "documents"), public_tokenizers.path(WORD_BPE))
 
 
+def op5_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE))
     return counts.withColumn("over_limit", counts["n_tokens"] > TOKEN_LIMIT)
@@ -37,19 +44,41 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op8_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(table(spark, sf_dir, "embeddings"), threshold=0.98)
+
+
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard(table(spark, sf_dir, "documents"))
 
 
+TOP_K_SQL = """
+with v as (select vec_id, list_transform(embedding, lambda x: floor(x::double * 256)) as e from embeddings
+  where vec_id is not null and embedding is not null and len(embedding) > 0 and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+s as (select q.vec_id as query_id, c.vec_id, cast(list_inner_product(q.e, c.e) as bigint) as score from v q join v c on q.vec_id % 50 = 0 and c.vec_id <> q.vec_id),
+r as (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from s)
+select query_id, cast(rank as integer) as rank, vec_id, score from r where rank <= 5
+"""
+NEAR_SQL = """
+with recursive v as (select vec_id, label, list_transform(embedding, lambda x: x::double) as e from embeddings where label is not null),
+links as (select a.vec_id as a, b.vec_id as b from v a join v b on a.label = b.label and a.vec_id <> b.vec_id where list_cosine_similarity(a.e, b.e) >= 0.98),
+reach(a, b) as (select vec_id, vec_id from embeddings union select r.a, l.b from reach r join links l on r.b = l.a),
+roots as (select a, min(b) as component_id from reach group by a)
+select e.vec_id, (select count(*) from links l where l.a = e.vec_id) as n_links, component_id, e.vec_id = component_id as kept from embeddings e join roots on a = e.vec_id
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_license_scan": op1_license_scan,
         "op3_bpe_automaton": op3_bpe_automaton,
+        "op5_exact_topk": op5_exact_topk,
         "op6_token_counts": op6_token_counts,
         "op7_toxicity": op7_toxicity,
+        "op8_embedding_dedup": op8_embedding_dedup,
         "op9_sharding": op9_sharding,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_license_scan": license_oracle()}
+    return {"op1_license_scan": license_oracle(), "op5_exact_topk": TOP_K_SQL, "op8_embedding_dedup": NEAR_SQL}
