@@ -14,6 +14,7 @@ from .embedding_dedup import near_vectors
 from .licenses import license_scan
 from .licenses import oracle as license_oracle
 from .sharding import shard
+from .suffix_dedup import repeats
 from .token_counts import token_counts
 from .topk import top_k
 from .toxicity import toxicity
@@ -52,6 +53,10 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard(table(spark, sf_dir, "documents"))
 
 
+def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats(table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 TOP_K_SQL = """
 with v as (select vec_id, list_transform(embedding, lambda x: floor(x::double * 256)) as e from embeddings
   where vec_id is not null and embedding is not null and len(embedding) > 0 and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
@@ -77,6 +82,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op7_toxicity": op7_toxicity,
         "op8_embedding_dedup": op8_embedding_dedup,
         "op9_sharding": op9_sharding,
+        "op10_suffix_array_dedup": op10_suffix_array_dedup,
     }
 
 
