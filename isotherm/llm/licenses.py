@@ -6,7 +6,7 @@ at least its priority contains its interval of words (of equal intervals the one
 that comes first, stays). What is left gives the labels and, as the highest weight, the score.
 
 Rules are written as units that stand for one word each: a regex without blanks; ``?unit`` may be missing; ``*3`` stands
-for up to three words of any kind. DataFrame functions only; texts without a keyword aren't shuffled, the others' hits are.
+for up to three words of any kind. DataFrame functions only; texts are read once and aren't shuffled, their hits are.
 
 Defined cases: null or empty text has no words, labels '' and score 0; null and repeated ids stay row by row; an empty
 table gives an empty result; whole texts are scanned; further columns are ignored.
@@ -36,7 +36,6 @@ mit | 3 | permission is hereby granted free of charge to any person obtaining a
 mit | 3 | the above copyright notice and this permission notice shall be included in all copies
 mit | 2 | mit style licen[cs]e
 mit | 2 | expat licen[cs]e
-mit | 2 | mit x11 ?licen[cs]e
 mit-0 | 3 | mit no attribution ?licen[cs]e
 x11 | 2 | x11 licen[cs]e
 isc | 3 | permission to use copy modify and ?or distribute this software for any purpose
@@ -154,22 +153,22 @@ unlicense | 4 | this is free and unencumbered software released into the public
 unlicense | 3 | the unlicense
 unlicense | 2 | unlicense
 cc0 | 4 | creative commons zero
-cc0 | 4 | cc0 1 0 ?universal
-cc0 | 3 | cc0
+cc0 | 4 | cc0 1 0 universal
+cc0 | 3 | licen[cs]ed *3 cc0
 cc-by | 4 | creative commons attribution ?licen[cs]e
 cc-by | 4 | creative commons attribution [1234] ?[05] ?international ?licen[cs]e
-cc-by | 3 | cc by [1234] [05]
+cc-by | 3 | licen[cs]ed *3 cc by [1234] [05]
 cc-by-sa | 4 | creative commons attribution share ?alike
 cc-by-sa | 4 | creative commons attribution sharealike
-cc-by-sa | 3 | cc by sa
+cc-by-sa | 3 | licen[cs]ed *3 cc by sa
 cc-by-nc | 4 | creative commons attribution non ?commercial
 cc-by-nc | 4 | creative commons attribution noncommercial
-cc-by-nc | 3 | cc by nc
-cc-by-nc-sa | 4 | cc by nc sa
-cc-by-nc-nd | 4 | cc by nc nd
+cc-by-nc | 3 | licen[cs]ed *3 cc by nc
+cc-by-nc-sa | 4 | licen[cs]ed *3 cc by nc sa
+cc-by-nc-nd | 4 | licen[cs]ed *3 cc by nc nd
 cc-by-nd | 4 | creative commons attribution no ?derivatives
 cc-by-nd | 4 | creative commons attribution noderivatives
-cc-by-nd | 3 | cc by nd
+cc-by-nd | 3 | licen[cs]ed *3 cc by nd
 cc | 2 | creative commons ?licen[cs]e
 odbl | 4 | open database licen[cs]e
 odc-by | 4 | open data commons attribution licen[cs]e
@@ -185,7 +184,7 @@ apsl | 4 | apple public source licen[cs]e
 cecill | 4 | cecill ?free ?software licen[cs]e
 cecill | 3 | cecill
 mulan | 4 | mulan ?permissive ?software licen[cs]e
-openrail | 4 | open ?responsible ?ai rail
+openrail | 4 | responsible ai licen[cs]e
 openrail | 4 | openrail ?m ?licen[cs]e
 llama | 4 | llama *2 community licen[cs]e
 gemma | 3 | gemma terms of use
@@ -232,6 +231,9 @@ grant | 1 | subject to the following conditions
 #: Identifiers that follow an SPDX tag, as words, by label; a rule is made for each.
 SPDX = {"mit": "mit", "apache": "apache 2 0", "gpl": "gpl [123] 0", "lgpl": "lgpl [23] [01]", "agpl": "agpl 3 0", "bsd": "bsd [0234] clause", "mpl": "mpl 2 0", "epl": "epl [12] 0", "cddl": "cddl 1 [01]", "isc": "isc", "zlib": "zlib", "unlicense": "unlicense", "cc0": "cc0 1 0", "cc-by": "cc by [1234] [05]", "boost": "bsl 1 0", "wtfpl": "wtfpl", "artistic": "artistic [12] 0", "ofl": "ofl 1 [01]", "eupl": "eupl 1 [012]", "upl": "upl 1 0", "postgresql": "postgresql", "ncsa": "ncsa", "afl": "afl [123] [01]", "osl": "osl [123] [01]", "ms-pl": "ms pl", "ms-rl": "ms rl", "blueoak": "blueoak 1 0 0", "odbl": "odbl 1 0", "lppl": "lppl 1 3c?", "zope": "zpl 2 [01]", "busl": "busl 1 1", "elastic": "elastic 2 0", "sspl": "sspl 1 0", "python": "psf 2 0", "php": "php 3 01?", "hpnd": "hpnd", "mit-0": "mit 0", "x11": "x11", "curl": "curl", "openssl": "openssl"}
 
+#: Words too common to tell a license by; only the choice of gate words hangs on them.
+COMMON = set("the and for not all with only later version style model source open itself neither free same use under you may any name terms see purpose conditions community".split())
+
 
 def compile_rule(rule: str) -> tuple[str, str]:
     """The rule as a regex over words that each stand between blanks of their own, and the longest word that it needs.
@@ -250,18 +252,37 @@ def compile_rule(rule: str) -> tuple[str, str]:
     return out, needed
 
 
-def rules() -> list[tuple[int, str, int, str, str]]:
-    """(number, label, priority, regex, keyword) in order, the base phrases first."""
+def rules(raw: bool = False) -> list[tuple[int, str, int, str, str]]:
+    """(number, label, priority, regex, keyword) in order, the base phrases first; ``raw``: as written, not as regexes."""
     lines = [(label, 2, phrase) for phrase, label in BASE.items()]
     lines += [(label, int(priority), rule) for label, priority, rule in (re.split(r" \| ", x, maxsplit=2) for x in RULES.strip().splitlines())]
     lines += [(label, 4, f"spdx licen[cs]e identifier {name}") for label, name in SPDX.items()]
     lines += [(label, 3, f"licen[cs]e {name}") for label, name in SPDX.items()]
-    return [(k, label, priority, *compile_rule(rule)) for k, (label, priority, rule) in enumerate(lines)]
+    return [(k, label, priority, *((rule, compile_rule(rule)[1]) if raw else compile_rule(rule))) for k, (label, priority, rule) in enumerate(lines)]
+
+
+def needed_words(rule: str) -> list[str]:
+    """Beginnings of words, of three letters or more, that a match can't be without."""
+    return [m[0] for unit in rule.split() if unit[0] not in "*?" and (m := re.match(r"[a-z]{3,}(?![?*{])", unit))]
 
 
-def stems(keywords: set[str]) -> list[str]:
-    """The keywords that don't hold another one: where none of these is, none of the keywords is."""
-    return sorted(k for k in keywords if not any(o != k and o in k for o in keywords))
+def gate_words() -> list[str]:
+    """A few words of which each rule needs one, by greedy cover; where a text holds none of them, no rule matches."""
+    needs = []
+    for *_, rule, keyword in rules(raw=True):
+        words = needed_words(rule) or [keyword]
+        words = [w for w in words if w not in COMMON] or words
+        needs.append([w for w in words if len(w) > 5] or words)  # longer words are rarer
+    chosen: list[str] = []
+    while needs:
+        tally: dict[str, int] = {}
+        for words in needs:
+            for w in {p[:n] for p in words for n in range(min(5, len(p)), len(p) + 1)}:
+                tally[w] = tally.get(w, 0) + 1
+        best = max(tally, key=lambda w: (tally[w], len(w), w))
+        chosen.append(best)
+        needs = [words for words in needs if not any(best in w for w in words)]
+    return chosen
 
 
 def _starts(wrapped: Column, pattern: Column) -> Column:
@@ -275,21 +296,15 @@ def license_scan(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score and n_kept (detections left) of every row of ``docs``."""
     known = rules()
     base = len(BASE)
-    rows = texts(docs).withColumn("n_words", F.regexp_count("text", F.lit(WORD)).cast("long"))
     small = F.lower("text")
     gate = F.lit(False)
-    for stem in stems({keyword for *_, keyword in known}):
-        gate = gate | F.contains(small, F.lit(stem))
-    rows = rows.withColumn("gated", gate)
-    none = rows.where(~F.col("gated")).select(
-        "doc_id", "n_words", F.lit(0).cast("long").alias("n_base"), F.lit(None).cast("long").alias("first_word"), F.lit(None).cast("long").alias("last_word"),
-        F.lit("").alias("base_labels"), F.lit("").alias("labels"), F.lit(0.0).alias("score"), F.lit(0).cast("long").alias("n_kept"),
-    )
+    for word in gate_words():
+        gate = gate | F.contains(small, F.lit(word))
     letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
     words = F.regexp_extract_all(F.translate("text", letters, letters.lower()), F.lit(WORD), 0)
     table = F.array(*(F.struct(F.lit(k).alias("rule"), F.lit(label).alias("label"), F.lit(p).alias("priority"), F.lit(pattern).alias("pattern"), F.lit(keyword).alias("keyword")) for k, label, p, pattern, keyword in known))
-    some = rows.where("gated").select(F.monotonically_increasing_id().alias("row"), "doc_id", "n_words", F.concat(F.lit(" "), F.array_join(words, "  "), F.lit(" ")).alias("wrapped"))
-    some = some.withColumn("passed", F.filter(table, lambda r: F.contains(F.col("wrapped"), r["keyword"])))
+    some = texts(docs).select(F.monotonically_increasing_id().alias("row"), "doc_id", F.size(F.regexp_extract_all("text", F.lit(WORD), 0)).cast("long").alias("n_words"), F.when(gate, F.concat(F.lit(" "), F.array_join(words, "  "), F.lit(" "))).alias("wrapped"))
+    some = some.withColumn("passed", F.when(F.col("wrapped").isNotNull(), F.filter(table, lambda r: F.contains(F.col("wrapped"), r["keyword"]))))
 
     def found(r: Column) -> Column:
         sizes = F.transform(F.regexp_extract_all("wrapped", r["pattern"], F.lit(0)), lambda m: F.floor((F.length(m) - F.length(F.replace(m, F.lit(" "), F.lit("")))) / 2).cast("int"))
@@ -308,7 +323,7 @@ def license_scan(docs: DataFrame) -> DataFrame:
     for p, w in WEIGHTS.items():
         weight = F.when(F.col("priority") == p, w).otherwise(weight)
     joined = lambda c: F.array_join(F.array_sort(F.collect_set(c)), ",")
-    scanned = (
+    return (
         hits.withColumn("contained", contained)
         .groupBy("row")
         .agg(
@@ -317,7 +332,6 @@ def license_scan(docs: DataFrame) -> DataFrame:
         )
         .drop("row")
     )
-    return none.unionByName(scanned)
 
 
 def oracle() -> str:
