@@ -11,8 +11,10 @@ from pyspark.sql import functions as F
 from .automaton import bpe_digest
 from .common import table
 from .embedding_dedup import near_vectors
+from .jaccard_join import jaccard_join
 from .licenses import license_scan
 from .licenses import oracle as license_oracle
+from .mixing import mix
 from .sharding import shard
 from .suffix_dedup import repeats
 from .token_counts import token_counts
@@ -28,10 +30,30 @@ def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan(table(spark, sf_dir, "documents"))
 
 
+#: Shares of tokens by domain, in op2.
+TARGETS = {"high": 0.9, "low": 0.1}
+
+
+def domains_of(labels: DataFrame) -> DataFrame:
+    """(doc_id, domain) of the labelled rows: of high or low quality."""
+    domain = F.when(F.col("quality") == 1, "high").when(F.col("quality") == 0, "low")
+    return labels.select("doc_id", domain.alias("domain")).where(F.col("domain").isNotNull())
+
+
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    weights, _ = mix(table(spark, sf_dir, "documents"), domains_of(table(spark, sf_dir, "labels")), TARGETS)
+    p = {f"p_{k}": F.col("posterior")[i] for i, k in enumerate(sorted(TARGETS))}
+    return weights.select("doc_id", "n_tokens", *(c.alias(k) for k, c in p.items()), "rate", "copies")
+
+
 def op3_bpe_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_digest(table(spark, sf_dir, "documents"), public_tokenizers.path(WORD_BPE))
 
 
+def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join(table(spark, sf_dir, "documents"), threshold=0.8)
+
+
 def op5_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
 
@@ -76,7 +98,9 @@ select e.vec_id, (select count(*) from links l where l.a = e.vec_id) as n_links,
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_license_scan": op1_license_scan,
+        "op2_mixing": op2_mixing,
         "op3_bpe_automaton": op3_bpe_automaton,
+        "op4_jaccard_join": op4_jaccard_join,
         "op5_exact_topk": op5_exact_topk,
         "op6_token_counts": op6_token_counts,
         "op7_toxicity": op7_toxicity,

@@ -223,6 +223,13 @@ def scored(rows: DataFrame, lexicon: Lexicon) -> DataFrame:
     return out.select("doc_id", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def kept_rows(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
+    """The whole rows of ``docs`` that aren't toxic. No shuffle."""
+    columns = docs.columns
+    named = docs.select(F.coalesce(F.col("text"), F.lit("")).alias("__text"), F.struct(*columns).alias("__row"))
+    return _densities(named.withColumnRenamed("__text", "text"), lexicon).where(F.col("density") < lexicon.cutoff).select("__row.*")
+
+
 def held_out(doc_id: Column) -> Column:
     """Rows whose labels are never learned from (null ids: not held out)."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
