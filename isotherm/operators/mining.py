@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.tokens import pattern_string, token
+from ..sources.storage import stored
 
 
 def items(cells: DataFrame) -> DataFrame:
@@ -60,24 +61,16 @@ def pair_supports(frequent: DataFrame) -> DataFrame:
     return pairs.groupBy("city", "first", "second", "needed").agg(F.count("*").alias("support")).where(F.col("support") >= F.col("needed")).drop("needed")
 
 
-def _stored(df: DataFrame) -> DataFrame:
-    """Cuts the lineage of a level in the cluster's checkpoint folder."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or df.sparkSession.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_shared")
-    return df.checkpoint(eager=True)
-
-
 def closed_sets(frequent: DataFrame, max_sets: int = 200_000) -> tuple[DataFrame, bool]:
     """(city, tids) of every closed set of frequent items, and whether the search ended at ``max_sets`` (then the sets of whole levels)."""
-    own = _stored(frequent.select("city", "tids", "needed").distinct())
+    own = stored(frequent.select("city", "tids", "needed").distinct())
     found = own.select("city", "tids", "needed")
     frontier = found
     while True:
         other = own.select("city", F.col("tids").alias("more"))
         new = frontier.join(other, "city").select("city", F.array_sort(F.array_intersect("tids", "more")).alias("tids"), "needed")
         new = new.where(F.size("tids") >= F.col("needed")).distinct().join(found, ["city", "tids"], "left_anti")
-        frontier = _stored(new)
+        frontier = stored(new)
         n = frontier.count()
         if not n:
             return found.select("city", "tids"), False
@@ -100,6 +93,7 @@ def patterns(frequent: DataFrame, min_offsets: int = 1, contiguous: bool = True,
     ``contiguous``: a closed set falls into its runs of successive offsets, of which those of ``min_offsets`` or more are
     patterns; their windows are all that hold their items.
     """
+    frequent = stored(frequent, "items")
     sets, cut = closed_sets(frequent, max_sets)
     members = closures(sets, frequent)
     if contiguous:

@@ -73,17 +73,27 @@ def _common(a: str, b: str) -> Column:
     return F.size(F.array_intersect(a, b)).cast("long")
 
 
-def overlaps(blocks: DataFrame) -> DataFrame:
-    """(city, a, b, jaccard) of the pairs a < b that have a cell in common, found by a shared window rather than by all pairs."""
+def overlaps(blocks: DataFrame, least: float = 0.0) -> DataFrame:
+    """(city, a, b, jaccard) of the pairs a < b that have a cell in common and overlap by ``least`` or more.
+
+    A pair's overlap is at most that of its windows alone, so that windows overlap by ``least``, too, and a pair shares one
+    of the first windows of each, rarest first: it is found by an equi-join on these rather than among all pairs.
+    """
     one = blocks.select("city", F.col("id").alias("a"), F.col("rows").alias("ra"), F.col("cols").alias("ca"), F.col("contexts").alias("ka"))
     two = blocks.select("city", F.col("id").alias("b"), F.col("rows").alias("rb"), F.col("cols").alias("cb"), F.col("contexts").alias("kb"))
-    flat = blocks.select("city", "id", F.explode("rows").alias("w"))
-    pairs = flat.withColumnRenamed("id", "a").join(flat.withColumnRenamed("id", "b"), ["city", "w"]).where("a < b").select("city", "a", "b").distinct()
+    flat = blocks.select("city", "id", F.size("rows").alias("n"), F.size("cols").alias("c"), F.size("contexts").alias("k"), F.explode("rows").alias("w"))
+    if least > 0:
+        common = flat.groupBy("city", "w").agg(F.count("*").alias("times"))
+        rank = F.row_number().over(Window.partitionBy("city", "id").orderBy("times", "w"))
+        flat = flat.join(common, ["city", "w"]).withColumn("rank", rank).where(F.col("rank") <= F.col("n") - F.ceil(F.col("n") * least - 1e-9) + 1).drop("times", "rank")
+    other = flat.select("city", "w", F.col("id").alias("b"), *(F.col(x).alias(f"{x}2") for x in "nck"))
+    near = [F.least(x, f"{x}2") >= F.greatest(x, f"{x}2") * least - 1e-9 for x in "nck"]
+    pairs = flat.withColumnRenamed("id", "a").join(other, ["city", "w"]).where((F.col("a") < F.col("b")) & near[0] & near[1] & near[2]).select("city", "a", "b").distinct()
     both = pairs.join(one, ["city", "a"]).join(two, ["city", "b"])
     volume = lambda r, c, k: F.size(r).cast("long") * F.size(c) * F.size(k)
     inter = _common("ra", "rb") * _common("ca", "cb") * _common("ka", "kb")
     union = volume("ra", "ca", "ka") + volume("rb", "cb", "kb") - inter
-    return both.select("city", "a", "b", F.when(union > 0, inter / union).otherwise(0.0).alias("jaccard"))
+    return both.select("city", "a", "b", F.when(union > 0, inter / union).otherwise(0.0).alias("jaccard")).where(F.col("jaccard") >= least)
 
 
 def overlap_filtered(blocks: DataFrame, limit: float | None) -> DataFrame:
@@ -94,7 +104,7 @@ def overlap_filtered(blocks: DataFrame, limit: float | None) -> DataFrame:
     if limit is None:
         return blocks
     order = F.struct("hvar3", -F.col("shape.volume"), F.col("id"))
-    close = overlaps(blocks).where(F.col("jaccard") >= limit)
+    close = overlaps(blocks, limit)
     near = close.select("city", F.col("a").alias("id"), F.col("b").alias("other")).unionByName(close.select("city", F.col("b").alias("id"), F.col("a").alias("other")))
     ranked = blocks.withColumn("rank", F.row_number().over(Window.partitionBy("city").orderBy(order))).select("city", "id", "rank")
     listed = ranked.join(near.groupBy("city", "id").agg(F.collect_list("other").alias("near")), ["city", "id"], "left").select("city", "id", "rank", F.coalesce("near", F.array().cast("array<int>")).alias("near"))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.keys import month_name
 from ..operators import bins, mining, regimes, rollup, series, triclusters, windows
 from ..sources.sinks import as_json
+from ..sources.storage import stored
 
 
 @dataclass(frozen=True)
@@ -44,12 +45,13 @@ def cells(weather: DataFrame, config: Config) -> tuple[DataFrame, DataFrame]:
 def find_triclusters(weather: DataFrame, config: Config = Config()) -> tuple[DataFrame, DataFrame, bool]:
     """Labelled triclusters of every city in order, their windows' dates, and whether the search was cut."""
     rows, cube = cells(weather, config)
+    cube = stored(cube, "cube")
     symbols = bins.discretised(cube, bins.edges(cube, config.n_bins, config.binning))
     frequent = mining.supports(mining.items(symbols), config.min_rows, config.support_mode)
     found, cut = mining.patterns(frequent, config.min_offsets, config.contiguous, config.max_sets)
-    blocks = triclusters.from_patterns(found, config.min_rows, config.min_features, config.min_offsets)
+    blocks = stored(triclusters.from_patterns(found, config.min_rows, config.min_features, config.min_offsets), "blocks")
     scored = triclusters.described(triclusters.coherence(blocks, cube)).where(F.col("hvar3") <= config.coherence)
-    kept = triclusters.overlap_filtered(triclusters.deduplicated(scored), config.overlap)
+    kept = triclusters.overlap_filtered(stored(triclusters.deduplicated(scored), "scored"), config.overlap)
     return triclusters.ordered(regimes.labelled(kept)), windows.window_midpoints(rows), cut
 
 

@@ -22,6 +22,8 @@ QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
 #: Windows of the mining queries.
 SMALL = Config(window=3, stride=30, min_rows=8)
+#: And of those that search for closed sets, whose number grows steeply as fewer windows are asked for.
+DENSE = Config(window=3, stride=30, min_rows=24)
 
 
 def query(sql: str | None = None) -> Callable[[Query], Query]:
@@ -196,8 +198,8 @@ def upsert_latest(spark, sf_dir):
     return even(sinks.latest(batches_of(spark, sf_dir), ["city", "date"], ["batch"]).withColumn("date", F.col("date").cast("string")))
 
 
-@query("""with e as (select cast(user_id as varchar) as run_id, ts as at, case event_type when 'click' then 'ok' when 'purchase' then 'error' else 'running' end as status from events)
-select run_id, strftime(min(at), '%Y-%m-%d %H:%M:%S') as started_at, arg_max(status, {'a': at, 's': status}) as status from e group by run_id""")
+@query("""with e as (select cast(user_id as varchar) as run_id, ts as t, case event_type when 'click' then 'ok' when 'purchase' then 'error' else 'running' end as status from events)
+select run_id, strftime(min(t), '%Y-%m-%d %H:%M:%S') as started_at, arg_max(status, {'a': t, 's': status}) as status from e group by run_id""")
 def run_log_state(spark, sf_dir):
     kind = F.when(F.col("event_type") == "click", "ok").when(F.col("event_type") == "purchase", "error").otherwise("running")
     events = tables.table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("run_id"), F.col("ts").cast("timestamp").alias("at"), kind.alias("status"))
@@ -550,19 +552,19 @@ def legacy_labels(spark, sf_dir):
 
 @query()
 def closed_patterns(spark, sf_dir):
-    found, cut = mining.patterns(mining.supports(items_of(spark, sf_dir), SMALL.min_rows), SMALL.min_offsets)
+    found, cut = mining.patterns(mining.supports(items_of(spark, sf_dir), DENSE.min_rows), DENSE.min_offsets)
     return found.select("city", "pattern_id", "pattern_string", "support", F.lit(cut).alias("truncated"))
 
 
 @query()
 def triclusters_found(spark, sf_dir):
-    blocks, _, cut = find_triclusters(weather(spark, sf_dir), SMALL)
+    blocks, _, cut = find_triclusters(weather(spark, sf_dir), DENSE)
     return even(blocks.select("city", "id", "place", "pattern_string", "support", "type", "label", "hvar3", F.col("shape.volume").alias("volume"), F.lit(cut).alias("truncated")))
 
 
 @query()
 def kmeans_regimes(spark, sf_dir):
-    found = yearly_clusters.cluster_city(monthly_of(spark, sf_dir), "ASIA", starts=3)
+    found = yearly_clusters.cluster_city(monthly_of(spark, sf_dir), "ASIA", starts=2)
     return found.withColumn("label", regimes.legacy_label(F.col("high"), F.col("low")))
 
 
