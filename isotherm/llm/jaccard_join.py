@@ -197,7 +197,7 @@ def _candidates(once: DataFrame) -> DataFrame:
     def packed(frame: pd.DataFrame) -> pd.DataFrame:
         """Many small nodes in one call."""
         out = [check(g) for _, g in frame.groupby(["node", "i", "j"], sort=False) if len(g) > 1]
-        return pd.concat(out) if out else pd.DataFrame({"a": [], "b": []})
+        return pd.concat(out) if out else pd.DataFrame({"a": pd.Series([], dtype=object), "b": pd.Series([], dtype=object)})
 
     found = None
     entries = _paths(once, runs_needed(DEPTH))
