@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .storage import stored
+
 
 def latest(batches: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """The last row of each key over all batches, ``order`` being the columns that tell earlier from later."""
@@ -27,8 +29,7 @@ def write_upsert(spark: SparkSession, path: str, batch: DataFrame, keys: list[st
         old = spark.read.parquet(path)
         touched = batch.select(partition).distinct()
         merged = upsert(old.join(touched, partition, "left_semi").select(batch.columns), batch, keys)
-        merged = merged.checkpoint() if spark.sparkContext.getCheckpointDir() else merged.persist()  # the files read are those replaced
-        merged.count()
+        merged = stored(merged, "upsert")  # the files read are those replaced
     else:
         merged = upsert(batch.limit(0), batch, keys)
     merged.repartition(partition).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(partition).parquet(path)

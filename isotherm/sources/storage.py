@@ -4,13 +4,17 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that all executors share, as ``spark.checkpoint.dir`` names it; one in the warehouse where that is unset."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_shared"
+    return base.rstrip("/")
 
 
 def stored(df: DataFrame, name: str = "step") -> DataFrame:
-    """``df`` as a Parquet table in the folder of spark.checkpoint.dir (the warehouse's where that is unset), reread."""
-    conf = df.sparkSession.conf
-    base = conf.get("spark.checkpoint.dir", None) or conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_shared"
-    path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """``df``, written once as Parquet in the shared folder and reread."""
+    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
