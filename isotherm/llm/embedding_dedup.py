@@ -48,15 +48,13 @@ def plan_tables(rows: int, threshold: float, width: float) -> tuple[int, int]:
     return k, math.ceil(math.log(MISS) / math.log1p(-(near**k)))
 
 
-def _roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Smallest index of each of n items that the links a-b reach, by repeated minima over links and hops."""
+def _roots(linked: np.ndarray, left: np.ndarray, right: np.ndarray, n: int) -> np.ndarray:
+    """Smallest index of each of n items that links reach; ``linked`` has a row for each of ``left`` and a column for each of ``right``."""
     root = np.arange(n)
     while True:
-        low = np.minimum(root[a], root[b])
         new = root.copy()
-        np.minimum.at(new, a, low)
-        np.minimum.at(new, b, low)
-        new = new[new]
+        new[left] = np.minimum(new[left], np.where(linked, root[right][None, :], n).min(axis=1, initial=n))
+        new[right] = np.minimum(new[right], np.where(linked, new[left][:, None], n).min(axis=0, initial=n))
         if np.array_equal(new, root):
             return root
         root = new
@@ -100,9 +98,10 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.98, width: float = 1.0
                 v = v / np.abs(v).max(axis=1, keepdims=True)
                 v /= np.linalg.norm(v, axis=1, keepdims=True)
                 keys = _buckets(v, k, tables, width)
-                yield pd.DataFrame({"key": part["key"], "label": part["label"], "size": size, "buckets": list(keys)})
+                yield pd.DataFrame({"key": part["key"], "label": part["label"], "size": size, "copies": part["copies"], "buckets": list(keys), "codes": [c.tobytes() for c in keys], "v": [x.tobytes() for x in v]})
 
-    signed = materialize(once.select("key", "label", "x").mapInPandas(hashed, "key string, label string, size int, buckets array<long>"), "vector-buckets")
+    schema = "key string, label string, size int, copies long, buckets array<long>, codes binary, v binary"
+    signed = materialize(once.select("key", "label", "x", "copies").mapInPandas(hashed, schema), "vector-buckets")
     flat = signed.select("key", "label", "size", F.posexplode("buckets").alias("t", "bucket"))
     counts = flat.groupBy("label", "size", "t", "bucket").count().where("count > 1")
     # the large side of a hot bucket is split by adaptive execution; what follows deals its rows out to pairs of blocks
@@ -111,32 +110,28 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.98, width: float = 1.0
     own = F.pmod(F.xxhash64("key", "t"), blocks).cast("int")
     pairs = F.transform(F.sequence(F.lit(0), blocks - 1), lambda j: F.struct(F.least(own, j).alias("i"), F.greatest(own, j).alias("j")))
     dealt = shared.select("key", "label", "size", "t", "bucket", own.alias("own"), F.explode(pairs).alias("pair"))
-    dealt = dealt.select("key", "label", "size", "t", "bucket", "own", "pair.i", "pair.j").join(once.select("key", "x", "copies"), "key").join(signed.select("key", "buckets"), "key")
+    dealt = dealt.select("key", "label", "size", "t", "bucket", "own", "pair.i", "pair.j").join(signed.select("key", "copies", "codes", "v"), "key")
 
     def check(batch: pd.DataFrame) -> pd.DataFrame:
         first, second = int(batch["i"].iat[0]), int(batch["j"].iat[0])
         t = int(batch["t"].iat[0])
-        v = np.stack(batch["x"].to_numpy()).astype(np.float64)
-        v = v / np.abs(v).max(axis=1, keepdims=True)
-        v /= np.linalg.norm(v, axis=1, keepdims=True)
-        earlier = np.stack(batch["buckets"].to_numpy())[:, :t]
+        v = np.frombuffer(b"".join(batch["v"]), np.float64).reshape(len(batch), -1)
+        codes = np.frombuffer(b"".join(batch["codes"]), np.int64).reshape(len(batch), -1)
         copies, own = batch["copies"].to_numpy(), batch["own"].to_numpy()
         left, right = np.flatnonzero(own == first), np.flatnonzero(own == second)
         linked = v[left] @ v[right].T >= threshold
         if first == second:
             np.fill_diagonal(linked, False)
-        a, b = np.nonzero(linked)
-        if t and len(a):  # not those met in an earlier table
-            new = ~(earlier[left[a]] == earlier[right[b]]).any(axis=1)
-            a, b = a[new], b[new]
-        a, b = left[a], right[b]
-        n = np.bincount(a, weights=copies[b], minlength=len(batch))
+        for e in range(t if linked.any() else 0):  # not those met in an earlier table
+            linked &= codes[left, e][:, None] != codes[right, e][None, :]
+        n = np.zeros(len(batch), dtype=np.int64)
+        n[left] = linked @ copies[right]
         if first != second:
-            n += np.bincount(b, weights=copies[a], minlength=len(batch))
-        root = _roots(len(batch), a, b)
-        key = batch["key"].to_numpy()
+            n[right] = copies[left] @ linked
         some = n > 0
-        return pd.DataFrame({"key": key[some], "root": key[root[some]], "n": n[some].astype(np.int64)})
+        root = _roots(linked, left, right, len(batch)) if some.any() else np.arange(len(batch))
+        key = batch["key"].to_numpy()
+        return pd.DataFrame({"key": key[some], "root": key[root[some]], "n": n[some]})
 
     found = materialize(dealt.groupBy("label", "size", "t", "bucket", "i", "j").applyInPandas(check, "key string, root string, n long"), "vector-links")
     counted = found.groupBy("key").agg(F.sum("n").alias("n"))
