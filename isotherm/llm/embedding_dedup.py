@@ -112,28 +112,38 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.98, width: float = 1.0
     dealt = shared.select("key", "label", "size", "t", "bucket", own.alias("own"), F.explode(pairs).alias("pair"))
     dealt = dealt.select("key", "label", "size", "t", "bucket", "own", "pair.i", "pair.j").join(signed.select("key", "copies", "codes", "v"), "key")
 
-    def check(batch: pd.DataFrame) -> pd.DataFrame:
-        first, second = int(batch["i"].iat[0]), int(batch["j"].iat[0])
-        t = int(batch["t"].iat[0])
-        v = np.frombuffer(b"".join(batch["v"]), np.float64).reshape(len(batch), -1)
-        codes = np.frombuffer(b"".join(batch["codes"]), np.int64).reshape(len(batch), -1)
-        copies, own = batch["copies"].to_numpy(), batch["own"].to_numpy()
-        left, right = np.flatnonzero(own == first), np.flatnonzero(own == second)
+    def check(t: int, whole: bool, own: np.ndarray, first: int, second: int, vectors: np.ndarray, codes: np.ndarray, copies: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Links and root of each vector of a bucket, or of a pair of its blocks (then not ``whole``)."""
+        n, count = len(own), np.zeros(len(own), dtype=np.int64)
+        left, right = (np.arange(n),) * 2 if whole else (np.flatnonzero(own == first), np.flatnonzero(own == second))
+        v = np.frombuffer(b"".join(vectors), np.float64).reshape(n, -1)
         linked = v[left] @ v[right].T >= threshold
         if first == second:
             np.fill_diagonal(linked, False)
-        for e in range(t if linked.any() else 0):  # not those met in an earlier table
-            linked &= codes[left, e][:, None] != codes[right, e][None, :]
-        n = np.zeros(len(batch), dtype=np.int64)
-        n[left] = linked @ copies[right]
+        if not linked.any():
+            return count, np.arange(n)
+        code = np.frombuffer(b"".join(codes), np.int64).reshape(n, -1)
+        for e in range(t):  # not those met in an earlier table
+            linked &= code[left, e][:, None] != code[right, e][None, :]
+        count[left] = linked @ copies[right]
         if first != second:
-            n[right] = copies[left] @ linked
-        some = n > 0
-        root = _roots(linked, left, right, len(batch)) if some.any() else np.arange(len(batch))
-        key = batch["key"].to_numpy()
-        return pd.DataFrame({"key": key[some], "root": key[root[some]], "n": n[some]})
-
-    found = materialize(dealt.groupBy("label", "size", "t", "bucket", "i", "j").applyInPandas(check, "key string, root string, n long"), "vector-links")
+            count[right] = copies[left] @ linked
+        return count, _roots(linked, left, right, n)
+
+    def checked(frame: pd.DataFrame) -> pd.DataFrame:
+        """Many small buckets in one call."""
+        key, own, v, codes, copies = (frame[c].to_numpy() for c in ("key", "own", "v", "codes", "copies"))
+        out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = [(key[:0], key[:0], copies[:0])]
+        for (_, _, t, _, first, second), at in frame.groupby(["label", "size", "t", "bucket", "i", "j"], sort=False).indices.items():
+            if len(at) > 1:
+                n, root = check(t, first == second, own[at], first, second, v[at], codes[at], copies[at])
+                some = n > 0
+                out.append((key[at][some], key[at][root[some]], n[some]))
+        return pd.DataFrame({c: np.concatenate([o[k] for o in out]) for k, c in enumerate(("key", "root", "n"))})
+
+    parts = max(64, once.count() * tables // 4096)
+    packed = dealt.withColumn("part", F.pmod(F.xxhash64("label", "size", "t", "bucket", "i", "j"), F.lit(parts)))
+    found = materialize(packed.groupBy("part").applyInPandas(checked, "key string, root string, n long"), "vector-links")
     counted = found.groupBy("key").agg(F.sum("n").alias("n"))
     rooted = components(found.select(F.col("key").alias("a"), F.col("root").alias("b")))
     classes = once.select("key", "copies").join(counted, "key", "left").join(rooted, "key", "left").select("key", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("root", "key").alias("root"))
