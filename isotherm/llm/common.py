@@ -8,10 +8,12 @@ from pyspark.sql import functions as F
 from ..sources.storage import shared_dir
 from ..sources.storage import stored as materialize
 
-__all__ = ["WORD", "materialize", "shared_dir", "table", "texts"]
+__all__ = ["GAP", "WORD", "materialize", "shared_dir", "table", "texts"]
 
 #: Words as maximal runs of ASCII letters and digits and of any non-ASCII characters.
 WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+#: What stands between two words.
+GAP = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

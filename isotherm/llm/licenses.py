@@ -19,7 +19,7 @@ import re
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, texts
+from .common import GAP, WORD, texts
 
 #: Weight of a detection by its rule's priority.
 WEIGHTS = {1: 0.3, 2: 0.6, 3: 0.8, 4: 1.0}
@@ -36,6 +36,7 @@ mit | 3 | permission is hereby granted free of charge to any person obtaining a
 mit | 3 | the above copyright notice and this permission notice shall be included in all copies
 mit | 2 | mit style licen[cs]e
 mit | 2 | expat licen[cs]e
+mit | 2 | mit x11 ?licen[cs]e
 mit-0 | 3 | mit no attribution ?licen[cs]e
 x11 | 2 | x11 licen[cs]e
 isc | 3 | permission to use copy modify and ?or distribute this software for any purpose
@@ -153,22 +154,22 @@ unlicense | 4 | this is free and unencumbered software released into the public
 unlicense | 3 | the unlicense
 unlicense | 2 | unlicense
 cc0 | 4 | creative commons zero
-cc0 | 4 | cc0 1 0 universal
-cc0 | 3 | licen[cs]ed *3 cc0
+cc0 | 4 | cc0 1 0 ?universal
+cc0 | 3 | cc0
 cc-by | 4 | creative commons attribution ?licen[cs]e
 cc-by | 4 | creative commons attribution [1234] ?[05] ?international ?licen[cs]e
-cc-by | 3 | licen[cs]ed *3 cc by [1234] [05]
+cc-by | 3 | cc by [1234] [05]
 cc-by-sa | 4 | creative commons attribution share ?alike
 cc-by-sa | 4 | creative commons attribution sharealike
-cc-by-sa | 3 | licen[cs]ed *3 cc by sa
+cc-by-sa | 3 | cc by sa
 cc-by-nc | 4 | creative commons attribution non ?commercial
 cc-by-nc | 4 | creative commons attribution noncommercial
-cc-by-nc | 3 | licen[cs]ed *3 cc by nc
-cc-by-nc-sa | 4 | licen[cs]ed *3 cc by nc sa
-cc-by-nc-nd | 4 | licen[cs]ed *3 cc by nc nd
+cc-by-nc | 3 | cc by nc
+cc-by-nc-sa | 4 | cc by nc sa
+cc-by-nc-nd | 4 | cc by nc nd
 cc-by-nd | 4 | creative commons attribution no ?derivatives
 cc-by-nd | 4 | creative commons attribution noderivatives
-cc-by-nd | 3 | licen[cs]ed *3 cc by nd
+cc-by-nd | 3 | cc by nd
 cc | 2 | creative commons ?licen[cs]e
 odbl | 4 | open database licen[cs]e
 odc-by | 4 | open data commons attribution licen[cs]e
@@ -184,6 +185,7 @@ apsl | 4 | apple public source licen[cs]e
 cecill | 4 | cecill ?free ?software licen[cs]e
 cecill | 3 | cecill
 mulan | 4 | mulan ?permissive ?software licen[cs]e
+openrail | 4 | open ?responsible ?ai rail
 openrail | 4 | responsible ai licen[cs]e
 openrail | 4 | openrail ?m ?licen[cs]e
 llama | 4 | llama *2 community licen[cs]e
@@ -232,23 +234,27 @@ grant | 1 | subject to the following conditions
 SPDX = {"mit": "mit", "apache": "apache 2 0", "gpl": "gpl [123] 0", "lgpl": "lgpl [23] [01]", "agpl": "agpl 3 0", "bsd": "bsd [0234] clause", "mpl": "mpl 2 0", "epl": "epl [12] 0", "cddl": "cddl 1 [01]", "isc": "isc", "zlib": "zlib", "unlicense": "unlicense", "cc0": "cc0 1 0", "cc-by": "cc by [1234] [05]", "boost": "bsl 1 0", "wtfpl": "wtfpl", "artistic": "artistic [12] 0", "ofl": "ofl 1 [01]", "eupl": "eupl 1 [012]", "upl": "upl 1 0", "postgresql": "postgresql", "ncsa": "ncsa", "afl": "afl [123] [01]", "osl": "osl [123] [01]", "ms-pl": "ms pl", "ms-rl": "ms rl", "blueoak": "blueoak 1 0 0", "odbl": "odbl 1 0", "lppl": "lppl 1 3c?", "zope": "zpl 2 [01]", "busl": "busl 1 1", "elastic": "elastic 2 0", "sspl": "sspl 1 0", "python": "psf 2 0", "php": "php 3 01?", "hpnd": "hpnd", "mit-0": "mit 0", "x11": "x11", "curl": "curl", "openssl": "openssl"}
 
 #: Words too common to tell a license by; only the choice of gate words hangs on them.
-COMMON = set("the and for not all with only later version style model source open itself neither free same use under you may any name terms see purpose conditions community".split())
+COMMON = set("the and for mit not all with only later version style model source open itself neither free same use under you may any name terms see purpose conditions community".split())
 
 
 def compile_rule(rule: str) -> tuple[str, str]:
-    """The rule as a regex over words that each stand between blanks of their own, and the longest word that it needs.
+    """The rule as a regex over words that each stand between blanks of their own, and its longest run of plain words, which a match can't be without.
 
     A rule's first unit is one that can't be missing, so that its regex starts with a blank."""
-    out, needed = "", ""
+    out, run, needed = "", "", ""
     for unit in rule.split():
+        plain = ""
         if unit[0] == "*":
             out += f"(?: [^ ]+ ){{0,{unit[1:]}}}"
         elif unit[0] == "?":
             out += f"(?: {unit[1:]} )?"
         else:
             out += f" {unit} "
-            literal = re.match(r"[a-z0-9]*", unit)[0] if re.fullmatch(r"[a-z0-9]+(?:\[cs\][a-z]*)?", unit) else ""
-            needed = max(needed, literal, key=len)
+            plain = re.match(r"[a-z0-9]*(?![?*{])", unit)[0]
+        whole = plain and plain == unit
+        run += f" {plain} " if whole else f" {plain}" if plain else ""
+        needed = max(needed, run, key=len)
+        run = run if whole else ""
     return out, needed
 
 
@@ -262,22 +268,23 @@ def rules(raw: bool = False) -> list[tuple[int, str, int, str, str]]:
 
 
 def needed_words(rule: str) -> list[str]:
-    """Beginnings of words, of three letters or more, that a match can't be without."""
-    return [m[0] for unit in rule.split() if unit[0] not in "*?" and (m := re.match(r"[a-z]{3,}(?![?*{])", unit))]
+    """Beginnings of words, of three signs or more, that a match can't be without; where there are none, the rule's first two words."""
+    units = [unit for unit in rule.split() if unit[0] not in "*?"]
+    return [m[0] for unit in units if (m := re.match(r"[a-z][a-z0-9]{2,}(?![?*{])", unit))] or [" ".join(units[:2])]
 
 
 def gate_words() -> list[str]:
     """A few words of which each rule needs one, by greedy cover; where a text holds none of them, no rule matches."""
     needs = []
-    for *_, rule, keyword in rules(raw=True):
-        words = needed_words(rule) or [keyword]
+    for *_, rule, _ in rules(raw=True):
+        words = needed_words(rule)
         words = [w for w in words if w not in COMMON] or words
-        needs.append([w for w in words if len(w) > 5] or words)  # longer words are rarer
+        needs.append([w for w in words if len(w) > 5 and " " not in w] or words)  # longer words are rarer
     chosen: list[str] = []
     while needs:
         tally: dict[str, int] = {}
         for words in needs:
-            for w in {p[:n] for p in words for n in range(min(5, len(p)), len(p) + 1)}:
+            for w in {p[:n] for p in words for n in range(len(p) if " " in p else min(5, len(p)), len(p) + 1)}:
                 tally[w] = tally.get(w, 0) + 1
         best = max(tally, key=lambda w: (tally[w], len(w), w))
         chosen.append(best)
@@ -285,6 +292,15 @@ def gate_words() -> list[str]:
     return chosen
 
 
+def gate_of(text: Column) -> Column:
+    """Whether a text in small letters holds one of the gate's words; two words may stand apart by any signs."""
+    gate = F.lit(False)
+    for word in gate_words():
+        first, *rest = word.split()
+        gate = gate | (F.contains(text, F.lit(first)) & F.rlike(text, F.lit(f"{first}{GAP}{rest[0]}")) if rest else F.contains(text, F.lit(first)))
+    return gate
+
+
 def _starts(wrapped: Column, pattern: Column) -> Column:
     """Numbers of the words at which matches begin."""
     marked = F.regexp_replace(wrapped, F.concat(F.lit(" ("), F.substring(pattern, 2, 10_000), F.lit(")")), F.lit(" \u0001$1"))
@@ -296,14 +312,10 @@ def license_scan(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score and n_kept (detections left) of every row of ``docs``."""
     known = rules()
     base = len(BASE)
-    small = F.lower("text")
-    gate = F.lit(False)
-    for word in gate_words():
-        gate = gate | F.contains(small, F.lit(word))
     letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
     words = F.regexp_extract_all(F.translate("text", letters, letters.lower()), F.lit(WORD), 0)
     table = F.array(*(F.struct(F.lit(k).alias("rule"), F.lit(label).alias("label"), F.lit(p).alias("priority"), F.lit(pattern).alias("pattern"), F.lit(keyword).alias("keyword")) for k, label, p, pattern, keyword in known))
-    some = texts(docs).select(F.monotonically_increasing_id().alias("row"), "doc_id", F.size(F.regexp_extract_all("text", F.lit(WORD), 0)).cast("long").alias("n_words"), F.when(gate, F.concat(F.lit(" "), F.array_join(words, "  "), F.lit(" "))).alias("wrapped"))
+    some = texts(docs).select(F.monotonically_increasing_id().alias("row"), "doc_id", F.size(F.regexp_extract_all("text", F.lit(WORD), 0)).cast("long").alias("n_words"), F.when(gate_of(F.lower("text")), F.concat(F.lit(" "), F.array_join(words, "  "), F.lit(" "))).alias("wrapped"))
     some = some.withColumn("passed", F.when(F.col("wrapped").isNotNull(), F.filter(table, lambda r: F.contains(F.col("wrapped"), r["keyword"]))))
 
     def found(r: Column) -> Column:
