@@ -12,8 +12,8 @@ windows shares one.
   a window goes if the group holds a smaller id.
 
 Equal texts around an anchor are sent once for each batch, with the batch's smallest id, so that a passage in a third of
-all documents is a row for each batch and not for each document. Batches are stored, bucketed by their number, in the
-shared folder: only fingerprints, suffixes and answers are shuffled, texts aren't.
+all documents is a row for each batch and not for each document. Packed batches are moved once, each to the file of its
+number in the shared folder; after that only fingerprints, suffixes and answers are shuffled.
 
 Defined cases: matches never cross documents; null ids count as larger than all others and null or empty texts have no
 windows; rows of equal id don't remove each other's bytes; an empty table gives an empty result; texts are whole, of any
@@ -37,6 +37,8 @@ from .common import materialize, shared_dir
 LENGTH, KMER = 50, 32
 #: Bytes of text in a batch, and those that a bucket of pass 1 and of pass 2 has the anchors of.
 BATCH, BUCKET = 4 << 20, 8 << 20
+#: Files of stored batches, at most; some GB each at 100 TB.
+FILES = 20_000
 _LAST = 2**63 - 1
 _MASK = (1 << 64) - 1
 _BASE = 0x9E3779B97F4A7C15
@@ -114,8 +116,9 @@ def _packed(docs: DataFrame, carry: list[str]) -> DataFrame:
 
     name = f"batches_{uuid.uuid4().hex}"
     total = docs.select(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = max(12, min(4096, total // (4 * BATCH)))
-    rows.mapInPandas(pack, schema).write.bucketBy(n, "batch").option("path", f"{shared_dir(spark)}/{name}").saveAsTable(name, format="parquet")
+    n = max(12, min(FILES, total // (4 * BATCH)))
+    # one task writes a bucket whole: otherwise every batch would be a file of its own
+    rows.mapInPandas(pack, schema).repartition(n, "batch").write.bucketBy(n, "batch").option("path", f"{shared_dir(spark)}/{name}").saveAsTable(name, format="parquet")
     return spark.table(name)
 
 
