@@ -77,12 +77,15 @@ def runs(text: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     if size < width:
         rest = width - size
         low[:-rest] = np.minimum(low[:-rest], low[rest:])
-    doc = np.repeat(np.arange(len(sizes)), windows)
-    first = np.arange(len(doc)) - np.repeat(np.cumsum(windows) - windows, windows) + np.repeat(ends - sizes, windows)
-    anchor = (low[first] & np.uint64(0xFFFFFFFF)).astype(np.int64)
+    doc = np.repeat(np.arange(len(sizes), dtype=np.int32), windows)
+    first = np.arange(len(doc), dtype=np.int32)
+    first += np.repeat((ends - sizes - np.cumsum(windows) + windows).astype(np.int32), windows)
+    anchor = low.astype(np.uint32)[first]  # the lower half is the place
+    del low
     new = np.flatnonzero(np.r_[True, (anchor[1:] != anchor[:-1]) | (doc[1:] != doc[:-1])])
     stop = np.r_[new[1:], len(doc)] - 1
-    return first[new], first[stop], anchor[new], h[anchor[new]], doc[new]
+    place = anchor[new].astype(np.int64)
+    return first[new].astype(np.int64), first[stop].astype(np.int64), place, h[place], doc[new].astype(np.int64)
 
 
 def _unpacked(row) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
