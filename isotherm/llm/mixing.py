@@ -2,9 +2,9 @@
 
 A labelled table (doc_id, domain) trains a naive Bayes classifier over hashed byte trigrams, whose posteriors are
 tempered by the labelled rows' own log loss. Document rates r >= 0 are then fitted by distributed projected-gradient
-least squares: the expected tokens of each domain, the sum over documents of rate x tokens x posterior, shall be its
+least squares, in which no rate falls under the least that is asked for: the expected tokens of each domain, the sum over documents of rate x tokens x posterior, shall be its
 target share of ``budget`` x all tokens. Rates start at 1; a step moves each document along its posterior times the
-residual (one number for each domain), in the metric of its tokens, and cuts at 0. An iteration is one pass over a narrow table that brings a
+residual (one number for each domain), in the metric of its tokens, and cuts at the least rate. An iteration is one pass over a narrow table that brings a
 residual to the driver; rates themselves are worked out from the residuals wherever they are needed and never collected.
 
 The fit takes at most ``MAX_LABELLED`` labelled rows, chosen by a hash of their id (a documented bound); scoring, totals
@@ -18,6 +18,7 @@ posteriors are alike; a target that no document can reach leaves the nearest fit
 from __future__ import annotations
 
 import math
+import warnings
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 
 from .common import materialize, texts
 
-MAX_LABELLED, FEATURES, STEPS, TOLERANCE = 20_000, 4096, 48, 1e-4
+MAX_LABELLED, FEATURES, STEPS, TOLERANCE = 20_000, 4096, 480, 1e-4
 TEMPERATURES = (0.0, 1.0, 3.0, 10.0, 30.0, 100.0, 300.0, 1000.0)
 #: Bytes of text that are worked on at once.
 _CHUNK = 4 << 20
@@ -141,62 +142,80 @@ def fit(docs: DataFrame, labelled: DataFrame, domains: list[str]) -> Model:
     return model
 
 
-def _rates(p: np.ndarray, steps: list[np.ndarray]) -> np.ndarray:
+def _rates(p: np.ndarray, steps: list[np.ndarray], least: float) -> np.ndarray:
     """Rates after the projected steps, each a number for each domain, with Nesterov's momentum."""
-    return _point(p, steps)[0]
+    return _point(p, steps, least)[0]
 
 
-def _point(p: np.ndarray, steps: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Rates, and the point ahead of them that the next gradient is taken at."""
+def _point(p: np.ndarray, steps: list[np.ndarray], least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rates, the point ahead of them that the next gradient is taken at, and how far the last step went."""
     r = ahead = np.ones(len(p))
+    moved = np.zeros(len(p))
     t = 1.0
     for step in steps:
-        new, after = np.maximum(0.0, ahead - p @ step), (1 + math.sqrt(1 + 4 * t * t)) / 2
+        new, after = np.maximum(least, ahead - p @ step), (1 + math.sqrt(1 + 4 * t * t)) / 2
+        moved = np.abs(new - ahead)
         ahead, r, t = new + (t - 1) / after * (new - r), new, after
-    return r, ahead
+    return r, ahead, moved
 
 
-def solve(members: DataFrame, targets: np.ndarray, budget: float | None, floor: bool) -> tuple[list[np.ndarray], np.ndarray]:
-    """Steps of the fit over ``members`` (tokens, p), and expected domain shares at rate 1. ``budget`` None: as small as lets every domain be raised or kept."""
+def solve(members: DataFrame, targets: np.ndarray, budget: float | None, least: float) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    """Steps of the fit over ``members`` (tokens, p), expected domain shares at rate 1, and those of the fitted rates less the targets.
 
-    def total(steps: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        """Expected tokens of the domains at the point after ``steps``, and the second moments of the posteriors."""
+    ``budget`` None: 1 or, where rates have a ``least``, fitted along with them, from the smallest at which no domain as a whole is thinned out.
+    The fit ends when the shares are met, or the projected gradient is 0, within TOLERANCE, or after STEPS.
+    """
+    d = len(targets)
+
+    def total(steps: list[np.ndarray]) -> list[np.ndarray]:
+        """Expected tokens of the domains by the rates and at the point ahead, the last step's length, and the second moments of the posteriors."""
 
         def part(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            d = len(targets)
-            tokens, moments = np.zeros(d), np.zeros((d, d))
+            tokens, beyond, length, moments = np.zeros(d), np.zeros(d), 0.0, np.zeros((d, d))
             for batch in batches:
                 if len(batch):
                     p, w = np.stack(batch["p"].to_numpy()), batch["tokens"].to_numpy().astype(float)
-                    tokens += (w * _point(p, steps)[1]) @ p
+                    rate, ahead, moved = _point(p, steps, least)
+                    tokens, beyond, length = tokens + (w * rate) @ p, beyond + (w * ahead) @ p, length + w @ moved
                     moments += (p * w[:, None]).T @ p
-            yield pd.DataFrame({"v": [np.r_[tokens, moments.ravel()]]})
+            yield pd.DataFrame({"v": [np.r_[tokens, beyond, length, moments.ravel()]]})
 
         sums = members.select("tokens", "p").mapInPandas(part, "v array<double>").select(F.posexplode("v").alias("k", "v")).groupBy("k").agg(F.sum("v").alias("v"))
-        v = np.zeros(len(targets) * (1 + len(targets)))
+        v = np.zeros(2 * d + 1 + d * d)
         for r in sums.collect():  # as many numbers as domains and pairs of them
             v[r["k"]] = r["v"]
-        return v[: len(targets)], v[len(targets) :].reshape(len(targets), -1)
+        return np.split(v, [d, 2 * d, 2 * d + 1])
 
-    at, moments = total([])
+    at, ahead, _, moments = total([])
     everything = max(at.sum(), 1.0)
     share = at / everything
+    free = budget is None and least > 0
     if budget is None:
-        budget = float(np.max(np.where(targets > 0, share / np.where(targets > 0, targets, 1), 0))) if floor else 1.0
-    wanted = targets * max(budget, 1e-9)
-    size = 1 / max(np.linalg.eigvalsh(moments / everything)[-1], 1e-9)  # the gradient's Lipschitz constant, inverted
+        budget = float(np.max(np.where(targets > 0, share / np.where(targets > 0, targets, 1), 0))) if free else 1.0
+
+    def wanted(tokens: np.ndarray) -> np.ndarray:
+        """By domain: the targets' share of the budget, in which a free budget is the one nearest to ``tokens``."""
+        size = max(budget, float(tokens @ targets) / everything / max(float(targets @ targets), 1e-12)) if free else budget
+        return targets * max(size, 1e-9)
+
+    def gap(tokens: np.ndarray) -> np.ndarray:
+        return tokens / everything - wanted(tokens)
+
+    size = 1 / max(np.linalg.eigvalsh(moments.reshape(d, d) / everything)[-1], 1e-9)  # the gradient's Lipschitz constant, inverted
     steps: list[np.ndarray] = []
-    while len(steps) < STEPS and np.abs(at / everything - wanted).max() > TOLERANCE:
-        steps.append(size * (at / everything - wanted))
-        at, _ = total(steps)
-    return steps, share
+    while len(steps) < STEPS and np.abs(gap(at)).max() > TOLERANCE:
+        steps.append(size * gap(ahead))
+        at, ahead, moved, _ = total(steps)
+        if moved[0] / everything <= TOLERANCE / 10 * size:
+            break
+    return steps, share, at / max(at.sum(), 1e-12) - targets
 
 
 def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], budget: float | None = 1.0, keep_all: bool = False) -> tuple[DataFrame, DataFrame]:
     """Of ``docs``: (doc_id, n_tokens, posterior, rate, copies) of every row; and its rows, each as often as its copies.
 
-    ``targets`` are domain shares and are scaled to 1. With ``keep_all`` every row has at least one copy, and a budget of
-    None is the smallest that needs no domain to be thinned out. Copies are the rate rounded up or down by a hash of the
+    ``targets`` are domain shares and are scaled to 1. With ``keep_all`` every rate is at least 1, and a budget of
+    None is fitted, too. A warning tells how far the fitted shares are from targets that aren't met. Copies are the rate rounded up or down by a hash of the
     row, so that their expectation is the rate.
     """
     domains = sorted(targets)
@@ -219,14 +238,16 @@ def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], budget:
 
     drawn: Column = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) / float(1 << 30)
     narrow = materialize(texts(docs).withColumn("u", drawn).mapInPandas(members, "doc_id long, u double, tokens long, p array<double>"), "memberships")
-    steps, _ = solve(narrow, goal, budget, keep_all)
-    least = 1 if keep_all else 0
+    least = 1.0 if keep_all else 0.0
+    steps, _, off = solve(narrow, goal, budget, least)
+    if np.abs(off).max(initial=0) > 10 * TOLERANCE:
+        warnings.warn(f"shares less targets after {len(steps)} steps: {dict(zip(domains, off.round(4).tolist(), strict=True))}", stacklevel=2)
 
     def rated(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             if len(batch):
-                rate = _rates(np.stack(batch["p"].to_numpy()), steps)
-                copies = np.maximum(np.floor(rate + batch["u"].to_numpy()), least).astype(np.int64)
+                rate = _rates(np.stack(batch["p"].to_numpy()), steps, least)
+                copies = np.floor(rate + batch["u"].to_numpy()).astype(np.int64)
                 yield pd.DataFrame({"doc_id": batch["doc_id"], "n_tokens": batch["tokens"], "posterior": batch["p"], "rate": rate, "copies": copies})
 
     weights = narrow.mapInPandas(rated, "doc_id long, n_tokens long, posterior array<double>, rate double, copies long")
@@ -236,7 +257,7 @@ def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], budget:
         for batch in batches:
             if len(batch):
                 p, _ = memberships(batch["__text"])
-                copies = np.maximum(np.floor(_rates(p, steps) + batch["__u"].to_numpy()), least).astype(np.int64)
+                copies = np.floor(_rates(p, steps, least) + batch["__u"].to_numpy()).astype(np.int64)
                 yield batch[columns].iloc[np.repeat(np.arange(len(batch)), copies)]
 
     columns = docs.columns

@@ -4,7 +4,7 @@ import hashlib
 import math
 import random
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
@@ -294,5 +294,24 @@ def test_mixing_meets_targets(spark):
     assert none.count() == 3
 
 
+def test_mixing_keeps_all_and_meets_targets(spark):
+    rng = random.Random(9)
+    rows, labels = [], []
+    for i in range(600):
+        kind = i % 4 == 0
+        rows.append((i, " ".join("".join(rng.choice("abcde" if kind else "vwxyz") for _ in range(5)) for _ in range(rng.randint(1, 60)))))
+        labels.append((i, "a" if kind != (rng.random() < 0.2) else "b"))  # labels that are often wrong: soft posteriors
+    weights, kept = mixing.mix(docs_of(spark, rows), spark.createDataFrame(labels, "doc_id long, domain string"), {"a": 0.6, "b": 0.4}, budget=None, keep_all=True)
+    got = {r["doc_id"]: r for r in weights.collect()}
+    p, tokens, rate = (np.array([got[i][c] for i in range(600)], dtype=float) for c in ("posterior", "n_tokens", "rate"))
+    assert 0.6 < p[:, 0].max() < 0.95 and rate.min() >= 1
+    expected = (tokens * rate) @ p
+    np.testing.assert_allclose(expected / expected.sum(), [0.6, 0.4], atol=2e-3)
+    times = Counter(r["doc_id"] for r in kept.select("doc_id").collect())
+    assert all(times[i] == got[i]["copies"] >= 1 and abs(times[i] - rate[i]) < 1 for i in range(600))
+    emitted = (tokens * np.array([times[i] for i in range(600)])) @ p
+    np.testing.assert_allclose(emitted / emitted.sum(), [0.6, 0.4], atol=0.03)
+
+
 def test_queries_cover_the_ten():
     assert {int(n[2:].split("_")[0]) for n in queries.queries()} == set(range(1, 11)) and set(queries.oracle_sql()) <= set(queries.queries())
