@@ -42,8 +42,8 @@ def cells(weather: DataFrame, config: Config) -> tuple[DataFrame, DataFrame]:
     return rows, cube
 
 
-def find_triclusters(weather: DataFrame, config: Config = Config()) -> tuple[DataFrame, DataFrame, bool]:
-    """Labelled triclusters of every city in order, their windows' dates, and whether the search was cut."""
+def find_triclusters(weather: DataFrame, config: Config = Config()) -> tuple[DataFrame, DataFrame, list[str]]:
+    """Labelled triclusters of every city in order, their windows' dates, and the cities whose search was cut."""
     rows, cube = cells(weather, config)
     cube = stored(cube, "cube")
     symbols = bins.discretised(cube, bins.edges(cube, config.n_bins, config.binning))
@@ -75,6 +75,6 @@ def payload(weather: DataFrame, config: Config | None = None) -> DataFrame:
     for name, by in (("top_hot_days", F.desc("tavg")), ("top_cold_days", F.asc("tavg")), ("top_anomaly_days", F.desc(F.abs("anomaly_z")))):
         out = out.join(listed(rollup.top_days(daily, by), name, "rank", "date", "tavg", "anomaly_z"), "city")
     if config:
-        blocks, _, _ = find_triclusters(weather, config)
-        out = out.join(regimes.summary(blocks), "city", "left").join(listed(blocks.where("place <= 12"), "clusters", "place", "label", "support", "hvar3", "type"), "city", "left")
+        blocks, _, cut = find_triclusters(weather, config)
+        out = out.join(regimes.summary(blocks), "city", "left").join(listed(blocks.where("place <= 12"), "clusters", "place", "label", "support", "hvar3", "type"), "city", "left").withColumn("truncated", F.col("city").isin(cut))
     return as_json(out, ["city"])

@@ -553,13 +553,13 @@ def legacy_labels(spark, sf_dir):
 @query()
 def closed_patterns(spark, sf_dir):
     found, cut = mining.patterns(mining.supports(items_of(spark, sf_dir), DENSE.min_rows), DENSE.min_offsets)
-    return found.select("city", "pattern_id", "pattern_string", "support", F.lit(cut).alias("truncated"))
+    return found.select("city", "pattern_id", "pattern_string", "support", F.col("city").isin(cut).alias("truncated"))
 
 
 @query()
 def triclusters_found(spark, sf_dir):
     blocks, _, cut = find_triclusters(weather(spark, sf_dir), DENSE)
-    return even(blocks.select("city", "id", "place", "pattern_string", "support", "type", "label", "hvar3", F.col("shape.volume").alias("volume"), F.lit(cut).alias("truncated")))
+    return even(blocks.select("city", "id", "place", "pattern_string", "support", "type", "label", "hvar3", F.col("shape.volume").alias("volume"), F.col("city").isin(cut).alias("truncated")))
 
 
 @query()

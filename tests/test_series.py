@@ -158,6 +158,21 @@ def test_closed_patterns_equal_enumeration(spark, seed):
     assert not cut and mined == want
 
 
+def test_runs_are_all_found_in_every_city(spark):
+    rng = np.random.default_rng(5)
+    data = {c: {w: {(o, f"f{f}_{o}#{rng.integers(2)}") for f in range(2) for o in range(4)} for w in range(n)} for c, n in (("a", 7), ("b", 4))}
+    rows = [(c, w, o, int(t[1]), t) for c, windows_ in data.items() for w, items in windows_.items() for o, t in items]
+    frequent = mining.supports(spark.createDataFrame(rows, "city string, window_id int, context_idx int, feature_idx int, token string"), 2, "exact")
+    got, cut = mining.patterns(frequent, 2, max_sets=1)
+    mined = {(r["city"], frozenset((int(t.split("_")[1].split("#")[0]), t) for s in r["itemsets"] for t in s)): frozenset(r["subject_ids"]) for r in got.collect()}
+    assert not cut and mined == {(c, k): v for c, own in data.items() for k, v in closed_by_hand(own, 2, 2).items()}
+    # without runs the bound is each city's own: b's search goes on to its end
+    whole, _ = mining.patterns(frequent, 1, contiguous=False)
+    sizes = {r["city"]: r["count"] for r in whole.groupBy("city").count().collect()}
+    some, cut = mining.patterns(frequent, 1, contiguous=False, max_sets=sizes["b"])
+    assert sizes["a"] > sizes["b"] and cut == ["a"] and some.where("city = 'b'").count() == sizes["b"]
+
+
 def test_support_thresholds():
     assert mining.min_support(234, 8) == 10 and mining.min_support(234, 8, "exact") == 8 and mining.min_support(0, 3) == 3
 
