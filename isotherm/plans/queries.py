@@ -14,6 +14,7 @@ from ..functions import keys, tokens
 from ..operators import bins, forecast, mining, regimes, rollup, series, triclusters, windows, yearly_clusters
 from ..schemas import NUMERIC, SYMBOLIC
 from ..sources import sinks, tables
+from ..sources.storage import stored
 from ..streaming.incremental import windowed_counts
 from .insights import Config, cells, find_triclusters, payload, summaries
 
@@ -552,7 +553,10 @@ def legacy_labels(spark, sf_dir):
 
 @query()
 def closed_patterns(spark, sf_dir):
-    found, cut = mining.patterns(mining.supports(items_of(spark, sf_dir), DENSE.min_rows), DENSE.min_offsets)
+    config = Config()
+    cube = stored(cells(weather(spark, sf_dir), config)[1], "cube")
+    symbols = bins.discretised(cube, bins.edges(cube, config.n_bins, config.binning))
+    found, cut = mining.patterns(mining.supports(mining.items(symbols), config.min_rows), config.min_offsets)
     return found.select("city", "pattern_id", "pattern_string", "support", F.col("city").isin(cut).alias("truncated"))
 
 

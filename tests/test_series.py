@@ -173,6 +173,16 @@ def test_runs_are_all_found_in_every_city(spark):
     assert sizes["a"] > sizes["b"] and cut == ["a"] and some.where("city = 'b'").count() == sizes["b"]
 
 
+def test_closed_patterns_cover_every_day(spark, monkeypatch):
+    from isotherm.plans import queries
+
+    values = [math.sin(i / 9) * 10 + (i * 7919 % 13) / 7 for i in range(150)]
+    monkeypatch.setattr(queries, "weather", lambda *_: daily(spark, values))
+    got = queries.closed_patterns(spark, "").agg(F.max("support"), F.min("support")).first()
+    # ten windows of 14 days; of windows of 3 days every 30 there are five
+    assert tuple(got) == (10, 8)
+
+
 def test_support_thresholds():
     assert mining.min_support(234, 8) == 10 and mining.min_support(234, 8, "exact") == 8 and mining.min_support(0, 3) == 3
 
