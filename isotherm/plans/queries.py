@@ -6,6 +6,7 @@ Floats are compared after ``round(x + 1e-9, 6) + 0.0`` on both sides, which take
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -566,9 +567,15 @@ def triclusters_found(spark, sf_dir):
     return even(blocks.select("city", "id", "place", "pattern_string", "support", "type", "label", "hvar3", F.col("shape.volume").alias("volume"), F.col("city").isin(cut).alias("truncated")))
 
 
+def cities_of(df: DataFrame) -> list[str]:
+    """The cities, each of which has a fit of its own."""
+    return [r["city"] for r in df.select("city").distinct().orderBy("city").collect()]
+
+
 @query()
 def kmeans_regimes(spark, sf_dir):
-    found = yearly_clusters.cluster_city(monthly_of(spark, sf_dir), "ASIA", starts=2)
+    months = monthly_of(spark, sf_dir)
+    found = reduce(DataFrame.unionByName, [yearly_clusters.cluster_city(months, city) for city in cities_of(months)])
     return found.withColumn("label", regimes.legacy_label(F.col("high"), F.col("low")))
 
 
@@ -603,12 +610,12 @@ def error_metrics(spark, sf_dir):
 @query()
 def rf_forecast(spark, sf_dir):
     rows = base(weather(spark, sf_dir)).select("city", "date", "tavg")
-    return forecast.forest_forecast(rows, "ASIA", forecast.train_forest(rows, "ASIA", trees=20, depth=8))
+    return reduce(DataFrame.unionByName, [forecast.forest_forecast(rows, city, forecast.train_forest(rows, city)) for city in cities_of(rows)])
 
 
 @query()
 def sarimax_forecast(spark, sf_dir):
-    return even(forecast.sarimax_forecast(weather(spark, sf_dir), 7, only=[0, 6, 16, 20]))
+    return even(forecast.sarimax_forecast(weather(spark, sf_dir), 7))
 
 
 # Growing data

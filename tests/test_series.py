@@ -227,6 +227,29 @@ def test_folds_and_forecast(spark):
     assert (got["lower_95"] <= got["tavg"]).all() and (got["tavg"] <= got["upper_95"]).all()
 
 
+def test_fits_cover_all_cities_by_the_operators_defaults(spark, monkeypatch):
+    from isotherm.plans import queries
+
+    rows, fits = daily(spark, [1.0] * 20, "a").unionByName(daily(spark, [2.0] * 20, "b")), []
+    monkeypatch.setattr(queries, "weather", lambda *_: rows)
+
+    def noted(result):
+        def fit(df, *args, **kw):
+            fits.append((*args, *kw.items()))
+            return result
+
+        return fit
+
+    clusters = spark.createDataFrame([("x", ["tavg_mean"], ["tavg_std"])], "city string, high array<string>, low array<string>")
+    monkeypatch.setattr(queries.forecast, "train_forest", noted(None))
+    monkeypatch.setattr(queries.forecast, "forest_forecast", lambda df, city, model: rows.where(F.col("city") == city))
+    monkeypatch.setattr(queries.yearly_clusters, "cluster_city", noted(clusters))
+    monkeypatch.setattr(queries.forecast, "sarimax_forecast", noted(rows))
+    assert queries.rf_forecast(spark, "").select("city").distinct().count() == 2 and queries.kmeans_regimes(spark, "").count() == 2
+    queries.sarimax_forecast(spark, "")
+    assert fits == [("a",), ("b",), ("a",), ("b",), (7,)]
+
+
 def test_stream_upsert(spark, tmp_path):
     from isotherm.streaming.incremental import upsert_stream
 
