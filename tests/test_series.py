@@ -1,4 +1,5 @@
 import datetime as dt
+import json
 import math
 
 import numpy as np
@@ -211,6 +212,16 @@ def test_triclusters_hold_their_limits(spark):
     assert all(len(b["rows"]) >= 9 and len(b["cols"]) >= 2 and len(b["contexts"]) >= 2 and b["hvar3"] <= 0.4 and b["label"] for b in got)
 
 
+def test_payload_says_whether_its_search_was_cut(spark, monkeypatch):
+    from isotherm.plans import insights
+
+    found = spark.createDataFrame([("a", 0, 1, "x", 9, 0.1, "mixed", [1, 2])], "city string, id int, place int, label string, support int, hvar3 double, type string, rows array<int>")
+    blocks = found.withColumn("shape", F.struct(F.lit(4).alias("volume")))
+    monkeypatch.setattr(insights, "find_triclusters", lambda *_: (blocks, None, ["a"]))
+    got = json.loads(insights.payload(daily(spark, [float(i % 5) for i in range(40)]), Config()).first()["payload"])
+    assert got["truncated"] is True and len(got["clusters"]) == 1
+
+
 def test_archive_answers(spark):
     body = '{"daily": {"time": ["2020-01-02", "2020-01-01", "2020-01-03"], "temperature_2m_max": [3, 2, null], "temperature_2m_min": [1, 0, 1], "temperature_2m_mean": [2, 1, 2]}}'
     got = tables.archive_rows(spark.createDataFrame([("a", body)], "city string, body string"))
