@@ -13,8 +13,34 @@ def shared_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
+#: What has been stored by this driver and not yet removed: names of catalog tables, or '', and paths.
+_STEPS: list[tuple[str, str]] = []
+
+
+def noted(name: str, path: str) -> None:
+    """A step of some other kind (a catalog table ``name``, or '' for files) that ``removed`` takes along."""
+    _STEPS.append((name, path))
+
+
 def stored(df: DataFrame, name: str = "step") -> DataFrame:
     """``df``, written once as Parquet in the shared folder and reread."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    noted("", path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def removed(spark: SparkSession, since: int = 0) -> int:
+    """Steps stored after the first ``since`` go; to be called once what was made of them has been written. Returns how many are left."""
+    for name, path in _STEPS[since:]:
+        if name:
+            spark.sql(f"drop table if exists {name}")
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    del _STEPS[since:]
+    return len(_STEPS)
+
+
+def steps() -> int:
+    """How many steps are stored."""
+    return len(_STEPS)
