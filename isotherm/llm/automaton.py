@@ -12,7 +12,9 @@ A word is encoded left to right: from each prefix, whose last token is the autom
 spellings gives the arcs' labels that fit the next symbols, and the transition table the ones allowed. Each prefix is
 reached by exactly one of them, as the automaton is deterministic and byte-pair merging a function.
 
-Decoding runs ids through the arcs and emits their labels; the file has no decoder, so that labels are joined by blanks.
+Decoding starts in the same state, follows the arc of each id and emits its label; a label that ends a word leads back to
+the start. The file has no decoder, so that labels are joined by blanks. Ids that no encoding gives (no such arc) are
+decoded label by label.
 
 Defined cases: null or empty text has no tokens and decodes to an empty text; null and repeated ids stay row by row; an
 empty table gives an empty result; long words take time in proportion to their length; further columns are ignored.
@@ -29,7 +31,7 @@ import pandas as pd
 import regex
 from pyspark.sql import DataFrame
 
-from .common import texts
+from .common import lean, texts
 from .token_counts import byte_alphabet
 
 #: How such files cut a normalised text into words (fixed value; a property of the vocabulary file's format).
@@ -56,10 +58,12 @@ class Automaton:
         for rank, (x, y) in enumerate(merges):
             a, b, c = vocab[x], vocab[y], vocab[x + y]
             if c in self.born:
-                continue  # a label that an earlier merge has made
+                raise ValueError(f"two merges make {x + y!r}; the gadgets count on one for each label")
             self.cut[a << 20 | b] = rank
             self.left[c], self.right[c], self.born[c] = a, b, rank
             spelling[c] = spelling[a] + spelling[b]
+        last = set(self.final)
+        self.ending = {label for label, symbols in spelling.items() if symbols[-1] in last}
         self.arcs: dict[int, bool] = {}
         self.trie: list[dict[int, int]] = [{}]
         self.label_at: list[int] = [-1]
@@ -137,6 +141,17 @@ class Automaton:
         return out[::-1]
 
 
+    def decode(self, ids: list[int]) -> list[str]:
+        """The labels of the arcs that the ids take, from the start state on."""
+        out, state = [], -1
+        for label in ids:
+            if state >= 0 and not self.arc(state << 20 | label):
+                state = -1
+            out.append(self.labels[label])
+            state = -1 if label in self.ending else label
+        return out
+
+
 def load_automaton(path: str) -> tuple[Automaton, dict[str, int]]:
     """The automaton of the BPE file at ``path`` and its special strings with their ids."""
     with open(path, encoding="utf-8") as f:
@@ -162,7 +177,7 @@ class Codec:
             if w not in self.ids:
                 own = self.automaton.encode_word(w.encode())
                 self.ids[w] = " ".join(map(str, own))
-                self.out[w] = " ".join(self.automaton.labels[i] for i in own)
+                self.out[w] = " ".join(self.automaton.decode(own))
 
     def words(self, text: str) -> list[str]:
         # each character is lower-cased by itself, so a final capital sigma isn't special
@@ -199,7 +214,7 @@ def _encoded(docs: DataFrame, tokenizer_path: str, schema: str, row) -> DataFram
             got = [row(*codec.encode(t)) for t in batch["text"]]
             yield pd.DataFrame({"doc_id": batch["doc_id"]} | {c: [g[k] for g in got] for k, c in enumerate(names[1:])})
 
-    return texts(docs).mapInPandas(encode, schema)
+    return texts(docs).mapInPandas(lean(encode), schema)
 
 
 def bpe_encode(docs: DataFrame, tokenizer_path: str) -> DataFrame:
@@ -207,6 +222,21 @@ def bpe_encode(docs: DataFrame, tokenizer_path: str) -> DataFrame:
     return _encoded(docs, tokenizer_path, CODES, lambda ids, out: ([int(i) for i in ids.split()], out))
 
 
+def bpe_decode(encoded: DataFrame, tokenizer_path: str) -> DataFrame:
+    """doc_id and decoded text of every row of ``encoded`` (doc_id, ids); null ids are an empty text, unknown ones are passed over."""
+    automaton, specials = load_automaton(tokenizer_path)
+    loaded = encoded.sparkSession.sparkContext.broadcast((vars(automaton), specials))
+
+    def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        own = Automaton.of(loaded.value[0])
+        known = own.labels | {i: t for t, i in loaded.value[1].items()}
+        own.labels = known
+        for batch in batches:
+            yield pd.DataFrame({"doc_id": batch["doc_id"], "decoded": [" ".join(own.decode([i for i in ([] if ids is None else ids) if i in known])) for ids in batch["ids"]]})
+
+    return encoded.select("doc_id", "ids").mapInPandas(lean(decode), "doc_id long, decoded string")
+
+
 def bpe_digest(docs: DataFrame, tokenizer_path: str) -> DataFrame:
     """doc_id, n_tokens and the SHA-256 of ids and of decoded text, without shipping either."""
 

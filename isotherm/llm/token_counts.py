@@ -18,7 +18,7 @@ import pandas as pd
 import regex
 from pyspark.sql import DataFrame
 
-from .common import texts
+from .common import lean, texts
 
 #: The pattern of byte-level tokenizers (fixed value; a property of the vocabulary file's format).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
@@ -120,4 +120,4 @@ def token_counts(docs: DataFrame, tokenizer_path: str) -> DataFrame:
         for batch in batches:
             yield pd.DataFrame({"doc_id": batch["doc_id"], "n_bytes": [len(t.encode()) for t in batch["text"]], "n_tokens": [of(t) for t in batch["text"]]})
 
-    return texts(docs).mapInPandas(count, SCHEMA)
+    return texts(docs).mapInPandas(lean(count), SCHEMA)
