@@ -10,9 +10,9 @@ residual to the driver; rates themselves are worked out from the residuals where
 The fit takes at most ``MAX_LABELLED`` labelled rows, chosen by a hash of their id (a documented bound); scoring, totals
 and rates cover all rows and whole texts.
 
-Defined cases: null or empty texts have 0 tokens and the domains' prior; without labels of the targets' domains all
-posteriors are alike; a target that no document can reach leaves the nearest fit; null and repeated ids stay row by row
-(copies are drawn by a hash of id and text); an empty table gives an empty result; further columns are ignored.
+Defined cases: null or empty texts have 0 tokens and the domains' prior; without labels of the targets' domains, or
+where these tell nothing, all posteriors are alike and all rates 1; a target that no document can reach leaves the nearest fit; null and repeated ids stay row by row, labels of
+one id that contradict each other count as the first domain by name (copies are drawn by a hash of id and text); an empty table gives an empty result; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -23,32 +23,28 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, texts
+from .common import given_back, lean, materialize, pieces, texts
 
 MAX_LABELLED, FEATURES, STEPS, TOLERANCE = 20_000, 4096, 480, 1e-4
 TEMPERATURES = (0.0, 1.0, 3.0, 10.0, 30.0, 100.0, 300.0, 1000.0)
 #: Bytes of text that are worked on at once.
-_CHUNK = 4 << 20
+_CHUNK = 1 << 20
 
 
 def _chunks(values: pd.Series) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Ranges of texts of about _CHUNK bytes: (from, to, their bytes end to end, sizes)."""
-    raw = [t.encode() for t in values]
-    at, held = 0, 0
-    for k, t in enumerate(raw):
-        held += len(t)
-        if held >= _CHUNK or k == len(raw) - 1:
-            yield at, k + 1, np.frombuffer(b"".join(raw[at : k + 1]), np.uint8), np.array([len(t) for t in raw[at : k + 1]])
-            at, held = k + 1, 0
+    for a, b, raw in pieces(values, _CHUNK):
+        yield a, b, np.frombuffer(b"".join(raw), np.uint8), np.array([len(t) for t in raw])
 
 
 def _trigrams(text: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The feature of each byte trigram and the number of them in each document."""
     if len(text) < 3:
-        return np.zeros(0, np.int64), np.zeros(len(sizes), np.int64)
+        return np.zeros(0, np.uint32), np.zeros(len(sizes), np.int64)
     t = text.astype(np.uint32)
     code = ((t[:-2] * 0x9E3779B1 + t[1:-1] * 0x85EBCA6B + t[2:] * 0xC2B2AE35) >> np.uint32(7)) % np.uint32(FEATURES)
     inside = np.ones(len(code) + 2, dtype=bool)
@@ -56,7 +52,7 @@ def _trigrams(text: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarr
     for back in (1, 2):
         last = ends - back
         inside[last[(sizes >= back) & (last >= 0)]] = False
-    return code[inside[:-2]].astype(np.int64), np.maximum(sizes - 2, 0)
+    return code[inside[:-2]], np.maximum(sizes - 2, 0)
 
 
 def _tokens(text: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -72,11 +68,11 @@ def _tokens(text: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 
 
 def _sums(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """Sums of the rows of ``values`` over runs of ``counts`` rows; runs may be empty."""
-    out = np.zeros((len(counts), values.shape[1]))
+    """Sums of ``values`` over runs of ``counts`` of them; runs may be empty."""
+    out = np.zeros(len(counts))
     full = counts > 0
     if full.any():
-        out[full] = np.add.reduceat(values, (np.cumsum(counts) - counts)[full], axis=0)
+        out[full] = np.add.reduceat(values, (np.cumsum(counts) - counts)[full], dtype=np.float64)
     return out
 
 
@@ -88,7 +84,8 @@ class Model:
 
     def means(self, text: np.ndarray, sizes: np.ndarray) -> np.ndarray:
         code, n = _trigrams(text, sizes)
-        return _sums(self.table[code], n) / np.maximum(n, 1)[:, None]
+        # a domain at a time: one number for each trigram is held
+        return np.stack([_sums(column[code], n) for column in self.table.T.copy()], axis=1) / np.maximum(n, 1)[:, None]
 
     def posteriors(self, means: np.ndarray, temperature: float | None = None) -> np.ndarray:
         z = self.prior + (self.temperature if temperature is None else temperature) * means
@@ -99,7 +96,7 @@ class Model:
 def fit(docs: DataFrame, labelled: DataFrame, domains: list[str]) -> Model:
     """The classifier, from the rows of ``labelled`` (doc_id, domain) whose domain is one of ``domains``."""
     d = len(domains)
-    rows = labelled.select(F.col("doc_id").cast("long").alias("doc_id"), "domain").where(F.col("domain").isin(domains)).dropDuplicates(["doc_id"])
+    rows = labelled.select(F.col("doc_id").cast("long").alias("doc_id"), "domain").where(F.col("domain").isin(domains)).groupBy("doc_id").agg(F.min("domain").alias("domain"))
     total = rows.count()
     if total > MAX_LABELLED:
         rows = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(MAX_LABELLED / total * (1 << 20)))
@@ -112,11 +109,11 @@ def fit(docs: DataFrame, labelled: DataFrame, domains: list[str]) -> Model:
             domain = batch["domain"].map(place).to_numpy()
             for a, b, text, sizes in _chunks(batch["text"]):
                 code, m = _trigrams(text, sizes)
-                sums += np.bincount(np.repeat(domain[a:b], m) * FEATURES + code, minlength=d * FEATURES).reshape(d, FEATURES)
+                sums += np.bincount(np.repeat(domain[a:b], m) * FEATURES + code.astype(np.int64), minlength=d * FEATURES).reshape(d, FEATURES)
             n += np.bincount(domain, minlength=d)
         yield pd.DataFrame({"domain": np.arange(d, dtype=np.int32), "n": n, "sums": list(sums)})
 
-    each = known.mapInPandas(count, "domain int, n double, sums array<double>")
+    each = known.mapInPandas(lean(count), "domain int, n double, sums array<double>")
     summed = each.select("domain", "n", F.posexplode("sums").alias("k", "v")).groupBy("domain", "k").agg(F.sum("n").alias("n"), F.sum("v").alias("v"))
     sums, n = np.zeros((d, FEATURES)), np.zeros(d)
     for r in summed.collect():  # domains x FEATURES numbers
@@ -137,7 +134,7 @@ def fit(docs: DataFrame, labelled: DataFrame, domains: list[str]) -> Model:
                 loss -= [np.log(np.maximum(own.posteriors(means, t)[np.arange(b - a), domain[a:b]], 1e-12)).sum() for t in TEMPERATURES]
         yield pd.DataFrame({"k": np.arange(len(TEMPERATURES)), "loss": loss})
 
-    found = {r["k"]: r["loss"] for r in known.mapInPandas(losses, "k long, loss double").groupBy("k").agg(F.sum("loss").alias("loss")).collect()}
+    found = {r["k"]: r["loss"] for r in known.mapInPandas(lean(losses), "k long, loss double").groupBy("k").agg(F.sum("loss").alias("loss")).collect()}
     model.temperature = TEMPERATURES[min(found, key=lambda k: (found[k], k))]
     return model
 
@@ -180,7 +177,7 @@ def solve(members: DataFrame, targets: np.ndarray, budget: float | None, least:
                     moments += (p * w[:, None]).T @ p
             yield pd.DataFrame({"v": [np.r_[tokens, beyond, length, moments.ravel()]]})
 
-        sums = members.select("tokens", "p").mapInPandas(part, "v array<double>").select(F.posexplode("v").alias("k", "v")).groupBy("k").agg(F.sum("v").alias("v"))
+        sums = members.select("tokens", "p").mapInPandas(lean(part), "v array<double>").select(F.posexplode("v").alias("k", "v")).groupBy("k").agg(F.sum("v").alias("v"))
         v = np.zeros(2 * d + 1 + d * d)
         for r in sums.collect():  # as many numbers as domains and pairs of them
             v[r["k"]] = r["v"]
@@ -212,10 +209,10 @@ def solve(members: DataFrame, targets: np.ndarray, budget: float | None, least:
 
 
 def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], budget: float | None = 1.0, keep_all: bool = False) -> tuple[DataFrame, DataFrame]:
-    """Of ``docs``: (doc_id, n_tokens, posterior, rate, copies) of every row; and its rows, each as often as its copies.
+    """Of ``docs``: (doc_id, n_tokens, posterior, rate, copies, residual) of every row; and its rows, each as often as its copies.
 
     ``targets`` are domain shares and are scaled to 1. With ``keep_all`` every rate is at least 1, and a budget of
-    None is fitted, too. A warning tells how far the fitted shares are from targets that aren't met. Copies are the rate rounded up or down by a hash of the
+    None is fitted, too. ``residual`` is the largest difference of the fitted shares from their targets; a warning tells how far the fitted shares are from targets that aren't met. Copies are the rate rounded up or down by a hash of the
     row, so that their expectation is the rate.
     """
     domains = sorted(targets)
@@ -237,9 +234,10 @@ def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], budget:
             yield pd.DataFrame({"doc_id": batch["doc_id"], "u": batch["u"], "tokens": tokens, "p": list(p)})
 
     drawn: Column = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) / float(1 << 30)
-    narrow = materialize(texts(docs).withColumn("u", drawn).mapInPandas(members, "doc_id long, u double, tokens long, p array<double>"), "memberships")
+    narrow = materialize(texts(docs).withColumn("u", drawn).mapInPandas(lean(members), "doc_id long, u double, tokens long, p array<double>"), "memberships")
     least = 1.0 if keep_all else 0.0
-    steps, _, off = solve(narrow, goal, budget, least)
+    # where posteriors don't hang on the text no rate brings shares nearer to the targets: all stay 1
+    steps, _, off = solve(narrow, goal, budget, least) if model.temperature else ([], None, np.exp(model.prior) - goal)
     if np.abs(off).max(initial=0) > 10 * TOLERANCE:
         warnings.warn(f"shares less targets after {len(steps)} steps: {dict(zip(domains, off.round(4).tolist(), strict=True))}", stacklevel=2)
 
@@ -250,18 +248,24 @@ def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], budget:
                 copies = np.floor(rate + batch["u"].to_numpy()).astype(np.int64)
                 yield pd.DataFrame({"doc_id": batch["doc_id"], "n_tokens": batch["tokens"], "posterior": batch["p"], "rate": rate, "copies": copies})
 
-    weights = narrow.mapInPandas(rated, "doc_id long, n_tokens long, posterior array<double>, rate double, copies long")
+    weights = narrow.mapInPandas(lean(rated), "doc_id long, n_tokens long, posterior array<double>, rate double, copies long")
+    weights = weights.withColumn("residual", F.lit(float(np.abs(off).max(initial=0))))
 
-    def repeated(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """The rates again from the texts, so that texts needn't be joined to them."""
+    def repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The rates again from the texts, so that texts needn't be joined to them. Rows leave some MB at a time, however many copies they have."""
         for batch in batches:
-            if len(batch):
-                p, _ = memberships(batch["__text"])
-                copies = np.floor(_rates(p, steps, least) + batch["__u"].to_numpy()).astype(np.int64)
-                yield batch[columns].iloc[np.repeat(np.arange(len(batch)), copies)]
+            texts_ = batch.column("__text").to_pylist()
+            p, _ = memberships(pd.Series(texts_, dtype=object))
+            copies = np.floor(_rates(p, steps, least) + batch.column("__u").to_numpy()).astype(np.int64)
+            rows = batch.select(columns)
+            taken = np.repeat(np.arange(len(copies)), copies)
+            held = np.cumsum(np.array([len(t) for t in texts_])[taken]) // (4 * _CHUNK)
+            for part in np.unique(held):
+                yield rows.take(pa.array(taken[held == part]))
+        given_back()
 
     columns = docs.columns
     text = F.coalesce(F.col("text"), F.lit(""))
     u = F.pmod(F.xxhash64(F.col("doc_id").cast("long"), text), F.lit(1 << 30)) / float(1 << 30)
-    rows = docs.withColumns({"__text": text, "__u": u}).mapInPandas(repeated, docs.schema)
+    rows = docs.withColumns({"__text": text, "__u": u}).mapInArrow(repeated, docs.schema)
     return weights, rows

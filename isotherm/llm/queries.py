@@ -31,7 +31,7 @@ def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: Shares of tokens by domain, in op2.
-TARGETS = {"high": 0.9, "low": 0.1}
+TARGETS = {"high": 0.5, "low": 0.5}
 
 
 def domains_of(labels: DataFrame) -> DataFrame:
@@ -43,7 +43,7 @@ def domains_of(labels: DataFrame) -> DataFrame:
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     weights, _ = mix(table(spark, sf_dir, "documents"), domains_of(table(spark, sf_dir, "labels")), TARGETS)
     p = {f"p_{k}": F.col("posterior")[i] for i, k in enumerate(sorted(TARGETS))}
-    return weights.select("doc_id", "n_tokens", *(c.alias(k) for k, c in p.items()), "rate", "copies")
+    return weights.select("doc_id", "n_tokens", *(c.alias(k) for k, c in p.items()), "rate", "copies", "residual")
 
 
 def op3_bpe_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -80,10 +80,10 @@ def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 TOP_K_SQL = """
-with v as (select vec_id, list_transform(embedding, lambda x: floor(x::double * 256)) as e from embeddings
+with v as (select row_number() over () as n, vec_id, list_transform(embedding, lambda x: floor(x::double * 256)) as e from embeddings
   where vec_id is not null and embedding is not null and len(embedding) > 0 and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
-s as (select q.vec_id as query_id, c.vec_id, cast(list_inner_product(q.e, c.e) as bigint) as score from v q join v c on q.vec_id % 50 = 0 and c.vec_id <> q.vec_id),
-r as (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from s)
+s as (select q.n, q.vec_id as query_id, c.vec_id, cast(list_inner_product(q.e, c.e) as bigint) as score from v q join v c on q.vec_id % 50 = 0 and c.n <> q.n),
+r as (select *, row_number() over (partition by n order by score desc, vec_id) as rank from s)
 select query_id, cast(rank as integer) as rank, vec_id, score from r where rank <= 5
 """
 NEAR_SQL = """

@@ -7,17 +7,21 @@ safe. Phase 2 sends the cutoffs out; whatever reaches a cutoff in total has a pa
 in some run, so each task returns the entries that do so. Phase 3 bounds each from above, the parts not returned lying
 under cutoff / LISTS; what can still reach the cutoff has its remaining scores resolved, and the k best stay.
 
-Queries go out in blocks of at most ``BLOCK``, so that what is broadcast is bounded; each block runs against all rows.
-Scores are integers: float products where these are exact, else integer ones.
+Queries go out in blocks of at most ``SENT`` bytes, so that what is broadcast is bounded; each block runs against all rows,
+its answers are written, and its broadcasts are freed before the next, so that neither the plan nor what is held grows with
+the queries. Tasks work on ``QUERIES`` queries and ``ROWS`` vectors at a time. Scores are integers: float products where
+these are exact, else integer ones.
 
 Defined cases: null or empty vectors and those with null or non-finite components take no part; vectors of unlike length
-aren't compared; rows of the query's own id aren't candidates; repeated rows are candidates each; a query id that repeats
-is answered once, for the smallest of its vectors; null ids take no part; with fewer candidates than k all are returned; components so large that a score
-would leave 64 bits are held at its ends; an empty table gives an empty result; further columns are ignored.
+aren't compared; each row that the condition holds for is a query, and only that row is none of its candidates, so that
+repeated rows are queries each and candidates of one another; null ids take no part; with fewer candidates than k all are
+returned; components so large that a score would leave 64 bits are held at its ends; an empty table gives an empty result;
+further columns are ignored.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,11 +29,14 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize
+from ..sources.storage import noted
+from .common import lean, materialize, shared_dir
 
-#: Runs of components, and queries in a block (their vectors and cutoffs: about 1 MB at 64 components).
-LISTS, BLOCK = 4, 2048
+#: Runs of components; bytes of a block of queries; queries and vectors multiplied at once.
+LISTS, SENT = 4, 8 << 20
+QUERIES, ROWS = 512, 2048
 _END = 2**63 - 1
+RESULT = "query_id long, rank int, vec_id long, score long"
 
 
 def _products(q: np.ndarray, x: np.ndarray) -> np.ndarray:
@@ -48,12 +55,18 @@ def _runs(size: int) -> list[slice]:
     return [slice(a, b) for a, b in zip(edges[:-1], edges[1:], strict=True)]
 
 
-def _by_size(batch: pd.DataFrame, queries: dict) -> Iterator[tuple[np.ndarray, np.ndarray, list, np.ndarray]]:
-    sizes = batch["x"].map(len).to_numpy()
-    for size, (ids, q) in queries.items():
-        part = sizes == size
-        if part.any():
-            yield batch["vec_id"].to_numpy()[part], np.stack(batch["x"].to_numpy()[part]), ids, q
+def _tiles(batches: Iterator[pd.DataFrame], queries: dict) -> Iterator[tuple[int, slice, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Vectors and queries of one length, a few at a time: (length, place of the queries, their rows, they, the vectors' ids, rows, they)."""
+    for batch in batches:
+        sizes = batch["x"].map(len).to_numpy()
+        for size, (qrows, q) in queries.items():
+            part = np.flatnonzero(sizes == size)
+            for at in range(0, len(part), ROWS):
+                own = part[at : at + ROWS]
+                v = np.stack(batch["x"].to_numpy()[own])
+                for k in range(0, len(q), QUERIES):
+                    place = slice(k, min(k + QUERIES, len(q)))
+                    yield size, place, qrows[place], q[place], batch["vec_id"].to_numpy()[own], batch["row"].to_numpy()[own], v
 
 
 def top_k(vectors: DataFrame, is_query, k: int = 5) -> DataFrame:
@@ -65,81 +78,81 @@ def top_k(vectors: DataFrame, is_query, k: int = 5) -> DataFrame:
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), whole.alias("x")).where(F.coalesce(F.col("vec_id").isNotNull() & (F.size(x) > 0) & ~bad, F.lit(False)))
     # floor() in SQL gives a decimal or a long that large components don't fit
     rows = rows.mapInPandas(lambda batches: (b.assign(x=[np.floor(v) for v in b["x"]]) for b in batches), "vec_id long, x array<double>")
-    rows = materialize(rows, "vectors")
-    asked = materialize(rows.where(is_query).groupBy("vec_id").agg(F.min("x").alias("x")), "queries")
-    n = asked.count()
-    parts = max(1, -(-n // (BLOCK // 2)))  # by hash: half a block each on average
-    results = []
+    rows = materialize(rows.withColumn("row", F.monotonically_increasing_id()), "vectors")  # written once, so that a row keeps its number
+    asked = materialize(rows.where(is_query), "queries")
+    n, size = asked.agg(F.count("*"), F.coalesce(F.max(F.size("x")), F.lit(1))).first()
+    block = max(1, SENT // (8 * size + 8))
+    parts = max(1, -(-n // max(1, block // 2)))  # by hash: half a block each on average
+    path = f"{shared_dir(spark)}/answers-{uuid.uuid4().hex}"
+    noted("", path)
+    spark.createDataFrame([], RESULT).write.parquet(path)
     for part in range(parts):
-        block = asked.where(F.pmod(F.xxhash64("vec_id", F.lit(5)), F.lit(parts)) == part).orderBy("vec_id").collect()
-        for at in range(0, len(block), BLOCK):
-            results.append(_block(rows, block[at : at + BLOCK], k))
-    if not results:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    out = results[0]
-    for more in results[1:]:
-        out = out.unionByName(more)
-    return out
-
-
-def _block(rows: DataFrame, block: list, k: int) -> DataFrame:
-    spark = rows.sparkSession
+        own = asked.where(F.pmod(F.xxhash64("row", F.lit(5)), F.lit(parts)) == part).orderBy("vec_id", "row").collect()
+        for at in range(0, len(own), block):
+            _answer(rows, own[at : at + block], k, path)
+    return spark.read.schema(RESULT).parquet(path)
+
+
+def _answer(rows: DataFrame, block: list, k: int, path: str) -> None:
+    """Appends the answers of a block of queries to ``path``."""
+    context = rows.sparkSession.sparkContext
     queries: dict[int, tuple[np.ndarray, np.ndarray]] = {}
     for size in {len(r["x"]) for r in block}:
         own = [r for r in block if len(r["x"]) == size]
-        queries[size] = (np.array([r["vec_id"] for r in own], dtype=np.int64), np.array([r["x"] for r in own], dtype=np.float64))
-    sent = spark.sparkContext.broadcast(queries)
+        queries[size] = (np.array([r["row"] for r in own], dtype=np.int64), np.array([r["x"] for r in own], dtype=np.float64))
+    sent = context.broadcast(queries)
 
     def lists(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """Phase 1: the k best of each list, scored in full."""
-        for batch in batches:
-            for ids, v, qids, q in _by_size(batch, sent.value):
-                best = []
-                parts = [_products(q[:, r], v[:, r]) for r in _runs(v.shape[1])]
-                own = qids[:, None] == ids[None, :]
-                for p in parts:
-                    p = np.where(own, -_END, p)
-                    best.append(np.argpartition(-p, min(k, p.shape[1]) - 1, axis=1)[:, :k])
-                at = np.concatenate(best, axis=1)
-                total = _products(q, v) if len(parts) > 1 else parts[0]
-                score = np.take_along_axis(total, at, axis=1)
-                qi = np.repeat(np.arange(len(qids)), at.shape[1])
-                flat = at.ravel()
-                keep = ~own[qi, flat]
-                once = np.unique(np.stack([qi[keep], flat[keep]]), axis=1)
-                yield pd.DataFrame({"query_id": qids[once[0]], "score": total[once[0], once[1]]})
-
-    gathered = rows.mapInPandas(lists, "query_id long, score long")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score")))
-    cutoffs = {r["query_id"]: r["score"] for r in gathered.withColumn("rank", rank).where(F.col("rank") == k).collect()}  # one for each query of the block
-    limits = spark.sparkContext.broadcast(cutoffs)
+        """Phase 1: the k best of each list of the task, scored in full."""
+        held = {size: np.full((3, min(LISTS, size), len(q), k), -_END) for size, (_, q) in sent.value.items()}  # partial and whole score, row
+        for size, place, qrows, q, _, vrows, v in _tiles(batches, sent.value):
+            own = qrows[:, None] == vrows[None, :]
+            total = _products(q, v)
+            for at, r in enumerate(_runs(size)):
+                p = np.where(own, -_END, _products(q[:, r], v[:, r]) if size > 1 else total)
+                best = np.argpartition(-p, min(k, p.shape[1]) - 1, axis=1)[:, :k]
+                new = np.stack([np.take_along_axis(p, best, 1), np.take_along_axis(total, best, 1), np.broadcast_to(vrows, p.shape)[np.arange(len(q))[:, None], best]])
+                both = np.concatenate([held[size][:, at, place], new], axis=2)
+                first = np.argpartition(-both[0], k - 1, axis=1)[:, :k]
+                held[size][:, at, place] = np.take_along_axis(both, first[None], 2)
+        for size, (qrows, _) in sent.value.items():
+            partial, total, vrow = (c.transpose(1, 0, 2).reshape(len(qrows), -1) for c in held[size])
+            qi, at = np.nonzero(partial > -_END)
+            some = pd.DataFrame({"query": qrows[qi], "row": vrow[qi, at], "score": total[qi, at]})
+            yield some.drop_duplicates(["query", "row"])[["query", "score"]]
+
+    gathered = rows.mapInPandas(lean(lists), "query long, score long")
+    rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score")))
+    cutoffs = {r["query"]: r["score"] for r in gathered.withColumn("rank", rank).where(F.col("rank") == k).collect()}  # one for each query of the block
+    limits = context.broadcast(cutoffs)
+    names = context.broadcast({r["row"]: r["vec_id"] for r in block})
 
     def sufficient(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """Phases 2 and 3: entries with a partial score of cutoff / LISTS, bounded, then resolved."""
-        for batch in batches:
-            for ids, v, qids, q in _by_size(batch, sent.value):
-                runs = _runs(v.shape[1])
-                cut = np.array([limits.value.get(i, -_END) for i in qids.tolist()], dtype=np.float64)[:, None]
-                share = cut / len(runs)
-                known, missing, any_ = 0.0, 0, False
-                for r in runs:
-                    p = _products(q[:, r], v[:, r])
-                    got = p >= share
-                    known = known + np.where(got, p, 0)
-                    missing = missing + ~got
-                    any_ = any_ | got
-                may = any_ & (known + missing * share >= cut - 1) & (qids[:, None] != ids[None, :])
-                qi, vi = np.nonzero(may)
-                score = np.empty(len(qi), dtype=np.int64)
-                for a in range(0, len(qi), 65_536):
-                    b = slice(a, a + 65_536)
-                    score[b] = _paired(q[qi[b]], v[vi[b]])
-                keep = score >= cut[qi, 0]
-                yield pd.DataFrame({"query_id": qids[qi[keep]], "vec_id": ids[vi[keep]], "score": score[keep]})
-
-    found = rows.mapInPandas(sufficient, "query_id long, vec_id long, score long")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+        for size, _, qrows, q, ids, vrows, v in _tiles(batches, sent.value):
+            cut = np.array([limits.value.get(i, -_END) for i in qrows.tolist()], dtype=np.float64)[:, None]
+            share = cut / len(_runs(size))
+            known, missing, any_ = 0.0, 0, False
+            for r in _runs(size):
+                p = _products(q[:, r], v[:, r])
+                got = p >= share
+                known = known + np.where(got, p, 0)
+                missing = missing + ~got
+                any_ = any_ | got
+            may = any_ & (known + missing * share >= cut - 1) & (qrows[:, None] != vrows[None, :])
+            qi, vi = np.nonzero(may)
+            score = np.empty(len(qi), dtype=np.int64)
+            for a in range(0, len(qi), 65_536):
+                b = slice(a, a + 65_536)
+                score[b] = _paired(q[qi[b]], v[vi[b]])
+            keep = score >= cut[qi, 0]
+            yield pd.DataFrame({"query": qrows[qi[keep]], "query_id": [names.value[i] for i in qrows[qi[keep]].tolist()], "vec_id": ids[vi[keep]], "score": score[keep]}).astype({"query_id": "int64"})
+
+    found = rows.mapInPandas(lean(sufficient), "query long, query_id long, vec_id long, score long")
+    rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "vec_id"))
+    found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score").write.mode("append").parquet(path)
+    for shared in (sent, limits, names):
+        shared.destroy()
 
 
 def _paired(q: np.ndarray, x: np.ndarray) -> np.ndarray:
