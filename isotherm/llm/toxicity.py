@@ -2,15 +2,16 @@
 
 Texts are folded first: lower case, look-alike letters of other scripts and digits or signs inside words to the letters
 they stand for, everything else to blanks. One Aho-Corasick automaton holds whole words, word beginnings and exception
-phrases; a hit inside an exception phrase doesn't count, and of hits that overlap the longest counts. The hits' weights
-are summed and divided by the square root of the number of words; the score is that density over itself plus a cutoff,
-so 0.5 lies at the cutoff.
+phrases; a hit inside an exception phrase doesn't count, and of hits that overlap the leftmost counts, of those that begin
+together the longest. The hits' weights are summed and divided by the square root of the number of words; the score is that
+density over itself plus a cutoff, so 0.5 lies at the cutoff.
 
-The lexicon is learned from labelled rows: word and word-beginning counts of toxic rows, then those of the same entries
-in other rows, give log-odds as weights. At most ``MAX_LABELLED`` labelled rows, chosen by a hash of their id, and
-``MAX_ENTRIES`` entries are taken (documented bounds of the fit; what is scored has none). Of entries that tell
-more than chance those are chosen one by one that most of the rows hold which aren't explained yet. The cutoff is the middle, on
-a log scale, between the densities of both classes where these part, else the best balanced accuracy.
+The lexicon is learned from labelled rows: counts of whole words and of word beginnings of at least five letters in toxic
+rows and in other rows give log-odds as weights. At most ``MAX_LABELLED`` labelled rows, chosen by a hash of their id, are
+taken (a documented bound of the fit; what is scored has none). Entries have to tell more than chance, over all rows and in
+each of ``FOLDS`` parts of them; of these those are chosen one by one that most of the rows hold which aren't explained yet.
+The cutoff is the middle, on a log scale, between the densities of both classes where these part, else the best balanced
+accuracy.
 
 Defined cases: null or empty text scores 0; an absent or one-sided label table leaves the seed lexicon with its cutoff;
 null and repeated ids stay row by row (a label holds for each row of its id; contradicting labels: toxic); an empty
@@ -27,15 +28,17 @@ from dataclasses import dataclass
 
 import ahocorasick
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import texts
+from .common import lean, materialize, texts
 
 MAX_LABELLED = 20_000
-MAX_ENTRIES = 512
 #: Lengths of the word beginnings that may become entries.
-STEMS = (3, 4, 5, 6)
+STEMS = (5, 6, 7)
+#: Parts of the labelled rows, by a hash of their id, in more than half of which an entry has to occur in toxic rows.
+FOLDS = 3
 #: An entry needs this many toxic rows, or this share of them.
 LEAST_ROWS, LEAST_SHARE = 4, 0.004
 #: Entries that should explain a toxic row.
@@ -64,7 +67,7 @@ def fold(text: str) -> str:
 
 @dataclass(frozen=True)
 class Lexicon:
-    """Entries are ' word ' or ' stem'; bounded by MAX_ENTRIES, so that it may be broadcast."""
+    """Entries are ' word ' or ' stem', each of which explains some of at most MAX_LABELLED rows, so that it may be broadcast."""
 
     weights: dict[str, float]
     cutoff: float
@@ -99,22 +102,19 @@ def entries_of(text: str) -> set[str]:
     return {f" {w} " for w in words} | {f" {w[:n]}" for w in words for n in STEMS if len(w) > n}
 
 
-def _count(rows: DataFrame, only: set[str] | None) -> dict[str, int]:
-    """Rows that hold each entry. Batches are counted in their task before anything is shuffled."""
-    shared = rows.sparkSession.sparkContext.broadcast(only)
+def _counts(rows: DataFrame) -> DataFrame:
+    """(entry, n, folds): rows that hold each entry, and folds of them. Batches are counted in their task before anything is shuffled."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        seen: Counter[str] = Counter()
+        seen: Counter[tuple[str, int]] = Counter()
         for batch in batches:
-            for text in batch["text"]:
-                own = entries_of(text)
-                seen.update(own if shared.value is None else own & shared.value)
-        yield pd.DataFrame({"entry": list(seen), "n": list(seen.values())}).astype({"entry": "str", "n": "int64"})
+            for text, fold_ in zip(batch["text"], batch["fold"], strict=True):
+                seen.update((e, fold_) for e in entries_of(text))
+        yield pd.DataFrame({"entry": [e for e, _ in seen], "fold": [k for _, k in seen], "n": list(seen.values())}).astype({"entry": "str", "fold": "int32", "n": "int64"})
 
-    least = 1 if only is not None else LEAST_ROWS
-    summed = rows.select("text").mapInPandas(count, "entry string, n long").groupBy("entry").agg(F.sum("n").alias("n"))
-    kept = summed.where(F.col("n") >= least).orderBy(F.desc("n"), "entry").limit(64 * MAX_ENTRIES)
-    return {r["entry"]: r["n"] for r in kept.collect()}
+    fold_of = F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(FOLDS)).cast("int").alias("fold")
+    counted = rows.select("text", fold_of).mapInPandas(lean(count), "entry string, fold int, n long")
+    return counted.groupBy("entry").agg(F.sum("n").alias("n"), F.countDistinct("fold").alias("folds"))
 
 
 def _held(toxic: DataFrame, entries: set[str]) -> list[set[str]]:
@@ -125,7 +125,7 @@ def _held(toxic: DataFrame, entries: set[str]) -> list[set[str]]:
         for batch in batches:
             yield pd.DataFrame({"entries": [sorted(entries_of(t) & shared.value) for t in batch["text"]]})
 
-    return [set(r["entries"]) for r in toxic.select("text").mapInPandas(hold, "entries array<string>").collect()]
+    return [set(r["entries"]) for r in toxic.select("text").mapInPandas(lean(hold), "entries array<string>").collect()]
 
 
 def _significant(hits: int, n1: int, n0: int, tried: int) -> bool:
@@ -171,14 +171,15 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column) -> Lexicon:
     if not n1 or not n0:
         return Lexicon({f" {w} ": v for w, v in SEED.items()}, SEED_CUTOFF)
     least = max(LEAST_ROWS, LEAST_SHARE * n1)
-    in_toxic = {e: n for e, n in _count(toxic, None).items() if n >= least}
-    in_other = _count(other, set(in_toxic))
-    weights = {e: math.log((n + 0.5) / (n1 + 1)) - math.log((in_other.get(e, 0) + 0.5) / (n0 + 1)) for e, n in in_toxic.items()}
-    # how often an entry would be wrong counts as well: few other rows may hold it
-    # an entry may be wrong now and then, but it has to tell more than chance would
-    weights = {e: w for e, w in weights.items() if w >= LEAST_WEIGHT and in_other.get(e, 0) <= 0.1 * in_toxic[e] and _significant(in_toxic[e], n1, n0, len(in_toxic))}
-    top = set(sorted(weights, key=lambda e: (-in_toxic[e] * weights[e], e))[:MAX_ENTRIES])
-    lexicon = _covering(_held(toxic, top), weights, n1, n0)
+    in_toxic = materialize(_counts(toxic).where(F.col("n") >= least), "entries")
+    tried = in_toxic.count()
+    in_other = _counts(other).select("entry", F.col("n").alias("m"))
+    told = in_toxic.where((F.col("folds") * 2 > FOLDS) & (F.col("n") * math.log((n1 + n0) / n1) > math.log(20 * max(tried, 1))))
+    told = told.join(in_other, "entry", "left").na.fill(0, ["m"])
+    told = told.withColumn("weight", F.log((F.col("n") + 0.5) / (n1 + 1)) - F.log((F.col("m") + 0.5) / (n0 + 1)))
+    # an entry may be wrong now and then, but few other rows may hold it
+    weights = {r["entry"]: r["weight"] for r in told.where((F.col("weight") >= LEAST_WEIGHT) & (F.col("m") <= 0.1 * F.col("n"))).collect()}
+    lexicon = _covering(_held(toxic, set(weights)), weights, n1, n0)
     if not lexicon:
         return Lexicon({f" {w} ": v for w, v in SEED.items()}, SEED_CUTOFF)
     found = _densities(rows.select("doc_id", "text", "toxic"), Lexicon(lexicon, 1.0)).select("toxic", "density").collect()
@@ -213,7 +214,7 @@ def _densities(rows: DataFrame, lexicon: Lexicon) -> DataFrame:
         for batch in batches:
             yield batch[kept].assign(density=[density(t, automaton) for t in batch["text"]])
 
-    return rows.mapInPandas(score, schema)
+    return rows.mapInPandas(lean(score), schema)
 
 
 def scored(rows: DataFrame, lexicon: Lexicon) -> DataFrame:
@@ -225,9 +226,15 @@ def scored(rows: DataFrame, lexicon: Lexicon) -> DataFrame:
 
 def kept_rows(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
     """The whole rows of ``docs`` that aren't toxic. No shuffle."""
-    columns = docs.columns
-    named = docs.select(F.coalesce(F.col("text"), F.lit("")).alias("__text"), F.struct(*columns).alias("__row"))
-    return _densities(named.withColumnRenamed("__text", "text"), lexicon).where(F.col("density") < lexicon.cutoff).select("__row.*")
+    shared = docs.sparkSession.sparkContext.broadcast(lexicon.weights)
+    cutoff = lexicon.cutoff
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        automaton = Lexicon(shared.value, cutoff).automaton()
+        for batch in batches:
+            yield batch.filter(pa.array([density(t or "", automaton) < cutoff for t in batch.column("text").to_pylist()], pa.bool_()))
+
+    return docs.mapInArrow(keep, docs.schema)
 
 
 def held_out(doc_id: Column) -> Column:
