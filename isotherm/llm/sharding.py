@@ -1,13 +1,14 @@
 """Sharding by sampled splitters, law ``bytes``: shards of near equal size, with equal texts side by side.
 
 Rows are ordered by (hash of the text, text_crc32, doc_id). A sample of keys, each row drawn with a chance in proportion
-to its size, gives splitters at its quantiles, which range-partition the rows into many small ranges. Exact row and byte
-totals of the ranges place each range in the whole order; where a shard's boundary falls into a range, or a range holds
-more than a shard, the range is subdivided by the running totals inside it. A boundary that would cut a group of equal
-texts moves to the nearer end of the group if the shards stay within ``TOLERANCE`` of their share; a larger group is
-subdivided by doc_id.
+to its size, gives splitters at its quantiles, which range-partition the rows into many small ranges. Ranges of more than
+``ROWS`` rows are subdivided, by the hash or, inside one text, by doc_id, so that ranges grow in number and not in size.
+Exact row and byte totals of the ranges place each range in the whole order; a shard's boundary is found by the running
+totals inside its range. A boundary that would cut a group of equal texts moves to the nearer end of the group if the
+shards stay within ``TOLERANCE`` of their share; a larger group is cut by doc_id. Shards differ by that tolerance and by one
+row's size at most, which shows where rows are large against shards.
 
-Only the sample (at most about ``SAMPLE`` keys), the ranges' totals and the boundaries come to the driver.
+Only the sample (about ``SAMPLE`` keys), the ranges' totals (one for ``ROWS`` rows) and the boundaries come to the driver.
 
 Defined cases: a null text has size 1 and the checksum of the empty text; null ids sort first; repeated rows each get a
 slot of their own; an empty table gives an empty result; with fewer rows than shards some shards stay empty; further
@@ -21,17 +22,19 @@ from bisect import bisect_left
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import lean, materialize
 
 #: Keys in the sample, ranges that its quantiles make for each shard, and how far a shard may be from its share to keep a group whole.
 SAMPLE, RANGES, TOLERANCE = 40_000, 48, 0.02
+#: Rows of a range, about, beyond which it is subdivided.
+ROWS = 500_000
 
 
 def _splitters(keyed: DataFrame, total: int, ranges: int) -> list[tuple[int, int]]:
-    """Quantiles of a size-weighted sample of (hash, doc_id); the draw hangs on the key and the row's place, not on a seed."""
+    """Quantiles of a size-weighted sample of (hash, doc_id); each row is drawn by itself, so that repeated ones don't come all together."""
     chance = F.least(F.lit(1.0), F.col("size") * (SAMPLE / max(total, 1)))
-    drawn = F.pmod(F.xxhash64("h", "doc_id", F.lit(7)), F.lit(1 << 30)) < chance * (1 << 30)
-    sample = sorted((r["h"], r["doc_id"]) for r in keyed.where(drawn & F.col("doc_id").isNotNull()).select("h", "doc_id").limit(4 * SAMPLE).collect())
+    drawn = keyed.where((F.rand(7) < chance) & F.col("doc_id").isNotNull())
+    sample = sorted((r["h"], r["doc_id"]) for r in drawn.select("h", "doc_id").collect())  # about SAMPLE of them
     if not sample:
         return []
     return sorted({sample[i * len(sample) // ranges] for i in range(1, ranges)})
@@ -64,7 +67,8 @@ def shard(docs: DataFrame, shards: int = 16) -> DataFrame:
                 low[i] = low[i] if d != d or d is None else bisect_left(bounds.value, (h[i], int(d) + 1), low[i], high[i])
             yield batch.assign(range=low.astype("int32"))
 
-    ranged = keyed.mapInPandas(place, keyed.schema.simpleString()[7:-1].replace(":", " ").replace(",", ", ") + ", range int")
+    ranged = keyed.mapInPandas(lean(place), keyed.schema.simpleString()[7:-1].replace(":", " ").replace(",", ", ") + ", range int")
+    ranged = _subdivided(ranged)
     order = Window.partitionBy("range").orderBy("h", "text_crc32", F.col("doc_id").asc_nulls_first(), "size")
     ranged = ranged.withColumn("row", F.row_number().over(order).cast("long")).withColumn("upto", F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
     ranged = materialize(ranged, "shard-ranges")
@@ -84,6 +88,23 @@ def shard(docs: DataFrame, shards: int = 16) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), number.cast("int").alias("shard"), (F.col("at") - first).alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
 
 
+def _subdivided(ranged: DataFrame) -> DataFrame:
+    """Ranges in parts of about ROWS rows, numbered in order: equal steps of the hash or, in a range of one text, of doc_id."""
+    spark = ranged.sparkSession
+    spread = ranged.groupBy("range").agg(F.count("*").alias("n"), F.min("h").alias("h0"), F.max("h").alias("h1"), F.min("doc_id").alias("d0"), F.max("doc_id").alias("d1"))
+    parts, before = [], 0
+    for r in spread.orderBy("range").collect():  # one for each range between splitters
+        low, high = (r["h0"], r["h1"]) if r["h0"] < r["h1"] else (r["d0"] or 0, r["d1"] or 0)
+        n = -(-r["n"] // ROWS) if low < high else 1
+        parts.append((r["range"], before, n, r["h0"] < r["h1"], float(low), float(high - low) or 1.0))
+        before += n
+    steps = spark.createDataFrame(parts, "range int, before int, parts int, by_hash boolean, low double, width double")
+    value = F.when(F.col("by_hash"), F.col("h")).otherwise(F.col("doc_id")).cast("double")
+    step = F.least(F.col("parts") - 1, F.floor((value - F.col("low")) / F.col("width") * F.col("parts"))).cast("int")
+    place = F.col("before") + F.greatest(F.coalesce(step, F.lit(0)), F.lit(0))  # null ids come first
+    return ranged.join(F.broadcast(steps), "range").select(*(c for c in ranged.columns if c != "range"), place.cast("int").alias("range"))
+
+
 def _cuts(ranged: DataFrame, totals: list, starts: dict, rows: int, total: int, shards: int) -> list[int]:
     """For each shard but the first, the row number in the whole order at which it starts."""
     marks = [total * k // shards for k in range(1, shards)]
