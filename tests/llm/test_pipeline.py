@@ -3,7 +3,6 @@
 import random
 
 import corpus_pipeline as cp
-from pyspark.sql import functions as F
 
 
 def tables(spark, folder):
@@ -48,5 +47,29 @@ def test_stages(spark, tmp_path):
 
 
 def test_cut_characters_go(spark):
-    rows = spark.createDataFrame([(bytearray("añb".encode()[:2] + b"c"),), (bytearray("añb".encode()),)], "kept binary")
-    assert [r[0] for r in rows.select(cp.valid_text(F.col("kept"))).collect()] == ["ac", "añb"]
+    """Bytes left of cut characters go, characters of a document's own stay, U+FFFD among them; names that clash with results are carried."""
+    shared = "x" * 60 + "ñ"
+    rows = [(1, "ab\ufffd " + shared, 1, "k1"), (2, "\ufffdñ" + shared.replace("ñ", "ò") + " \ufffd", 2, "k2"), (None, None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n_removed int, kept string")
+    got = {r["doc_id"]: r for r in cp.repeats_stage(spark, docs, "").collect()}
+    assert got[1]["text"] == rows[0][1] and got[2]["text"] == "\ufffdñ \ufffd"
+    assert (got[2]["n_removed"], got[2]["kept"]) == (2, "k2") and got[None]["text"] == ""
+
+
+def test_unusual_rows(spark, tmp_path):
+    """Null columns, empty and very long texts, repeated rows and ids, and an empty table go through every stage."""
+    folder = str(tmp_path)
+    kinds = "doc_id long, text string, lang string, source string, n_chars long, n_tokens int, kept string, copies long"
+    rows = [(1, None), (2, ""), (2, ""), (None, "some words of no id"), (None, "some words of no id"), (3, "one two three"), (3, "other words than those"), (4, "lorem ipsum dolor sit amet " * 8000), (5, "x" * 60_000), (-7, "ΑΣΣ İ ñ 日本語")]
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    spark.createDataFrame([(*r, *(None,) * 6) for r in rows], kinds).write.parquet(f"{folder}/documents.parquet")
+    docs, left = spark.read.parquet(f"{folder}/documents.parquet"), []
+    for name, stage in cp.STAGES[:-1]:
+        stage(spark, docs, folder).write.parquet(f"{folder}/{name}")
+        docs = spark.read.parquet(f"{folder}/{name}")
+        left.append(sorted(r["doc_id"] for r in docs.where("doc_id is not null").select("doc_id").collect()))
+    assert left == [[-7, 1, 2, 2, 3, 3, 4, 5]] * 4
+    assert cp.STAGES[-1][1](spark, docs, folder).count() == 10
+    none = spark.createDataFrame([], kinds)
+    for _, stage in cp.STAGES:
+        assert stage(spark, none, folder).count() == 0
