@@ -7,7 +7,7 @@ together the longest. The hits' weights are summed and divided by the square roo
 density over itself plus a cutoff, so 0.5 lies at the cutoff.
 
 The lexicon is learned from labelled rows: counts of whole words and of word beginnings of at least five letters in toxic
-rows and in other rows give log-odds as weights. At most ``MAX_LABELLED`` labelled rows, chosen by a hash of their id, are
+rows and in other rows give log-odds as weights; a list of general English insults is there from the start. At most ``MAX_LABELLED`` labelled rows, chosen by a hash of their id, are
 taken (a documented bound of the fit; what is scored has none). Entries have to tell more than chance, over all rows and in
 each of ``FOLDS`` parts of them; of these those are chosen one by one that most of the rows hold which aren't explained yet.
 The cutoff is the middle, on a log scale, between the densities of both classes where these part, else the best balanced
@@ -45,10 +45,17 @@ LEAST_ROWS, LEAST_SHARE = 4, 0.004
 DEPTH = 2
 LEAST_WEIGHT = 2.5
 SEED_CUTOFF = 0.05
-#: General English insults, for when no labels are to be had.
-SEED = {w: 4.0 for w in ("idiot", "moron", "stupid", "loser", "scum", "worthless", "pathetic", "disgusting")}
+#: General English insults: entries from the start, unless one in a hundred of the other rows holds them.
+SEED_WEIGHT = 4.0
+SEED = """asshole bastard bitch cretin creep dimwit dipshit disgusting douchebag dumbass dunce filth freak halfwit idiot idiotic imbecile
+jackass jerk liar loser lowlife maggot moron moronic nitwit parasite pathetic pig prick scum scumbag scumbags sleazebag stupid swine tosser trash
+twat vermin wanker weasel worthless wretch""".split()
 #: Phrases in which a lexicon word isn't an insult.
-EXCEPTIONS = ("trash can", "trash bin", "clown fish", "class clown", "loser bracket", "pond scum", "idiot proof")
+EXCEPTIONS = (
+    "trash can", "trash cans", "trash bin", "trash bag", "trash collection", "trash talk", "clown fish", "class clown", "loser bracket", "loser bracket final", "sore loser",
+    "pond scum", "soap scum", "scum line", "idiot proof", "idiot light", "guinea pig", "guinea pigs", "pig iron", "pig farm", "circus freak", "freak accident", "freak storm",
+    "control freak", "jerk chicken", "knee jerk", "jerk seasoning", "creep rate", "creep test", "scope creep", "feature creep", "liar paradox", "parasite host", "weasel words",
+)
 #: Letters of other scripts by the Latin ones they look like.
 LOOKALIKES = {"a": "аα", "b": "вβ", "c": "сϲ", "d": "ԁ", "e": "еε", "g": "ɡ", "h": "һн", "i": "іιı", "j": "ј", "k": "кκ", "l": "ӏ", "m": "м", "n": "ո", "o": "оοσ", "p": "рρ", "r": "г", "s": "ѕ", "t": "тτ", "u": "υ", "v": "ν", "w": "ԝ", "x": "хχ", "y": "уγ"}
 DIGITS = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t"}
@@ -165,11 +172,13 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column) -> Lexicon:
         marked = marked.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(MAX_LABELLED / total * (1 << 20)))
     # at most MAX_LABELLED short rows, about 16 bytes each
     rows = texts(docs).join(F.broadcast(marked), "doc_id")
+    # copies of a text are one row of the fit: they say the same
+    rows = materialize(rows.groupBy("text").agg(F.max("toxic").alias("toxic"), F.min("doc_id").alias("doc_id")), "labelled")
     toxic, other = rows.where("toxic = 1"), rows.where("toxic = 0")
     sizes = {r["toxic"]: r["count"] for r in rows.groupBy("toxic").count().collect()}
     n1, n0 = sizes.get(1, 0), sizes.get(0, 0)
     if not n1 or not n0:
-        return Lexicon({f" {w} ": v for w, v in SEED.items()}, SEED_CUTOFF)
+        return Lexicon({f" {w} ": SEED_WEIGHT for w in SEED}, SEED_CUTOFF)
     least = max(LEAST_ROWS, LEAST_SHARE * n1)
     in_toxic = materialize(_counts(toxic).where(F.col("n") >= least), "entries")
     tried = in_toxic.count()
@@ -180,8 +189,9 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column) -> Lexicon:
     # an entry may be wrong now and then, but few other rows may hold it
     weights = {r["entry"]: r["weight"] for r in told.where((F.col("weight") >= LEAST_WEIGHT) & (F.col("m") <= 0.1 * F.col("n"))).collect()}
     lexicon = _covering(_held(toxic, set(weights)), weights, n1, n0)
-    if not lexicon:
-        return Lexicon({f" {w} ": v for w, v in SEED.items()}, SEED_CUTOFF)
+    seeds = {f" {w} " for w in SEED}
+    often = {r["entry"] for r in in_other.where(F.col("entry").isin(*seeds) & (F.col("m") > 0.01 * n0)).collect()}
+    lexicon = {e: SEED_WEIGHT for e in seeds - often} | lexicon
     found = _densities(rows.select("doc_id", "text", "toxic"), Lexicon(lexicon, 1.0)).select("toxic", "density").collect()
     return Lexicon(lexicon, _cutoff([(r["density"], r["toxic"]) for r in found]))
 
