@@ -3,8 +3,8 @@
 A document is the set of its runs of ``N`` words; equal sets are one row with a count. Sets are embedded as ``T`` minimum
 hashes, so that a place agrees with a chance of the Jaccard similarity. A run of the join starts with one node for all
 sets; each node draws a few places (one or two on average) and splits its sets by their values there, level by level. A
-node of one set ends; one of at most ``SMALL`` sets is checked by brute force; larger ones split on, and what is still
-large at ``DEPTH`` is checked in pairs of blocks. Runs are repeated as often as it takes for a pair at the threshold to be
+node of one set ends; one of at most ``SMALL`` sets is checked by brute force, and so are larger ones once at most as many
+of their sets lie outside one component; others split on, and what is left at ``DEPTH`` is checked in pairs of blocks. Runs are repeated as often as it takes for a pair at the threshold to be
 missed with a chance of at most ``MISS``. Draws, runs and the agreement asked for in a check follow from the threshold.
 
 In a node, sets whose signatures agree in enough places are united (``nodes``): large nodes by a star around one of their
@@ -194,14 +194,16 @@ def _candidates(once: DataFrame, threshold: float) -> DataFrame:
         some = not large.isEmpty()
         if some:
             large = materialize(links.stars(large), "mixed-nodes")
-            some = not large.isEmpty()
+            # nodes with few sets outside their main component are checked at once, others split on
+            done = large if depth == DEPTH else large.where(F.col("n_out") <= SMALL)
+            if not done.isEmpty():
+                links.check_large(done)
+            large = large.where(F.col("n_out") > SMALL)
+            some = depth < DEPTH and not large.isEmpty()
         links.check_small(sized.where(F.col("size") <= SMALL))
         if not some:
             break
-        if depth == DEPTH:
-            links.check_large(large)
-        else:
-            entries = _split(large.join(once.select("key", "signature"), "key"), split)
+        entries = _split(large.join(once.select("key", "signature"), "key"), split)
     return links.found
 
 
@@ -291,8 +293,8 @@ def jaccard_join(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     rooted = components(_candidates(once, threshold))
     found = _exact(docs, once, rooted, threshold)
     counted = found.groupBy("key").agg(F.sum("n").alias("n"))
-    classes = components(found.select(F.col("key").alias("a"), F.col("root").alias("b")))
-    classes = once.select("key", "copies", "first_id").join(counted, "key", "left").join(classes, "key", "left")
+    counted = counted.join(components(found.select(F.col("key").alias("a"), F.col("root").alias("b"))), "key", "left")
+    classes = once.select("key", "copies", "first_id").join(counted, "key", "left")
     classes = classes.select("key", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("root", "key").alias("root"), "first_id")
     least = classes.groupBy("root").agg(F.min("first_id").alias("class_id"))
     classes = classes.join(least, "root").select("key", "n_links", "class_id")

@@ -3,7 +3,7 @@
 A key has a brief (a few bytes), by which near pairs are told. What leaves is never pairs: a forest over a small node, or a
 star around a large node's smallest key. Large nodes are hot for one reason mostly, a large group of near copies; its
 members are one component once the stars are drawn, and members of one component needn't be compared again. Only members
-of a large node outside the component of its smallest key are compared, with each other and with the rest, in blocks.
+of a large node outside its most frequent component are compared, with each other and with the rest, in blocks.
 """
 
 from __future__ import annotations
@@ -54,20 +54,19 @@ class Links:
     def __init__(self, briefs: DataFrame, near: Near, paired: Near, small: int):
         self.briefs, self.near, self.paired, self.small = briefs, near, paired, small
         self.found: DataFrame | None = None
-        self.roots: DataFrame | None = None
+        #: (key, brief, root): the component of each key by the stars so far.
+        self.rooted = briefs.select("key", "brief", F.col("key").alias("root"))
 
     def add(self, links: DataFrame, name: str) -> None:
         links = materialize(links.distinct(), name)
         self.found = links if self.found is None else self.found.unionByName(links)
 
-    def rooted(self) -> DataFrame:
-        """(key, brief, root)."""
-        if self.roots is None:
-            return self.briefs.select("key", "brief", F.col("key").alias("root"))
-        return self.briefs.join(self.roots, "key", "left").select("key", "brief", F.coalesce("root", "key").alias("root"))
-
     def stars(self, large: DataFrame) -> DataFrame:
-        """Of large nodes (node, key, least, size) those whose keys aren't one component once each is linked with the node's least if near: (node, key, root, least)."""
+        """Links each key of large nodes (node, key, least, size) with the node's least if near.
+
+        Returns the nodes whose keys aren't one component then: (node, key, root, head, n_in, n_out), head being the most
+        frequent component, n_in and n_out the keys inside and outside of it.
+        """
         paired = self.paired
 
         def close(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -79,32 +78,44 @@ class Links:
         to = self.briefs.select(F.col("key").alias("b"), F.col("brief").alias("to"))
         spokes = spokes.join(self.briefs.select(F.col("key").alias("a"), "brief"), "a").join(to, "b")
         self.add(spokes.mapInPandas(lean(close), PAIR), "stars")
-        self.roots = components(self.found)
-        own = materialize(large.join(self.rooted().select("key", "root"), "key"), "large-nodes")
-        mixed = own.groupBy("node").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("node")
-        return own.join(mixed, "node")
+        roots = components(self.found)
+        rooted = self.briefs.select("key", "brief").join(roots, "key", "left").select("key", "brief", F.coalesce("root", "key").alias("root"))
+        self.rooted = materialize(rooted, "rooted")
+        own = materialize(large.select("node", "key").join(self.rooted.select("key", "root"), "key"), "large-nodes")
+        kinds = own.groupBy("node", "root").agg(F.count("*").alias("n"))
+        most = F.max(F.struct("n", "root"))
+        mixed = kinds.groupBy("node").agg(most.alias("most"), F.sum("n").alias("n"), F.count("*").alias("kinds")).where("kinds > 1")
+        return own.join(mixed.select("node", F.col("most.root").alias("head"), F.col("most.n").alias("n_in"), (F.col("n") - F.col("most.n")).alias("n_out")), "node")
 
     def check(self, dealt: DataFrame, parts: int, name: str) -> None:
         """Links within nodes or pairs of blocks (node, i, j), as a forest for each; ``own`` is the block of a row (node, key, own, i, j)."""
-        near = self.near
-
-        def one(frame: pd.DataFrame) -> pd.DataFrame | None:
-            key, own, (root, kinds) = frame["key"].to_numpy(), frame["own"].to_numpy(), pd.factorize(frame["root"])
-            if len(kinds) == 1:
-                return None
-            sig = _briefs(frame["brief"])
-            left, right = np.flatnonzero(own == frame["i"].iat[0]), np.flatnonzero(own == frame["j"].iat[0])
-            a, b = np.nonzero(near(sig[left], sig[right]))
-            least = forest(len(frame), left[a], right[b])
-            moved = np.flatnonzero((least != np.arange(len(frame))) & (root != root[least]))
-            return pd.DataFrame({"a": key[moved], "b": key[least[moved]]})
+        near, paired = self.near, self.paired
 
         def packed(frame: pd.DataFrame) -> pd.DataFrame:
-            """Many small nodes in one call."""
-            out = [x for _, g in frame.groupby(["node", "i", "j"], sort=False) if len(g) > 1 and (x := one(g)) is not None]
-            return pd.concat(out) if out else pd.DataFrame({"a": pd.Series([], dtype=object), "b": pd.Series([], dtype=object)})
-
-        joined = dealt.join(self.rooted(), "key").withColumn("part", F.pmod(F.xxhash64("node", "i", "j"), F.lit(parts)))
+            """Many small nodes in one call; those of two keys, most of them, all at once."""
+            node, i, j, own, key = (frame[c].to_numpy() for c in ("node", "i", "j", "own", "key"))
+            order = np.lexsort((j, i, node))
+            node, i, j, own, key = node[order], i[order], j[order], own[order], key[order]
+            root, sig = pd.factorize(frame["root"])[0][order], _briefs(frame["brief"].to_numpy()[order])
+            start = np.flatnonzero(np.r_[True, (node[1:] != node[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])])
+            size = np.diff(np.r_[start, len(node)])
+            two = start[(size == 2) & (own[start] + own[np.minimum(start + 1, len(own) - 1)] == i[start] + j[start])]
+            two = two[root[two] != root[two + 1]]
+            two = two[paired(sig[two], sig[two + 1])]
+            a, b = [two + 1], [two]
+            for at, n in zip(start[size > 2].tolist(), size[size > 2].tolist(), strict=True):
+                part = slice(at, at + n)
+                if (root[part] == root[at]).all():
+                    continue
+                left, right = np.flatnonzero(own[part] == i[at]), np.flatnonzero(own[part] == j[at])
+                x, y = np.nonzero(near(sig[at + left], sig[at + right]))
+                least = forest(n, left[x], right[y])
+                moved = np.flatnonzero((least != np.arange(n)) & (root[part] != root[at + least]))
+                a.append(at + moved)
+                b.append(at + least[moved])
+            return pd.DataFrame({"a": key[np.concatenate(a)], "b": key[np.concatenate(b)]})
+
+        joined = dealt.join(self.rooted, "key").withColumn("part", F.pmod(F.xxhash64("node", "i", "j"), F.lit(parts)))
         self.add(joined.groupBy("part").applyInPandas(packed, PAIR), name)
 
     def check_small(self, small: DataFrame) -> None:
@@ -112,11 +123,8 @@ class Links:
         self.check(rows, max(64, small.count() // 4096), "candidates")
 
     def check_large(self, mixed: DataFrame) -> None:
-        """Keys outside the component of their node's least one, in blocks with each other and with those inside."""
-        heads = mixed.where(F.col("key") == F.col("least")).select("node", F.col("root").alias("head"))
-        sides = mixed.join(heads, "node").withColumn("out", F.col("root") != F.col("head"))
-        sizes = sides.groupBy("node").agg(F.sum(F.col("out").cast("long")).alias("n_out"), F.sum((~F.col("out")).cast("long")).alias("n_in"))
-        sides = sides.join(sizes, "node").withColumns({"b_out": F.ceil(F.col("n_out") / self.small).cast("int"), "b_in": F.ceil(F.col("n_in") / self.small).cast("int")})
+        """Keys outside the most frequent component of their node, in blocks with each other and with those inside."""
+        sides = mixed.withColumns({"out": F.col("root") != F.col("head"), "b_out": F.ceil(F.col("n_out") / self.small).cast("int"), "b_in": F.ceil(F.col("n_in") / self.small).cast("int")})
         own = F.when(F.col("out"), F.pmod(F.xxhash64("key"), "b_out")).otherwise(F.col("b_out") + F.pmod(F.xxhash64("key"), "b_in")).cast("int")
         # an outer key meets all blocks, an inner one the outer blocks
         others = F.sequence(F.lit(0), F.when(F.col("out"), F.col("b_out") + F.col("b_in")).otherwise(F.col("b_out")) - 1)
