@@ -49,5 +49,5 @@ def safe_float(text: Column, default: float = 0.0) -> Column:
 
 
 def present(value: Column) -> Column:
-    """The value, or null for blank text and NaN."""
-    return F.when(F.isnan(value), None).otherwise(value)
+    """The value of a cell, or null where it is missing: blank text, NaN or null."""
+    return F.when(F.coalesce(F.btrim(value.cast("string")).isin("", "NaN"), F.lit(True)), None).otherwise(value)

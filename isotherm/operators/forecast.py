@@ -198,11 +198,12 @@ def errors(df: DataFrame, truth: str, guess: str, by: list[str]) -> DataFrame:
     return df.groupBy(*by).agg(F.avg(F.abs(gap)).alias("mae"), F.sqrt(F.avg(gap * gap)).alias("rmse"), F.count("*").alias("n"))
 
 
-def train_forest(df: DataFrame, city: str, trees: int = 600, depth: int = 30) -> RandomForestRegressionModel:
-    """A forest over one city's training part, whose target is the feature day's own value (features lie before it)."""
-    rows = chronological(forest_features(df.where(F.col("city") == city)).join(df.select("city", "date", "tavg"), ["city", "date"])).where("part = 'train'")
-    if rows.count() < min(FOREST_LEAST_ROWS, 30):
+def train_forest(df: DataFrame, city: str, trees: int = 600, depth: int = 30, least: int = FOREST_LEAST_ROWS) -> RandomForestRegressionModel:
+    """A forest over one city's training part, if it has at least ``least`` rows with all features, whose target is the feature day's own value (features lie before it)."""
+    rows = chronological(forest_features(df.where(F.col("city") == city)).join(df.select("city", "date", "tavg"), ["city", "date"]))
+    if rows.count() < least:
         raise ValueError("too few rows")
+    rows = rows.where("part = 'train'")
     vectors = VectorAssembler(inputCols=FOREST_FEATURES, outputCol="x").transform(rows)
     return RandomForestRegressor(featuresCol="x", labelCol="tavg", numTrees=trees, maxDepth=depth, featureSubsetStrategy="all", seed=42).fit(vectors)
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+import uuid
 from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,10 +12,13 @@ from pyspark.sql import functions as F
 from ..functions.keys import city_key
 from ..operators import forecast, rollup, series
 from ..schemas import KEYS
-from ..sources import tables
+from ..sources import sinks, tables
 from ..sources.sinks import write_upsert
+from ..sources.storage import stored
 from .insights import Config, payload
 
+#: What a run's log rows hold besides its id, state and time.
+RUN_COLUMNS = ["endpoint", "city", "params_json", "result_json", "error"]
 DEFAULT_START, DEFAULT_END = date(2016, 1, 1), date(2024, 12, 31)
 
 
@@ -59,13 +64,51 @@ class Store:
     def history(self, city: str, start: str | None = None, end: str | None = None) -> DataFrame:
         return tables.history(self.read("weather_daily"), city, clean_text(start), clean_text(end))
 
-    def analyse(self, config: Config | None = None) -> DataFrame:
-        """Daily and monthly tables are upserted for all cities; the payloads come back as (city, payload)."""
-        weather = self.read("weather_daily")
-        daily = series.daily_features(weather)
-        self.upsert("analysis_daily", daily)
-        self.upsert("analysis_monthly", rollup.monthly(daily))
-        return payload(weather, config)
+    def analyse(self, config: Config | None = None, endpoint: str = "analyse") -> DataFrame:
+        """Daily and monthly tables are upserted for all cities; the payloads come back as (city, payload).
+
+        The run's start and end are logged, and each city's payload is kept with its state; where the run fails the state says so,
+        and the last good payload stays.
+        """
+        run, weather = self.start_run(endpoint, {"config": repr(config)}), self.read("weather_daily")
+        cities = weather.select("city").distinct()
+        try:
+            daily = series.daily_features(weather)
+            rows = {"daily_rows": self.upsert("analysis_daily", daily), "monthly_rows": self.upsert("analysis_monthly", rollup.monthly(daily))}
+            out = stored(payload(weather, config), "payloads")
+        except Exception as e:
+            self._append("insights_cache", cities.select("city", F.current_timestamp().alias("at"), F.lit("error").alias("status"), F.lit(None).cast("string").alias("payload"), F.lit(run).alias("run_id")))
+            self.end_run(run, "error", error=str(e)[:2000])
+            raise
+        self._append("insights_cache", out.select("city", F.current_timestamp().alias("at"), F.lit("ok").alias("status"), "payload", F.lit(run).alias("run_id")))
+        self.end_run(run, "ok", rows)
+        return out
+
+    def insights(self, city: str) -> DataFrame:
+        """The city's state and last good payload, or no row."""
+        states = self.read("insights_cache").withColumnRenamed("payload", "payload_ref")
+        return tables.cached(sinks.cache_states(states), city).withColumnRenamed("payload_ref", "payload")
+
+    def _append(self, name: str, rows: DataFrame) -> None:
+        rows.write.mode("append").parquet(self.path(name))
+
+    def _log(self, run: str, status: str, **values: str | None) -> None:
+        given = self.spark.createDataFrame([(run, status, *(values.get(k) for k in RUN_COLUMNS))], ", ".join(f"{k} string" for k in ("run_id", "status", *RUN_COLUMNS)))
+        self._append("execution_runs", given.withColumn("at", F.current_timestamp()))
+
+    def start_run(self, endpoint: str, params: dict | None = None, city: str | None = None) -> str:
+        run = uuid.uuid4().hex
+        self._log(run, "running", endpoint=endpoint, city=city, params_json=json.dumps(params or {}, sort_keys=True))
+        return run
+
+    def end_run(self, run: str, status: str, result: dict | None = None, error: str | None = None) -> None:
+        self._log(run, status, result_json=None if result is None else json.dumps(result, sort_keys=True), error=error)
+
+    def runs(self, limit: int = 30) -> DataFrame:
+        """The latest runs with their state, times and what was given and returned."""
+        log = self.read("execution_runs")
+        rest = log.groupBy("run_id").agg(*(F.max(c).alias(c) for c in RUN_COLUMNS))
+        return tables.recent_runs(sinks.run_states(log).join(rest, "run_id"), limit)
 
     def forecast(self, horizon: int = 7) -> DataFrame:
         return forecast.sarimax_forecast(self.read("weather_daily"), clamped(horizon, 1, 30))

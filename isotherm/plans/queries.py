@@ -166,12 +166,27 @@ def recent_runs(spark, sf_dir):
     return tables.recent_runs(runs_of(spark, sf_dir)).withColumn("started_at", F.date_format("started_at", "yyyy-MM-dd HH:mm:ss"))
 
 
-@query("select event_type as city, arg_max(cast(event_id as varchar), {'a': ts, 'b': event_id}) as run_id from events where event_type = (select min(event_type) from events) group by 1")
-def cache_lookup(spark, sf_dir):
+CACHE = """cache as (select event_type as city, arg_max(status, {'t': ts, 'i': event_id}) as status, strftime(max(ts), '%Y-%m-%d %H:%M:%S') as updated_at, arg_max(ref, {'t': ts, 'i': event_id}) filter (where ref is not null) as payload_ref
+  from (select *, case when user_id % 3 = 0 then 'error' else 'ok' end as status, case when user_id % 3 > 0 then cast(event_id as varchar) end as ref from events) group by 1)"""
+
+
+def cache_of(spark, sf_dir):
+    """Events as states of a cache by event type: runs of some users fail and leave no payload."""
+    good = F.col("user_id") % 3 > 0
     events = tables.table(spark, sf_dir, "events")
-    cache = events.groupBy(F.col("event_type").alias("city")).agg(F.max_by(F.col("event_id").cast("string"), F.struct("ts", "event_id")).alias("run_id"))
-    first = events.agg(F.min("event_type").alias("city"))
-    return cache.join(F.broadcast(first), "city").limit(1)  # one row
+    states = events.select(F.col("event_type").alias("city"), F.struct("ts", "event_id").alias("at"), F.when(good, "ok").otherwise("error").alias("status"), F.when(good, F.col("event_id").cast("string")).alias("payload_ref"))
+    out = sinks.cache_states(states)
+    return out.select("city", "status", F.date_format("updated_at.ts", "yyyy-MM-dd HH:mm:ss").alias("updated_at"), "payload_ref")
+
+
+@query(with_(CACHE) + "select city, status, updated_at, payload_ref from cache")
+def insights_cache(spark, sf_dir):
+    return cache_of(spark, sf_dir)
+
+
+@query(with_(CACHE) + "select city, status, updated_at, payload_ref from cache where city = 'click'")
+def cache_lookup(spark, sf_dir):
+    return tables.cached(cache_of(spark, sf_dir), "click")
 
 
 @query(with_(WEATHER) + f"select city, cast(date as varchar) as date, {r(*VALUES)} from weather")
@@ -186,13 +201,14 @@ def archive_rows(spark, sf_dir):
 # Sinks
 
 
-BATCHES = "batches as (select *, 1 as batch from weather where date < date '1999-01-01' union all select city, date, tmin + 1, tmax + 1, tavg + 1, 2 from weather where date >= date '1998-01-01' and date < date '2000-01-01')"
+#: All days, and a later batch that corrects those from 1998 on.
+BATCHES = "batches as (select *, 1 as batch from weather union all select city, date, tmin + 1, tmax + 1, tavg + 1, 2 from weather where date >= date '1998-01-01')"
 
 
 def batches_of(spark, sf_dir):
     rows = weather(spark, sf_dir)
-    second = rows.where("date >= '1998-01-01' and date < '2000-01-01'").withColumns({c: F.col(c) + 1 for c in VALUES})
-    return rows.where("date < '1999-01-01'").withColumn("batch", F.lit(1)).unionByName(second.withColumn("batch", F.lit(2)))
+    second = rows.where("date >= '1998-01-01'").withColumns({c: F.col(c) + 1 for c in VALUES})
+    return rows.withColumn("batch", F.lit(1)).unionByName(second.withColumn("batch", F.lit(2)))
 
 
 @query(with_(WEATHER, BATCHES) + f"select city, cast(date as varchar) as date, {r(*VALUES)}, batch from batches qualify row_number() over (partition by city, date order by batch desc) = 1")
@@ -201,11 +217,12 @@ def upsert_latest(spark, sf_dir):
 
 
 @query("""with e as (select cast(user_id as varchar) as run_id, ts as t, case event_type when 'click' then 'ok' when 'purchase' then 'error' else 'running' end as status from events)
-select run_id, strftime(min(t), '%Y-%m-%d %H:%M:%S') as started_at, arg_max(status, {'a': t, 's': status}) as status from e group by run_id""")
+select run_id, strftime(a, '%Y-%m-%d %H:%M:%S') as started_at, strftime(case when l.s <> 'running' then l.a end, '%Y-%m-%d %H:%M:%S') as finished_at, l.s as status, case when l.s <> 'running' then (epoch_us(l.a) - epoch_us(a)) // 1000 end as duration_ms
+  from (select run_id, min(t) as a, max({'a': t, 's': status}) as l from e group by run_id)""")
 def run_log_state(spark, sf_dir):
     kind = F.when(F.col("event_type") == "click", "ok").when(F.col("event_type") == "purchase", "error").otherwise("running")
     events = tables.table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("run_id"), F.col("ts").cast("timestamp").alias("at"), kind.alias("status"))
-    return sinks.run_states(events).select("run_id", F.date_format("started_at", "yyyy-MM-dd HH:mm:ss").alias("started_at"), "status")
+    return sinks.run_states(events).select("run_id", *(F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias(c) for c in ("started_at", "finished_at")), "status", "duration_ms")
 
 
 @query("select c_name as name, regexp_replace(c_name, '[^\\pL\\pN_-]', '_', 'g') as safe from customer union all select p_name, regexp_replace(p_name, '[^\\pL\\pN_-]', '_', 'g') from part")
@@ -393,9 +410,10 @@ def window_meta_midpoint(spark, sf_dir):
     return meta.select("city", "window_id", *(F.col(c).cast("string").alias(c) for c in ("start_date", "end_date", "center_date")))
 
 
-@query(TO_ENRICHED.rstrip() + ",\n" + hop(7, 3) + " select city, window_id, count(distinct context_idx) as n, min(context_idx) as low, max(context_idx) as high from hops where day(date) <> 31 group by 1, 2 having n <> 7 or low <> 0 or high <> 6")
+@query(TO_ENRICHED.rstrip() + ",\n" + hop(7, 3) + " select city, window_id, count(distinct context_idx) as n, min(context_idx) as low, max(context_idx) as high from hops group by 1, 2 having n <> 8 or low <> 0 or high <> 7")
 def window_integrity(spark, sf_dir):
-    return windows.broken_windows(hopped(spark, sf_dir, 7, 3).where(F.dayofmonth("date") != 31), 7)
+    """Windows of 7 days held against an analysis that asks for 8: all are told."""
+    return windows.broken_windows(hopped(spark, sf_dir, 7, 3), 8)
 
 
 @query(TO_CUBE + f" select city, window_id, context_idx, feature_idx, {r('num')}, sym from cube")
@@ -464,7 +482,10 @@ BLOCKS = """blocks as (select city, b.id, list_sort(list(distinct window_id)) as
   join (values (0, 'monsoon', [0, 3, 7, 9]), (1, 'post_monsoon', [0, 1, 2]), (2, 'pre_monsoon', [7, 8, 9, 10]), (3, 'winter', [3, 4, 5, 8])) b(id, season, cols) on season_class = season where context_idx = 0 group by 1, 2),
 bc as (select city, id, window_id, context_idx, feature_idx, num, sym from (select city, id, cols, contexts, unnest(rows) as window_id from blocks) join cube using (city, window_id) where list_contains(cols, feature_idx) and list_contains(contexts, context_idx)),
 cv as (select city, id, avg(case when abs(m) < 1e-12 then 0 else s / abs(m) end) as cv from (select city, id, context_idx, feature_idx, avg(num) as m, stddev_pop(num) as s from bc where feature_idx < 7 group by 1, 2, 3, 4) group by 1, 2),
-gini as (select city, id, avg(1 - sq / (t * t)) as gini from (select city, id, context_idx, feature_idx, sum(n) as t, sum(n * n) as sq from (select city, id, context_idx, feature_idx, sym, cast(count(*) as double) as n from bc where feature_idx >= 7 group by 1, 2, 3, 4, 5) group by 1, 2, 3, 4) group by 1, 2)"""
+gini as (select city, id, avg(1 - sq / (t * t)) as gini from (select city, id, context_idx, feature_idx, sum(n) as t, sum(n * n) as sq from (select city, id, context_idx, feature_idx, sym, cast(count(*) as double) as n from bc where feature_idx >= 7 group by 1, 2, 3, 4, 5) group by 1, 2, 3, 4) group by 1, 2),
+gaps as (select city, id, avg(case when num is null and sym is null then 1 else 0 end) as gap from bc group by 1, 2),
+hvar as (select city, id, rows, len(rows) as support, len(rows) * len(contexts) * len(cols) as volume, case when jn > 0 then coalesce(cv, 0) / (a * jn) else 0 end + case when js > 0 then coalesce(gini, 0) / (a * js) else 0 end + coalesce(gap, 0) / (a * (jn + js)) as hvar3
+  from (select *, len(rows) * len(contexts) as a, len(list_filter(cols, lambda c: c < 7)) as jn, len(list_filter(cols, lambda c: c >= 7)) as js from blocks) left join cv using (city, id) left join gini using (city, id) left join gaps using (city, id))"""
 TO_BLOCKS = TO_CUBE + ",\n" + BLOCKS
 
 
@@ -487,12 +508,34 @@ def block_gini(spark, sf_dir):
     return even(triclusters.impurity(triclusters.block_cells(*blocks_of(spark, sf_dir))))
 
 
-@query(TO_BLOCKS + """ select city, cast(id as integer) as id, round(case when jn > 0 then coalesce(cv, 0) / (a * jn) else 0 end + case when js > 0 then coalesce(gini, 0) / (a * js) else 0 end + 1e-9, 9) + 0.0 as hvar3
-  from (select *, len(rows) * len(contexts) as a, len(list_filter(cols, lambda c: c < 7)) as jn, len(list_filter(cols, lambda c: c >= 7)) as js from blocks) left join cv using (city, id) left join gini using (city, id)""")
+@query(TO_BLOCKS + " select city, cast(id as integer) as id, round(hvar3 + 1e-9, 9) + 0.0 as hvar3 from hvar")
 def block_hvar3(spark, sf_dir):
     return triclusters.coherence(*blocks_of(spark, sf_dir)).select("city", "id", (F.round(F.col("hvar3") + 1e-9, 9) + 0.0).alias("hvar3"))
 
 
+@query(
+    TO_BLOCKS
+    + """, mid as (select city, window_id, min(date) + cast(date_diff('day', min(date), max(date)) // 2 as integer) as day from hops group by 1, 2), flat as (select city, id, unnest(rows) as window_id from blocks)
+select city, cast(id as integer) as id, array_to_string(list_sort(list(distinct month(day))), ',') as months, array_to_string(list_sort(list(distinct year(day))), ',') as years from flat join mid using (city, window_id) group by 1, 2"""
+)
+def block_seasons(spark, sf_dir):
+    rows, _ = cells(weather(spark, sf_dir), SMALL)
+    found = regimes.seasons_of(blocks_of(spark, sf_dir)[0], windows.window_midpoints(rows))
+    return found.select("city", "id", F.array_join("months", ",").alias("months"), F.array_join("years", ",").alias("years"))
+
+
+@query(
+    TO_BLOCKS
+    + """, windows_ as (select city, count(distinct w) as n from (select city, unnest(rows) as w from blocks) group by 1)
+select h.city, count(*) as n_triclusters, any_value(n) as n_supported_windows, string_agg(cast(id as varchar), ',' order by hvar3, support desc, volume desc, id) as top_coherent_ids, string_agg(cast(id as varchar), ',' order by support desc, hvar3, id) as most_supported_ids, string_agg(cast(id as varchar), ',' order by volume desc, hvar3, id) as largest_volume_ids
+from hvar h join windows_ w on h.city = w.city group by 1"""
+)
+def block_summary(spark, sf_dir):
+    blocks = triclusters.described(triclusters.coherence(*blocks_of(spark, sf_dir))).withColumn("support", F.size("rows"))
+    out = regimes.summary(blocks)
+    return out.select("city", "n_triclusters", "n_supported_windows", *(F.array_join(c, ",").alias(c) for c in ("top_coherent_ids", "most_supported_ids", "largest_volume_ids")))
+
+
 SHAPES = """shapes as (select city, cast(window_id // 3 as integer) as id, list_sort(list(distinct w)) as rows, [0, 1] as contexts, list_sort(list(distinct cast(f as integer))) as cols from (select city, window_id, unnest([window_id, window_id + 1, window_id + 2]) as w, unnest([window_id % 4, 5, 6]) as f from hops where context_idx = 0) group by 1, 2)"""
 
 
@@ -510,13 +553,15 @@ def pairwise_jaccard(spark, sf_dir):
     return even(triclusters.overlaps(shapes_of(spark, sf_dir)))
 
 
-@query(TO_HOPS + ",\n" + SHAPES + ", twice as (select city, id, list_filter(rows, lambda x: x < 12) as rows, contexts from shapes) select city, min(id) as id, array_to_string(rows, ',') as rows from twice group by city, rows, contexts")
+@query(TO_HOPS + ",\n" + SHAPES + ", twice as (select * from shapes union all select city, id + 1000000, rows, contexts, cols from shapes) select city, min(id) as id, array_to_string(rows, ',') as rows, array_to_string(cols, ',') as cols from twice group by city, rows, contexts, cols")
 def dedupe_triclusters(spark, sf_dir):
-    twice = shapes_of(spark, sf_dir).select("city", "id", F.filter("rows", lambda x: x < 12).alias("rows"), F.array().cast("array<int>").alias("cols"), "contexts")
-    return triclusters.deduplicated(twice).select("city", "id", F.array_join("rows", ",").alias("rows"))
+    """All shapes, each found twice under two ids."""
+    shapes = shapes_of(spark, sf_dir)
+    twice = shapes.unionByName(shapes.withColumn("id", F.col("id") + 1_000_000))
+    return triclusters.deduplicated(twice).select("city", "id", F.array_join("rows", ",").alias("rows"), F.array_join("cols", ",").alias("cols"))
 
 
-MODES = """t as (select city, window_id, feature, symbol, count(*) as n from items join names using (feature_idx) where window_id % 3 = 0 or feature not in ('season_class', 'temp_band') group by all),
+MODES = """t as (select city, window_id, feature, symbol, count(*) as n from items join names using (feature_idx) group by all),
 m as (select city, window_id, feature, list(symbol order by n desc, symbol) as s from t group by 1, 2, 3),
 w as (select city, window_id, max(s) filter (where feature = 'season_class') as se, max(s) filter (where feature = 'temp_band') as te, max(s) filter (where feature = 'trend_class') as tr, max(s) filter (where feature = 'anomaly_class') as an, max(s) filter (where feature = 'diurnal_band') as di from m group by 1, 2)"""
 
@@ -526,8 +571,7 @@ w as (select city, window_id, max(s) filter (where feature = 'season_class') as
  when an[1] = 'high' then 'Warm anomaly regime' when an[1] = 'low' then 'Cold anomaly regime' when di[1] = 'high' then 'High diurnal variability regime' when di[1] = 'low' then 'Low diurnal variability regime'
  when tr[1] = 'warming' then 'Warming transition regime' when tr[1] = 'cooling' then 'Cooling transition regime' when tr[1] = 'stable' then 'Stable regime' else 'Mixed weather regime' end as label from w""")
 def regime_labels(spark, sf_dir):
-    own = items_of(spark, sf_dir).where((F.col("window_id") % 3 == 0) | ~F.col("feature_idx").isin(7, 11))
-    lines = mining.sequences(own).select("city", F.col("window_id").alias("id"), tokens.pattern_string(F.col("itemsets")).alias("pattern_string"), F.array(*map(F.lit, triclusters.FEATURES)).alias("feature_names"), F.lit("mixed").alias("type"))
+    lines = mining.sequences(items_of(spark, sf_dir)).select("city", F.col("window_id").alias("id"), tokens.pattern_string(F.col("itemsets")).alias("pattern_string"), F.array(*map(F.lit, triclusters.FEATURES)).alias("feature_names"), F.lit("mixed").alias("type"))
     return regimes.labelled(lines).select("city", "id", "label")
 
 

@@ -2,9 +2,10 @@ import json
 
 import pytest
 
-from isotherm.functions import tokens
+from isotherm.functions import scalars, tokens
 from isotherm.operators import mining
 from isotherm.plans.api import Store, clamped, clean_text
+from isotherm.plans.insights import Config
 from isotherm.sources import sinks, tables
 
 
@@ -23,6 +24,15 @@ def test_store_from_ingest_to_insights(spark, tmp_path):
     assert store.history(key).count() == 30 and store.history(key, "2020-01-05", " ").count() == 26
     assert json.loads(store.analyse().first()["payload"])["expected_days"] == 23
     assert store.read("analysis_daily").count() == 23 and store.read("analysis_monthly").count() == 1
+    run = store.runs(5).first()
+    assert (run["status"], run["endpoint"], json.loads(run["result_json"])) == ("ok", "analyse", {"daily_rows": 23, "monthly_rows": 1}) and run["duration_ms"] >= 0
+    kept = store.insights(key).first()
+    assert kept["status"] == "ok" and json.loads(kept["payload"])["expected_days"] == 23 and store.insights("nowhere").count() == 0
+    with pytest.raises(AttributeError):
+        store.analyse(config="none")
+    assert store.runs(1).first()["status"] == "error" and store.insights(key).first().asDict() | {"updated_at": 0} == kept.asDict() | {"updated_at": 0, "status": "error"}
+    with_patterns = store.analyse(Config(window=7, stride=7, min_rows=2))
+    assert {"clusters", "truncated"} & set(json.loads(with_patterns.first()["payload"]))
     with pytest.raises(ValueError):
         store.add_city("Nowhere", None, answer(spark), places)
     with pytest.raises(ValueError):
@@ -56,3 +66,15 @@ def test_miner_lines_and_frequent_sets(spark):
         if n >= 2:
             want[own] = n
     assert got == want
+
+
+def test_cells_and_files(spark, tmp_path):
+    rows = spark.createDataFrame([("f3_12#bin1", " 7 ", 1.5), ("odd", " ", float("nan")), (None, None, None)], "item string, text string, x double")
+    split = rows.select(*tokens.split_item(rows["item"])).collect()
+    assert [tuple(r) for r in split] == [(3, 12, "bin1"), (None, None, None), (None, None, None)]
+    assert [tuple(r) for r in rows.select(scalars.present(rows["text"]), scalars.present(rows["x"])).collect()] == [(" 7 ", 1.5), (None, None), (None, None)]
+    assert [tuple(r) for r in rows.select(scalars.safe_int(rows["text"], 4), scalars.safe_float(rows["text"])).collect()] == [(7, 7.0), (4, 0.0), (4, 0.0)]
+    days = spark.createDataFrame([("a", "2020-01-01", 1.0, 2.0, 1.5)], "city string, date string, tmin double, tmax double, tavg double").selectExpr("city", "cast(date as date) as date", "tmin", "tmax", "tavg")
+    sinks.write_csv(days, f"{tmp_path}/csv")
+    sinks.write_json(days, f"{tmp_path}/json")
+    assert tables.read_csv(spark, f"{tmp_path}/csv").collect() == days.collect() and tables.read_payload(spark, f"{tmp_path}/json").first()["tavg"] == 1.5
