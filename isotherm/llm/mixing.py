@@ -254,12 +254,14 @@ def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], budget:
     def repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """The rates again from the texts, so that texts needn't be joined to them. Rows leave some MB at a time, however many copies they have."""
         for batch in batches:
-            texts_ = batch.column("__text").to_pylist()
-            p, _ = memberships(pd.Series(texts_, dtype=object))
+            own = pd.Series([t or "" for t in batch.column("text").to_pylist()], dtype=object)
+            sizes = own.map(len).to_numpy()
+            p, _ = memberships(own)
+            del own
             copies = np.floor(_rates(p, steps, least) + batch.column("__u").to_numpy()).astype(np.int64)
             rows = batch.select(columns)
             taken = np.repeat(np.arange(len(copies)), copies)
-            held = np.cumsum(np.array([len(t) for t in texts_])[taken]) // (4 * _CHUNK)
+            held = np.cumsum(sizes[taken]) // (4 * _CHUNK)
             for part in np.unique(held):
                 yield rows.take(pa.array(taken[held == part]))
         given_back()
@@ -267,5 +269,5 @@ def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], budget:
     columns = docs.columns
     text = F.coalesce(F.col("text"), F.lit(""))
     u = F.pmod(F.xxhash64(F.col("doc_id").cast("long"), text), F.lit(1 << 30)) / float(1 << 30)
-    rows = docs.withColumns({"__text": text, "__u": u}).mapInArrow(repeated, docs.schema)
+    rows = docs.withColumn("__u", u).mapInArrow(repeated, docs.schema)
     return weights, rows

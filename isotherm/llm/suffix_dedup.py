@@ -42,7 +42,7 @@ from .common import given_back, lean, materialize, shared_dir
 
 LENGTH, KMER = 50, 32
 #: Bytes of text in a batch, batches in a pack, and bytes of text that a bucket of pass 1 and of pass 2 has the anchors of.
-BATCH, PACK, BUCKET1, BUCKET = 2 << 20, 8, 16 << 20, 4 << 20
+BATCH, PACK, BUCKET1, BUCKET = 1 << 20, 6, 16 << 20, 4 << 20
 #: Bytes of text that anchors are sought in at once, and how often an anchor occurs until its windows are dealt one by one.
 PIECE, HOT = 1 << 19, 20_000
 _LAST = 2**63 - 1
@@ -375,6 +375,7 @@ def repeats(docs: DataFrame, carry: list[str] | None = None, as_text: bool = Fal
                 kept = "".join(t.decode("utf-8", "ignore") for t in left) if as_text else b"".join(left)
                 spans = [{"start": x, "end": y} for x, y in zip(edges[0::2], edges[1::2], strict=True)]
                 out.append((row["ids"][k], b - a, int(part.sum()), spans, kept, *(row[f"carry_{j}"][k] for j in range(len(carry)))))
+        given_back()
         return pd.DataFrame(out, columns=["doc_id", "n_bytes", "n_removed", "spans", "kept", *(f"carry_{j}" for j in range(len(carry)))], dtype=object)
 
     columns = ["doc_id long", "n_bytes long", "n_removed long", "spans array<struct<start:long,end:long>>", f"kept {'string' if as_text else 'binary'}"]
