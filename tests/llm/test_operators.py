@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -119,10 +120,15 @@ def test_exception_phrases_and_folding():
 
 
 @pytest.mark.parametrize("rows", [[(i, "w" * (i * 37 % 900)) for i in range(600)] + [(1000 + i, "same text") for i in range(300)], ODD, []])
-def test_shards(spark, rows):
+def test_shards(spark, monkeypatch, rows):
+    monkeypatch.setattr(sharding, "ROWS", 40)  # so that ranges are subdivided
+    monkeypatch.setattr(sharding, "RANGES", 1)
     got = sharding.shard(docs_of(spark, rows), 16).collect()
     assert len(got) == len(rows)
     slots, sizes, groups = defaultdict(list), defaultdict(int), defaultdict(set)
+    plain = sorted(((i, len((t or "").encode()) + 1, zlib.crc32((t or "").encode())) for i, t in rows), key=repr)
+    assert sorted(((r["doc_id"], r["size"], r["text_crc32"]) for r in got), key=repr) == plain
+    assert {(r["law"], r["grown_shard"]) for r in got} <= {("bytes", None)}
     for r in got:
         slots[r["shard"]].append(r["slot"])
         sizes[r["shard"]] += r["size"]
@@ -134,6 +140,17 @@ def test_shards(spark, rows):
         assert max(len(g) for g in groups.values()) <= 2
 
 
+def test_long_documents_in_pieces(monkeypatch):
+    """Windows of each run, by document and place, are the same in pieces."""
+    rng = np.random.default_rng(3)
+    sizes = np.array([0, 20, 4000, 49, 50, 700, 5000])
+    text = rng.integers(97, 100, sizes.sum()).astype(np.uint8)
+    flat = lambda found: sorted((int(d), w, int(a)) for lo, hi, a, _, d in zip(*found, strict=True) for w in range(int(lo), int(hi) + 1))
+    whole = flat(suffix_dedup.runs(text, sizes))
+    monkeypatch.setattr(suffix_dedup, "PIECE", 600)
+    assert flat(suffix_dedup.runs(text, sizes)) == whole and len(whole) == sum(max(0, n - 49) for n in sizes)
+
+
 def vectors(rng, n):
     base = rng.normal(size=(n // 4, 12))
     rows = [*base, *(base[:20] + rng.normal(scale=0.02, size=(20, 12))), *base[:5], *(base[0] + rng.normal(scale=0.03, size=(40, 12)))]
@@ -252,6 +269,9 @@ def removed_by_hand(rows):
 @pytest.mark.parametrize("seed", [0, 1])
 def test_repeats_equal_brute_force(spark, monkeypatch, seed):
     monkeypatch.setattr(suffix_dedup, "BATCH", 3000)
+    if seed:  # windows of anchors that occur more than a few times are dealt one by one
+        monkeypatch.setattr(suffix_dedup, "HOT", 3)
+        monkeypatch.setattr(suffix_dedup, "PACK", 2)
     rng = random.Random(seed)
     passages = ["".join(rng.choice("ab ") for _ in range(rng.randint(40, 300))) for _ in range(8)]
     rows = []
