@@ -22,9 +22,9 @@ from .insights import Config, cells, find_triclusters, payload, summaries
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
-#: Windows of the mining queries.
-SMALL = Config(window=3, stride=30, min_rows=8)
-#: And of those that search for closed sets, whose number grows steeply as fewer windows are asked for.
+#: Windows that cover every day, of all queries on cubes, items and blocks.
+LIVE = Config()
+#: Windows of the query that scores closed sets, whose number grows steeply as fewer windows are asked for.
 DENSE = Config(window=3, stride=30, min_rows=24)
 
 
@@ -109,9 +109,9 @@ BINNED = """cells as (select city, window_id, context_idx, feature_idx, coalesce
 FREQUENT = """size as (select city, count(distinct window_id) as n from items group by city),
 frequent as (select city, token, context_idx, feature_idx, tids, len(tids) as support, needed from (select city, token, context_idx, feature_idx, list_sort(list(distinct window_id)) as tids from items group by all)
   join (select city, greatest(8, ceil(greatest(1, ceil(800.0 / n)) * n / 100)) as needed from size) using (city) where len(tids) >= needed)"""
-TO_HOPS = TO_ENRICHED.rstrip() + ",\n" + hop(SMALL.window, SMALL.stride)
+TO_HOPS = TO_ENRICHED.rstrip() + ",\n" + hop(LIVE.window, LIVE.stride)
 TO_CUBE = TO_HOPS + ",\n" + CUBE
-TO_ITEMS = TO_CUBE + ",\n" + cut_points(SMALL.n_bins) + ",\n" + BINNED
+TO_ITEMS = TO_CUBE + ",\n" + cut_points(LIVE.n_bins) + ",\n" + BINNED
 TO_FREQUENT = TO_ITEMS + ",\n" + FREQUENT
 
 
@@ -132,8 +132,8 @@ def enriched_of(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def items_of(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _, cube = cells(weather(spark, sf_dir), SMALL)
-    return mining.items(bins.discretised(cube, bins.edges(cube, SMALL.n_bins)))
+    _, cube = cells(weather(spark, sf_dir), LIVE)
+    return mining.items(bins.discretised(cube, bins.edges(cube, LIVE.n_bins)))
 
 
 # Sources
@@ -418,17 +418,17 @@ def window_integrity(spark, sf_dir):
 
 @query(TO_CUBE + f" select city, window_id, context_idx, feature_idx, {r('num')}, sym from cube")
 def long_cube(spark, sf_dir):
-    return even(cells(weather(spark, sf_dir), SMALL)[1])
+    return even(cells(weather(spark, sf_dir), LIVE)[1])
 
 
 @query(TO_CUBE + ",\n" + cut_points(3) + " select city, feature_idx, cast(k as integer) as k, round(edges[k + 1] + 1e-9, 6) + 0.0 as edge from (select *, unnest(range(len(edges))) as k from edges)")
 def bin_edges_eq_size(spark, sf_dir):
-    return even(bins.edges(cells(weather(spark, sf_dir), SMALL)[1], 3).select("city", "feature_idx", F.posexplode("edges").alias("k", "edge")))
+    return even(bins.edges(cells(weather(spark, sf_dir), LIVE)[1], 3).select("city", "feature_idx", F.posexplode("edges").alias("k", "edge")))
 
 
 @query(TO_CUBE + " select city, feature_idx, cast(k as integer) as k, round(low + k * (high - low) / 3 + 1e-9, 6) + 0.0 as edge from (select city, feature_idx, min(num) as low, max(num) as high, unnest(range(4)) as k from cube where num is not null group by 1, 2)")
 def bin_edges_eq_width(spark, sf_dir):
-    return even(bins.edges(cells(weather(spark, sf_dir), SMALL)[1], 3, "eq_width").select("city", "feature_idx", F.posexplode("edges").alias("k", "edge")))
+    return even(bins.edges(cells(weather(spark, sf_dir), LIVE)[1], 3, "eq_width").select("city", "feature_idx", F.posexplode("edges").alias("k", "edge")))
 
 
 @query(TO_ITEMS + " select city, window_id, context_idx, feature_idx, symbol from items")
@@ -451,12 +451,12 @@ def item_dictionary(spark, sf_dir):
 
 @query(TO_FREQUENT + " select city, token, support, cast(needed as integer) as needed from frequent")
 def item_support(spark, sf_dir):
-    return mining.supports(items_of(spark, sf_dir), SMALL.min_rows).select("city", "token", F.col("support").cast("long").alias("support"), "needed")
+    return mining.supports(items_of(spark, sf_dir), LIVE.min_rows).select("city", "token", F.col("support").cast("long").alias("support"), "needed")
 
 
 @query(TO_FREQUENT + ", flat as (select city, token, needed, unnest(tids) as tid from frequent) select a.city, a.token as first, b.token as second, count(*) as support from flat a join flat b on a.city = b.city and a.tid = b.tid and a.token < b.token group by 1, 2, 3, a.needed having count(*) >= a.needed")
 def pair_support(spark, sf_dir):
-    return mining.pair_supports(mining.supports(items_of(spark, sf_dir), SMALL.min_rows)).select("city", "first", "second", "support")
+    return mining.pair_supports(mining.supports(items_of(spark, sf_dir), LIVE.min_rows)).select("city", "first", "second", "support")
 
 
 @query(TO_ITEMS + ", p as (select city, window_id, string_agg(token, ' ' order by token) as pattern from items group by 1, 2), t as (select city, window_id, unnest(regexp_extract_all(pattern, 'f\\d+(?:_\\d+)?#[^\\s()]+')) as token from p) select city, window_id, token, cast(regexp_extract(token, '^f(\\d+)', 1) as integer) as feature_idx, cast(regexp_extract(token, '_(\\d+)#', 1) as integer) as context_idx, regexp_extract(token, '#(.+)$', 1) as symbol from t")
@@ -478,7 +478,7 @@ def signature_top5(spark, sf_dir):
 # Blocks: for each city and season the windows that begin in it, all offsets, and features by the season's first letter
 
 
-BLOCKS = """blocks as (select city, b.id, list_sort(list(distinct window_id)) as rows, [0, 1, 2] as contexts, any_value(b.cols) as cols from hops
+BLOCKS = """blocks as (select city, b.id, list_sort(list(distinct window_id)) as rows, range(14) as contexts, any_value(b.cols) as cols from hops
   join (values (0, 'monsoon', [0, 3, 7, 9]), (1, 'post_monsoon', [0, 1, 2]), (2, 'pre_monsoon', [7, 8, 9, 10]), (3, 'winter', [3, 4, 5, 8])) b(id, season, cols) on season_class = season where context_idx = 0 group by 1, 2),
 bc as (select city, id, window_id, context_idx, feature_idx, num, sym from (select city, id, cols, contexts, unnest(rows) as window_id from blocks) join cube using (city, window_id) where list_contains(cols, feature_idx) and list_contains(contexts, context_idx)),
 cv as (select city, id, avg(case when abs(m) < 1e-12 then 0 else s / abs(m) end) as cv from (select city, id, context_idx, feature_idx, avg(num) as m, stddev_pop(num) as s from bc where feature_idx < 7 group by 1, 2, 3, 4) group by 1, 2),
@@ -490,12 +490,12 @@ TO_BLOCKS = TO_CUBE + ",\n" + BLOCKS
 
 
 def blocks_of(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
-    rows, cube = cells(weather(spark, sf_dir), SMALL)
+    rows, cube = cells(weather(spark, sf_dir), LIVE)
     cols = {"monsoon": (0, [0, 3, 7, 9]), "post_monsoon": (1, [0, 1, 2]), "pre_monsoon": (2, [7, 8, 9, 10]), "winter": (3, [3, 4, 5, 8])}
     pick = lambda i: F.coalesce(*(F.when(F.col("season_class") == k, F.lit(v[i]) if i == 0 else F.array(*map(F.lit, v[i]))) for k, v in cols.items()))
     first = rows.where("context_idx = 0").select("city", "window_id", pick(0).alias("id"), pick(1).alias("cols"))
     found = first.groupBy("city", "id", "cols").agg(F.array_sort(F.collect_set("window_id")).alias("rows"))
-    return found.withColumn("contexts", F.array(F.lit(0), F.lit(1), F.lit(2))), cube
+    return found.withColumn("contexts", F.sequence(F.lit(0), F.lit(LIVE.window - 1))), cube
 
 
 @query(TO_BLOCKS + f" select city, cast(id as integer) as id, {r('cv')} from cv")
@@ -519,7 +519,7 @@ def block_hvar3(spark, sf_dir):
 select city, cast(id as integer) as id, array_to_string(list_sort(list(distinct month(day))), ',') as months, array_to_string(list_sort(list(distinct year(day))), ',') as years from flat join mid using (city, window_id) group by 1, 2"""
 )
 def block_seasons(spark, sf_dir):
-    rows, _ = cells(weather(spark, sf_dir), SMALL)
+    rows, _ = cells(weather(spark, sf_dir), LIVE)
     found = regimes.seasons_of(blocks_of(spark, sf_dir)[0], windows.window_midpoints(rows))
     return found.select("city", "id", F.array_join("months", ",").alias("months"), F.array_join("years", ",").alias("years"))
 
@@ -540,7 +540,7 @@ SHAPES = """shapes as (select city, cast(window_id // 3 as integer) as id, list_
 
 
 def shapes_of(spark, sf_dir) -> DataFrame:
-    rows, _ = cells(weather(spark, sf_dir), SMALL)
+    rows, _ = cells(weather(spark, sf_dir), LIVE)
     w = F.col("window_id")
     wide = rows.where("context_idx = 0").select("city", "window_id", F.explode(F.arrays_zip(F.array(w, w + 1, w + 2).alias("w"), F.array(w % 4, F.lit(5), F.lit(6)).alias("f"))).alias("z"))
     found = wide.groupBy("city", F.floor(w / 3).cast("int").alias("id")).agg(F.array_sort(F.collect_set("z.w")).alias("rows"), F.array_sort(F.collect_set("z.f")).alias("cols"))
