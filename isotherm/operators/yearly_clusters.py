@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.feature import VectorAssembler
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,31 +27,46 @@ def standardised(months: DataFrame) -> DataFrame:
     return full.withColumns({c: (F.col(c) - F.avg(c).over(w)) / F.when(sd(c) == 0, 1.0).otherwise(sd(c)) for c in MONTHLY})
 
 
-def _clustered(rows: DataFrame, columns: list[str], k: int, starts: int) -> DataFrame:
-    """``rows`` with ``cluster``: the best of several starts; clusters are numbered by their smallest ``member``."""
-    vectors = VectorAssembler(inputCols=columns, outputCol="__x").transform(rows).cache()
-    models = [KMeans(k=k, seed=s, featuresCol="__x", predictionCol="__c").fit(vectors) for s in range(starts)]
-    best = min(models, key=lambda m: m.summary.trainingCost)
-    found = best.transform(vectors).withColumn("__least", F.min("member").over(Window.partitionBy("__c")))
-    return found.withColumn("cluster", F.dense_rank().over(Window.orderBy("__least")) - 1).drop("__x", "__c", "__least")
-
-
-def cluster_city(months: DataFrame, city: str, k_years: int = 3, k_months: int = 3, starts: int = 10) -> DataFrame:
-    """(city, year_cluster, month_cluster, years, months, high, low): the signature is the five features farthest from 0 of a cluster's mean."""
-    cells = standardised(months.where(F.col("city") == city))
-    wide = cells.groupBy("year").pivot("month", list(range(1, 13))).agg(*(F.first(c).alias(c) for c in MONTHLY)).withColumn("member", F.col("year"))
-    columns = [f"{m}_{c}" for m in range(1, 13) for c in MONTHLY]
-    n = wide.count()
-    years = _clustered(wide, columns, min(k_years, n), starts).select("year", F.col("cluster").alias("year_cluster")) if n >= 2 else wide.select("year", F.lit(0).alias("year_cluster"))
-    joined = cells.join(years, "year")
-    means = joined.groupBy("year_cluster", "month").agg(*(F.avg(c).alias(c) for c in MONTHLY)).withColumn("member", F.col("month"))
-    out = None
-    for y in [r[0] for r in years.select("year_cluster").distinct().orderBy("year_cluster").collect()]:  # at most k_years
-        own = _clustered(means.where(F.col("year_cluster") == y), MONTHLY, min(k_months, 12), starts)
-        out = own if out is None else out.unionByName(own)
-    center = out.groupBy("year_cluster", F.col("cluster").alias("month_cluster")).agg(F.array_sort(F.collect_list("month")).alias("months"), *(F.avg(c).alias(c) for c in MONTHLY))
-    pairs = F.slice(F.reverse(F.array_sort(F.array(*(F.struct(F.abs(c).alias("a"), F.lit(c).alias("f"), F.col(c).alias("z")) for c in MONTHLY)))), 1, 5)
-    names = lambda keep: F.transform(F.filter(pairs, keep), lambda s: s["f"])
-    signed = center.select("year_cluster", "month_cluster", "months", names(lambda s: s["z"] >= 0).alias("high"), names(lambda s: s["z"] < 0).alias("low"))
-    of = years.groupBy("year_cluster").agg(F.array_sort(F.collect_list("year")).alias("years"))
-    return signed.join(of, "year_cluster").select(F.lit(city).alias("city"), "year_cluster", "month_cluster", "years", "months", "high", "low")
+def _lloyd(points: np.ndarray, k: int, seed: int) -> tuple[np.ndarray, float]:
+    """Labels and cost of k-means from one start, whose centers are drawn far from each other; ends when labels stay."""
+    draw = np.random.default_rng(seed)
+    far = lambda centers: ((points[:, None] - centers) ** 2).sum(axis=2)
+    centers = points[[draw.integers(len(points))]]
+    while len(centers) < k and (near := far(centers).min(axis=1)).sum() > 0:
+        centers = np.vstack([centers, points[draw.choice(len(points), p=near / near.sum())]])
+    labels = far(centers).argmin(axis=1)
+    while True:
+        centers = np.array([points[labels == c].mean(axis=0) if (labels == c).any() else centers[c] for c in range(len(centers))])
+        gaps = far(centers)
+        if (gaps.argmin(axis=1) == labels).all():
+            return labels, float(gaps.min(axis=1).sum())
+        labels = gaps.argmin(axis=1)
+
+
+def _clustered(points: np.ndarray, k: int, starts: int) -> list[np.ndarray]:
+    """The members of each cluster by the best of several starts, in order of their smallest member."""
+    labels = min((_lloyd(points, k, seed) for seed in range(starts)), key=lambda found: found[1])[0]
+    return sorted((np.flatnonzero(labels == c) for c in np.unique(labels)), key=lambda members: members[0])
+
+
+def clusters(months: DataFrame, k_years: int = 3, k_months: int = 3, starts: int = 10) -> DataFrame:
+    """(city, year_cluster, month_cluster, years, months, high, low) of every city; ``high`` and ``low`` are the five features farthest from 0 of a cluster's mean.
+
+    A city is one group: twelve months of six values for each of its years. Cities are clustered side by side.
+    """
+    columns = ["city", "year_cluster", "month_cluster", "years", "months", "high", "low"]
+
+    def cluster(frame: pd.DataFrame) -> pd.DataFrame:
+        frame, out = frame.sort_values(["year", "month"]), []
+        years = frame["year"].unique()
+        cube = frame[MONTHLY].to_numpy(float).reshape(len(years), 12, len(MONTHLY))
+        for y, own in enumerate(_clustered(cube.reshape(len(years), -1), k_years, starts)):
+            means = cube[own].mean(axis=0)
+            for m, part in enumerate(_clustered(means, min(k_months, 12), starts)):
+                center = means[part].mean(axis=0)
+                top = sorted(zip(np.abs(center), MONTHLY, center, strict=True), reverse=True)[:5]
+                out.append((frame["city"].iat[0], y, m, years[own].tolist(), (part + 1).tolist(), [f for _, f, z in top if z >= 0], [f for _, f, z in top if z < 0]))
+        return pd.DataFrame(out, columns=columns)
+
+    kinds = "city string, year_cluster int, month_cluster int, years array<int>, months array<int>, high array<string>, low array<string>"
+    return standardised(months).groupBy("city").applyInPandas(cluster, kinds)

@@ -618,8 +618,7 @@ def cities_of(df: DataFrame) -> list[str]:
 
 @query()
 def kmeans_regimes(spark, sf_dir):
-    months = monthly_of(spark, sf_dir)
-    found = reduce(DataFrame.unionByName, [yearly_clusters.cluster_city(months, city) for city in cities_of(months)])
+    found = yearly_clusters.clusters(monthly_of(spark, sf_dir))
     return found.withColumn("label", regimes.legacy_label(F.col("high"), F.col("low")))
 
 

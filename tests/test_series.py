@@ -1,4 +1,5 @@
 import datetime as dt
+import itertools
 import json
 import math
 
@@ -8,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from isotherm.functions import keys, scalars, tokens
-from isotherm.operators import bins, forecast, mining, rollup, series, triclusters, windows
+from isotherm.operators import bins, forecast, mining, rollup, series, triclusters, windows, yearly_clusters
 from isotherm.plans.insights import Config, find_triclusters
 from isotherm.sources import sinks, tables
 
@@ -254,11 +255,29 @@ def test_fits_cover_all_cities_by_the_operators_defaults(spark, monkeypatch):
     clusters = spark.createDataFrame([("x", ["tavg_mean"], ["tavg_std"])], "city string, high array<string>, low array<string>")
     monkeypatch.setattr(queries.forecast, "train_forest", noted(None))
     monkeypatch.setattr(queries.forecast, "forest_forecast", lambda df, city, model: rows.where(F.col("city") == city))
-    monkeypatch.setattr(queries.yearly_clusters, "cluster_city", noted(clusters))
+    monkeypatch.setattr(queries.yearly_clusters, "clusters", noted(clusters))
     monkeypatch.setattr(queries.forecast, "sarimax_forecast", noted(rows))
-    assert queries.rf_forecast(spark, "").select("city").distinct().count() == 2 and queries.kmeans_regimes(spark, "").count() == 2
+    assert queries.rf_forecast(spark, "").select("city").distinct().count() == 2 and queries.kmeans_regimes(spark, "").count() == 1
     queries.sarimax_forecast(spark, "")
-    assert fits == [("a",), ("b",), ("a",), ("b",), (7,)]
+    assert fits == [("a",), ("b",), (), (7,)]
+
+
+def test_years_are_clustered_at_least_cost_in_every_city(spark):
+    draw = np.random.default_rng(3)
+    rows = [(city, 2000 + y, m, *(10 * level[y] + draw.normal(size=6)).tolist()) for city, level in (("a", [0, 1, 2, 0, 1, 2]), ("b", [0, 0, 1, 1, 2, 2])) for y in range(6) for m in range(1, 13) if (y, m) != (3, 4)]
+    months = spark.createDataFrame(rows, "city string, year int, month int, " + ", ".join(f"{c} double" for c in yearly_clusters.MONTHLY))
+    got = yearly_clusters.clusters(months).toPandas()
+    cells = yearly_clusters.standardised(months).toPandas().sort_values(["city", "year", "month"])
+    for city, own in got.groupby("city"):
+        points = cells[cells["city"] == city][yearly_clusters.MONTHLY].to_numpy().reshape(6, -1)
+        cost = lambda groups: sum(((points[g] - points[g].mean(axis=0)) ** 2).sum() for g in groups)  # noqa: B023, E731
+        found = [np.array(y) - 2000 for y in own.drop_duplicates("year_cluster")["years"]]
+        splits = ([np.flatnonzero(np.array(s) == c) for c in set(s)] for s in itertools.product(range(3), repeat=6))
+        assert cost(found) == pytest.approx(min(map(cost, splits)))
+        assert all(sorted(sum(map(list, part["months"]), [])) == list(range(1, 13)) for _, part in own.groupby("year_cluster"))
+        assert [len(h) + len(low) for h, low in zip(own["high"], own["low"], strict=True)] == [5] * len(own)
+    assert yearly_clusters.clusters(months.where("year = 2000 and city = 'a'")).select("year_cluster").distinct().count() == 1
+    assert yearly_clusters.clusters(months.where("false")).count() == 0
 
 
 def test_stream_upsert(spark, tmp_path):
