@@ -35,9 +35,12 @@ def fourier(date: Column, pairs: int) -> dict[str, Column]:
 
 
 def bin_label(value: Column, edges: Column) -> Column:
-    """'bin' and the number of inner edges at or under the value; 'bin0' if there are fewer than two edges."""
+    """'bin' and the number of inner edges at or under the value, to nine places; 'bin0' if there are fewer than two edges.
+
+    Edges are quantiles and may be values of the data but for their last bits, which shall not decide.
+    """
     inner = F.slice(edges, F.lit(2), F.greatest(F.size(edges) - 2, F.lit(0)))
-    return F.when(F.coalesce(F.size(edges), F.lit(0)) < 2, "bin0").otherwise(F.concat(F.lit("bin"), F.size(F.filter(inner, lambda e: e <= value)).cast("string")))
+    return F.when(F.coalesce(F.size(edges), F.lit(0)) < 2, "bin0").otherwise(F.concat(F.lit("bin"), F.size(F.filter(inner, lambda e: F.round(e, 9) <= F.round(value, 9))).cast("string")))
 
 
 def safe_int(text: Column, default: int | None = None) -> Column:

@@ -104,7 +104,7 @@ def cut_points(n: int) -> str:
   select city, feature_idx, list_sort(list_distinct(quantile_cont(num, [{', '.join(f'{k}.0 / {n}' for k in range(n + 1))}]))) as e, min(num) as low, max(num) as high from cube where num is not null group by 1, 2))"""
 
 
-BINNED = """cells as (select city, window_id, context_idx, feature_idx, coalesce(sym, case when num is not null then case when coalesce(len(edges), 0) < 2 then 'bin0' else 'bin' || len(list_filter(edges[2:-2], lambda e: e <= num)) end end) as symbol
+BINNED = """cells as (select city, window_id, context_idx, feature_idx, coalesce(sym, case when num is not null then case when coalesce(len(edges), 0) < 2 then 'bin0' else 'bin' || len(list_filter(edges[2:-2], lambda e: round(e, 9) <= round(num, 9))) end end) as symbol
   from cube left join edges using (city, feature_idx)), items as (select *, 'f' || feature_idx || '_' || context_idx || '#' || symbol as token from cells where symbol is not null and trim(symbol) <> '')"""
 FREQUENT = """size as (select city, count(distinct window_id) as n from items group by city),
 frequent as (select city, token, context_idx, feature_idx, tids, len(tids) as support, needed from (select city, token, context_idx, feature_idx, list_sort(list(distinct window_id)) as tids from items group by all)
