@@ -24,8 +24,10 @@ QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
 #: Windows that cover every day, of all queries on cubes, items and blocks.
 LIVE = Config()
-#: Windows of the query that scores closed sets, whose number grows steeply as fewer windows are asked for.
-DENSE = Config(window=3, stride=30, min_rows=24)
+#: The same windows with patterns held by a tenth of them; the number of patterns grows steeply as fewer are asked for.
+TENTH = Config(min_rows=17)
+#: Triclusters held by a fifth of the windows: each is scored over all of its cells.
+FIFTH = Config(min_rows=34)
 
 
 def query(sql: str | None = None) -> Callable[[Query], Query]:
@@ -383,7 +385,7 @@ def insights_summary(spark, sf_dir):
 
 @query()
 def insights_payload(spark, sf_dir):
-    return payload(weather(spark, sf_dir))
+    return payload(weather(spark, sf_dir), FIFTH)
 
 
 # Windows and cube
@@ -598,16 +600,15 @@ def legacy_labels(spark, sf_dir):
 
 @query()
 def closed_patterns(spark, sf_dir):
-    config = Config()
-    cube = stored(cells(weather(spark, sf_dir), config)[1], "cube")
-    symbols = bins.discretised(cube, bins.edges(cube, config.n_bins, config.binning))
-    found, cut = mining.patterns(mining.supports(mining.items(symbols), config.min_rows), config.min_offsets)
+    cube = stored(cells(weather(spark, sf_dir), TENTH)[1], "cube")
+    symbols = bins.discretised(cube, bins.edges(cube, TENTH.n_bins, TENTH.binning))
+    found, cut = mining.patterns(mining.supports(mining.items(symbols), TENTH.min_rows), TENTH.min_offsets)
     return found.select("city", "pattern_id", "pattern_string", "support", F.col("city").isin(cut).alias("truncated"))
 
 
 @query()
 def triclusters_found(spark, sf_dir):
-    blocks, _, cut = find_triclusters(weather(spark, sf_dir), DENSE)
+    blocks, _, cut = find_triclusters(weather(spark, sf_dir), FIFTH)
     return even(blocks.select("city", "id", "place", "pattern_string", "support", "type", "label", "hvar3", F.col("shape.volume").alias("volume"), F.col("city").isin(cut).alias("truncated")))
 
 
