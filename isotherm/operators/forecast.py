@@ -1,6 +1,7 @@
 """Forecasting: regression with seasonal ARMA errors and random forests.
 
-A city's series with one candidate model is one group of ``applyInPandas``; candidates and cities run side by side. The
+A city's series with one candidate model is one group of ``applyInPandas``, and so are some trees of a city's forest;
+candidates, trees and cities run side by side. A forest is a table with a row for each tree, to be written and read as any. The ARMA
 estimator is least squares all through (Hannan-Rissanen: residuals of a long autoregression stand in for the shocks), so
 values differ from those of an exact likelihood; interfaces, candidates, folds and intervals are the same.
 """
@@ -9,9 +10,6 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.linalg import Vectors
-from pyspark.ml.regression import RandomForestRegressionModel, RandomForestRegressor
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -139,6 +137,11 @@ def _matrix(days: np.ndarray, pairs: int = 3) -> np.ndarray:
     return np.column_stack([f(k * angle) for k in range(1, pairs + 1) for f in (np.sin, np.cos)] + [idx])
 
 
+def _spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Over tasks of a number of its own, as small groups of much work would be put together in few tasks otherwise."""
+    return df.repartition(8 * df.sparkSession.sparkContext.defaultParallelism, *keys)
+
+
 def cross_validated(df: DataFrame, only: list[int] | None = None) -> DataFrame:
     """(city, candidate, mae): mean over the folds; a candidate that fails in a fold has none."""
     known = [c for c in candidates() if only is None or c[0] in only]
@@ -158,7 +161,7 @@ def cross_validated(df: DataFrame, only: list[int] | None = None) -> DataFrame:
             mae = None
         return pd.DataFrame({"city": [frame["city"].iat[0]], "candidate": [frame["candidate"].iat[0]], "mae": [mae]})
 
-    return rows.groupBy("city", "candidate").applyInPandas(score, "city string, candidate int, mae double")
+    return _spread(rows, "city", "candidate").groupBy("city", "candidate").applyInPandas(score, "city string, candidate int, mae double")
 
 
 def sarimax_forecast(df: DataFrame, horizon: int = 7, only: list[int] | None = None) -> DataFrame:
@@ -198,26 +201,102 @@ def errors(df: DataFrame, truth: str, guess: str, by: list[str]) -> DataFrame:
     return df.groupBy(*by).agg(F.avg(F.abs(gap)).alias("mae"), F.sqrt(F.avg(gap * gap)).alias("rmse"), F.count("*").alias("n"))
 
 
-def train_forest(df: DataFrame, city: str, trees: int = 600, depth: int = 30, least: int = FOREST_LEAST_ROWS) -> RandomForestRegressionModel:
-    """A forest over one city's training part, if it has at least ``least`` rows with all features, whose target is the feature day's own value (features lie before it)."""
-    rows = chronological(forest_features(df.where(F.col("city") == city)).join(df.select("city", "date", "tavg"), ["city", "date"]))
-    if rows.count() < least:
-        raise ValueError("too few rows")
-    rows = rows.where("part = 'train'")
-    vectors = VectorAssembler(inputCols=FOREST_FEATURES, outputCol="x").transform(rows)
-    return RandomForestRegressor(featuresCol="x", labelCol="tavg", numTrees=trees, maxDepth=depth, featureSubsetStrategy="all", seed=42).fit(vectors)
-
-
-def forest_forecast(df: DataFrame, city: str, model: RandomForestRegressionModel, horizon: int = 7) -> DataFrame:
-    """(city, date, tavg) for the days after the last; each value feeds the lags of the next, so the driver steps through them."""
-    tail = [(r["date"], r["tavg"]) for r in df.where(F.col("city") == city).orderBy(F.desc("date")).limit(15).collect()][::-1]
-    if len(tail) < 15:
-        raise ValueError("too few rows")
-    values, day, out = [v for _, v in tail], pd.Timestamp(tail[-1][0]), []
-    for _ in range(min(max(horizon, 1), 30)):
-        day = day + pd.Timedelta(days=1)
-        angle = 2 * np.pi * day.dayofyear / YEAR_DAYS
-        row = [values[-1], values[-2], values[-7], float(np.mean(values[-7:])), float(np.std(values[-7:], ddof=1)), float(np.sin(angle)), float(np.cos(angle))]
-        values.append(float(model.predict(Vectors.dense(row))))
-        out.append((city, day.date(), values[-1]))
-    return df.sparkSession.createDataFrame(out, "city string, date date, tavg double")
+def _tree(x: np.ndarray, y: np.ndarray, depth: int | None, draw: np.random.Generator) -> tuple[np.ndarray, ...]:
+    """Feature (-1: leaf), threshold, left child (the right one is next) and mean of each node of a tree on rows drawn with repetition.
+
+    All nodes of a level are split at once, each where its squared errors fall most, until its rows are alike.
+    """
+    pick = draw.integers(len(y), size=len(y))
+    x, centre = x[pick], y[pick].mean()
+    y = y[pick] - centre
+    orders, node = np.argsort(x, axis=0, kind="stable").T, np.zeros(len(y), dtype=int)
+    feature, threshold, child, mean = [np.array([-1])], [np.zeros(1)], [np.array([0])], [np.zeros(1)]
+    first, size, level = 0, 1, 0
+    while size and (depth is None or level < depth):
+        own = node >= first
+        spread = np.full(size, -np.inf)
+        np.maximum.at(spread, node[own] - first, y[own])
+        low = np.full(size, np.inf)
+        np.minimum.at(low, node[own] - first, y[own])
+        best, split_at, split_by = np.full(size, -np.inf), np.zeros(size), np.full(size, -1)
+        for j, order in enumerate(orders):
+            order = order[own[order]]
+            order = order[np.argsort(node[order], kind="stable")]
+            at, v, total = node[order] - first, x[order, j], np.cumsum(y[order])
+            begins = np.searchsorted(at, np.arange(size))
+            ends = np.r_[begins[1:], len(at)] - 1
+            before = np.r_[0.0, total][begins]
+            left, n_left = total - before[at], np.arange(1, len(at) + 1) - begins[at]
+            right, n_right = total[ends][at] - total, ends[at] - np.arange(len(at))
+            gain = np.full(len(at), -np.inf)
+            may = np.flatnonzero((n_right > 0) & (v < np.r_[v[1:], v[-1:]]))
+            gain[may] = left[may] ** 2 / n_left[may] + right[may] ** 2 / n_right[may]
+            top = np.maximum.reduceat(gain, begins)
+            where = np.flatnonzero((gain == top[at]) & np.isfinite(gain))
+            nodes, k = np.unique(at[where], return_index=True)
+            better = top[nodes] > best[nodes]
+            nodes, k = nodes[better], where[k[better]]
+            best[nodes], split_by[nodes], split_at[nodes] = top[nodes], j, (v[k] + v[k + 1]) / 2
+        split_by[spread <= low] = -1
+        cut = np.flatnonzero(split_by >= 0)
+        feature[-1], threshold[-1] = split_by, split_at
+        child[-1][cut] = first + size + 2 * np.arange(len(cut))
+        rows = np.flatnonzero(own)
+        at = node[rows] - first
+        rows, at = rows[split_by[at] >= 0], at[split_by[at] >= 0]
+        node[np.flatnonzero(own)] = -1
+        node[rows] = child[-1][at] + (x[rows, split_by[at]] > split_at[at])
+        first, size, level = first + size, 2 * len(cut), level + 1
+        if size:
+            at = node[rows] - first
+            feature.append(np.full(size, -1)), threshold.append(np.zeros(size)), child.append(np.zeros(size, dtype=int))
+            mean.append(np.bincount(at, y[rows], size) / np.bincount(at, minlength=size))
+    return np.concatenate(feature), np.concatenate(threshold), np.concatenate(child), np.concatenate(mean) + centre
+
+
+def train_forests(df: DataFrame, trees: int = 600, depth: int | None = None, least: int = FOREST_LEAST_ROWS) -> DataFrame:
+    """(city, tree, feature, threshold, child, mean): a row for each tree of the forests of cities with at least ``least`` rows of all features.
+
+    Trees see a city's training part, with the feature day's own value as target (features lie before it).
+    """
+    rows = chronological(forest_features(df).join(df.select("city", "date", "tavg"), ["city", "date"])).withColumn("n", F.count("*").over(by_city()))
+    rows = rows.where((F.col("n") >= least) & (F.col("part") == "train")).select("city", "date", "tavg", *FOREST_FEATURES)
+    dealt = 25
+
+    def grow(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values("date")
+        x, y = frame[FOREST_FEATURES].to_numpy(float), frame["tavg"].to_numpy(float)
+        own = range(key[1] * dealt, min((key[1] + 1) * dealt, trees))
+        grown = [(key[0], t, *_tree(x, y, depth, np.random.default_rng((42, t)))) for t in own]
+        return pd.DataFrame(grown, columns=["city", "tree", "feature", "threshold", "child", "mean"])
+
+    parts = F.explode(F.sequence(F.lit(0), F.lit((trees - 1) // dealt)))
+    return _spread(rows.withColumn("part", parts), "city", "part").groupBy("city", "part").applyInPandas(grow, "city string, tree int, feature array<int>, threshold array<double>, child array<int>, mean array<double>")
+
+
+def forest_forecast(df: DataFrame, forests: DataFrame, horizon: int = 7) -> DataFrame:
+    """(city, date, tavg) for the days after the last; each value feeds the lags of the next. Cities without a forest or with fewer than 15 rows have none."""
+    place = F.row_number().over(Window.partitionBy("city").orderBy(F.desc("date")))
+    tail = df.select("city", "date", "tavg", place.alias("place")).where("place <= 15")
+    steps = min(max(horizon, 1), 30)
+
+    def ahead(days: pd.DataFrame, trees: pd.DataFrame) -> pd.DataFrame:
+        days, out = days.sort_values("date"), []
+        if len(days) < 15 or trees.empty:
+            return days.iloc[:0][["city", "date", "tavg"]]
+        feature, threshold, child, mean = (np.concatenate(trees[c].to_numpy()) for c in ("feature", "threshold", "child", "mean"))
+        root = np.r_[0, np.cumsum([len(f) for f in trees["feature"]])[:-1]]
+        values, day = days["tavg"].tolist(), pd.Timestamp(days["date"].iat[-1])
+        for _ in range(steps):
+            day = day + pd.Timedelta(days=1)
+            angle = 2 * np.pi * day.dayofyear / YEAR_DAYS
+            row = np.array([values[-1], values[-2], values[-7], np.mean(values[-7:]), np.std(values[-7:], ddof=1), np.sin(angle), np.cos(angle)])
+            node = root
+            while (inner := feature[node] >= 0).any():
+                down = root + child[node] + (row[feature[node]] > threshold[node])
+                node = np.where(inner, down, node)
+            values.append(float(mean[node].mean()))
+            out.append((days["city"].iat[0], day.date(), values[-1]))
+        return pd.DataFrame(out, columns=["city", "date", "tavg"])
+
+    return tail.groupBy("city").cogroup(forests.groupBy("city")).applyInPandas(ahead, "city string, date date, tavg double")

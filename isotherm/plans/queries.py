@@ -6,7 +6,6 @@ Floats are compared after ``round(x + 1e-9, 6) + 0.0`` on both sides, which take
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -612,11 +611,6 @@ def triclusters_found(spark, sf_dir):
     return even(blocks.select("city", "id", "place", "pattern_string", "support", "type", "label", "hvar3", F.col("shape.volume").alias("volume"), F.col("city").isin(cut).alias("truncated")))
 
 
-def cities_of(df: DataFrame) -> list[str]:
-    """The cities, each of which has a fit of its own."""
-    return [r["city"] for r in df.select("city").distinct().orderBy("city").collect()]
-
-
 @query()
 def kmeans_regimes(spark, sf_dir):
     found = yearly_clusters.clusters(monthly_of(spark, sf_dir))
@@ -654,7 +648,7 @@ def error_metrics(spark, sf_dir):
 @query()
 def rf_forecast(spark, sf_dir):
     rows = base(weather(spark, sf_dir)).select("city", "date", "tavg")
-    return reduce(DataFrame.unionByName, [forecast.forest_forecast(rows, city, forecast.train_forest(rows, city)) for city in cities_of(rows)])
+    return forecast.forest_forecast(rows, forecast.train_forests(rows))
 
 
 @query()

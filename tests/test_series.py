@@ -253,13 +253,52 @@ def test_fits_cover_all_cities_by_the_operators_defaults(spark, monkeypatch):
         return fit
 
     clusters = spark.createDataFrame([("x", ["tavg_mean"], ["tavg_std"])], "city string, high array<string>, low array<string>")
-    monkeypatch.setattr(queries.forecast, "train_forest", noted(None))
-    monkeypatch.setattr(queries.forecast, "forest_forecast", lambda df, city, model: rows.where(F.col("city") == city))
+    monkeypatch.setattr(queries.forecast, "train_forests", noted(None))
+    monkeypatch.setattr(queries.forecast, "forest_forecast", lambda df, forests: df)
     monkeypatch.setattr(queries.yearly_clusters, "clusters", noted(clusters))
     monkeypatch.setattr(queries.forecast, "sarimax_forecast", noted(rows))
     assert queries.rf_forecast(spark, "").select("city").distinct().count() == 2 and queries.kmeans_regimes(spark, "").count() == 1
     queries.sarimax_forecast(spark, "")
-    assert fits == [("a",), ("b",), (), (7,)]
+    assert fits == [(), (), (7,)]
+
+
+def test_a_tree_splits_where_squared_errors_fall_most():
+    draw = np.random.default_rng(5)
+    x, y = draw.integers(0, 9, size=(60, 3)).astype(float), draw.normal(size=60)
+
+    def least(xs, ys):
+        """(errors, feature, threshold) of the best split."""
+        cuts = [(j, (a + b) / 2) for j in range(3) for a, b in itertools.pairwise(np.unique(xs[:, j]))]
+        parts = lambda j, t: [ys[xs[:, j] <= t], ys[xs[:, j] > t]]
+        return min(((sum(((p - p.mean()) ** 2).sum() for p in parts(j, t)), j, t) for j, t in cuts), default=None)
+
+    feature, threshold, child, mean = forecast._tree(x, y, None, np.random.default_rng(1))
+    pick = np.random.default_rng(1).integers(60, size=60)
+    todo, seen = [(0, x[pick], y[pick])], 0
+    while todo:
+        k, xs, ys = todo.pop()
+        seen += 1
+        assert mean[k] == pytest.approx(ys.mean())
+        if feature[k] < 0:
+            assert np.ptp(ys) == 0 or least(xs, ys) is None
+            continue
+        right = xs[:, feature[k]] > threshold[k]
+        assert sum(((p - p.mean()) ** 2).sum() for p in (ys[~right], ys[right])) == pytest.approx(least(xs, ys)[0], abs=1e-9)
+        todo += [(child[k], xs[~right], ys[~right]), (child[k] + 1, xs[right], ys[right])]
+    assert seen == len(feature)
+    assert len(forecast._tree(x, y, 1, np.random.default_rng(1))[0]) == 3
+
+
+def test_forests_of_all_cities(spark, tmp_path):
+    values = [10 + 5 * math.sin(2 * math.pi * i / 365.25) for i in range(1300)]
+    rows = daily(spark, values, "a").unionByName(daily(spark, [2.0] * 1300, "b")).unionByName(daily(spark, [1.0] * 200, "c")).select("city", "date", "tavg")
+    forecast.train_forests(rows, trees=30).write.parquet(str(tmp_path / "forests"))
+    forests = spark.read.parquet(str(tmp_path / "forests"))
+    assert {r["city"]: r["count"] for r in forests.groupBy("city").count().collect()} == {"a": 30, "b": 30}
+    got = forecast.forest_forecast(rows, forests, 5).orderBy("city", "date").toPandas()
+    assert got["city"].tolist() == ["a"] * 5 + ["b"] * 5
+    want = [10 + 5 * math.sin(2 * math.pi * i / 365.25) for i in range(1300, 1305)]
+    assert np.abs(got["tavg"][:5] - want).max() < 0.5 and (got["tavg"][5:] == 2.0).all()
 
 
 def test_years_are_clustered_at_least_cost_in_every_city(spark):
