@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import ctypes
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pandas as pd
 import pyarrow as pa
@@ -47,14 +47,14 @@ def lean(f: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]) -> Calla
     return run
 
 
-def pieces(values: pd.Series, size: int) -> Iterator[tuple[int, int, list[bytes]]]:
+def pieces(values: Iterable[str | bytes], size: int) -> Iterator[tuple[int, int, list[bytes]]]:
     """Ranges of texts of about ``size`` bytes together: (from, to, their bytes)."""
     at, held, own = 0, 0, []
     for k, t in enumerate(values):
-        own.append(t.encode())
+        own.append(t if isinstance(t, bytes) else t.encode())
         held += len(own[-1])
         if held >= size:
             yield at, k + 1, own
             at, held, own = k + 1, 0, []
     if own:
-        yield at, len(values), own
+        yield at, at + len(own), own

@@ -11,10 +11,13 @@ from pyspark.sql import functions as F
 from .automaton import bpe_digest
 from .common import WORD, table
 from .embedding_dedup import near_vectors
+from .fill_middle import fill_in_middle, restored
 from .jaccard_join import jaccard_join
 from .licenses import license_scan
 from .licenses import oracle as license_oracle
 from .mixing import mix
+from .prefix_trie import prefix_trie
+from .repetition import COVERED, LONGEST, quality_rules
 from .sharding import shard
 from .suffix_dedup import repeats
 from .token_counts import token_counts
@@ -79,6 +82,20 @@ def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats(table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = fill_in_middle(table(spark, sf_dir, "documents"))
+    sha = lambda c: F.sha2(c, 256)
+    return out.select("doc_id", "n", "form", "prefix_chars", "middle_chars", sha(F.col("output")).alias("output_sha256"), sha(restored(F.col("output"), F.col("form"))).alias("restored_sha256"))
+
+
+def op12_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules(table(spark, sf_dir, "documents")).drop("spans", "longest_repeat")
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie(table(spark, sf_dir, "conversations"))
+
+
 TOP_K_SQL = """
 with v as (select row_number() over () as n, vec_id, list_transform(embedding, lambda x: floor(x::double * 256)) as e from embeddings
   where vec_id is not null and embedding is not null and len(embedding) > 0 and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
@@ -108,6 +125,44 @@ select d.doc_id, class_id, (select count(*) from links l where l.a = d.doc_id) a
 """
 
 
+FILL_SQL = """
+with d as (select doc_id, coalesce(text, '') as t, length(coalesce(text, '')) as n, sha256('1:' || coalesce(cast(doc_id as varchar), '')) as x from documents),
+h as (select *, cast('0x' || x[1:8] as bigint) % (n + 1) as a, cast('0x' || x[9:16] as bigint) % (n + 1) as b, n = 0 or contains(t, '<P>') or contains(t, '<S>') or contains(t, '<M>') or cast('0x' || x[17:24] as bigint) % 100 >= 90 as plain, cast('0x' || x[25:32] as bigint) % 100 < 20 as spm from d),
+c as (select *, case when plain then 'plain' when spm then 'spm' else 'psm' end as form, least(a, b) as lo, greatest(a, b) as hi, substring(t, 1, least(a, b)) as p, substring(t, least(a, b) + 1, greatest(a, b) - least(a, b)) as m, substring(t, greatest(a, b) + 1, n) as s from h)
+select doc_id, n, form, case when not plain then lo end as prefix_chars, case when not plain then hi - lo end as middle_chars,
+  sha256(case form when 'plain' then t when 'psm' then '<P>' || p || '<S>' || s || '<M>' || m else '<S>' || s || '<P>' || p || '<M>' || m end) as output_sha256, sha256(p || m || s) as restored_sha256 from c
+"""
+#: Repeated spans are the union of repeated runs of five words; a longer repeat is one of LONGEST + 1 words.
+QUALITY_SQL = rf"""
+with d as (select row_number() over () as k, doc_id, coalesce(text, '') as t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents),
+words as (select k, unnest(w) as word, unnest(range(1, len(w) + 1)) as i from d),
+runs as (select k, unnest(list_transform(range(1, len(w) - 3), lambda i: {{'i': i, 'r': array_to_string(w[i:i + 4], ' ')}}), recursive := true) from d where len(w) > 4),
+twice as (select k, i from (select k, i, count(*) over (partition by k, r) as c from runs) where c > 1),
+inside as (select distinct k, unnest(range(i, i + 5)) as i from twice),
+covered as (select k, count(*) as n, sum(length(word)) as chars from inside join words using (k, i) group by 1),
+long_ as (select k, count(*) <> count(distinct r) as hit from (select k, unnest(list_transform(range(1, len(w) - {LONGEST} + 1), lambda i: array_to_string(w[i:i + {LONGEST}], ' '))) as r from d where len(w) > {LONGEST}) group by 1),
+lines as (select k, count(*) - count(distinct line) as n from (select k, unnest(string_split(t, chr(10))) as line from d) where regexp_matches(line, '[^\x20\x09-\x0D]') group by 1),
+s as (select d.k, doc_id, len(w) as n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) as word_chars, length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) as n_symbols, coalesce(lines.n, 0) as n_dup_lines,
+  coalesce(covered.n, 0) as n_repeat_words, coalesce(covered.chars, 0) as covered_chars, coalesce(hit, false) as hit from d left join lines using (k) left join covered using (k) left join long_ using (k)),
+b as (select *, n_words < 10 or 100 * n_repeat_words > 20 * n_words as base_failed from s)
+select doc_id, n_words, cast(word_chars as bigint) as word_chars, n_symbols, n_dup_lines, n_repeat_words, cast(covered_chars as bigint) as covered_chars, base_failed, not base_failed and covered_chars <= {COVERED} * word_chars and not hit as kept from b
+"""
+#: Prefixes as lists of hashes of turns; CRC-32 bit by bit.
+TRIE_SQL = """
+with recursive t as (select conv_id, sha256(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) as id, length(coalesce(text, '')) as chars, turn from conversations where conv_id is not null),
+o as (select conv_id, list(id order by turn nulls first, id) as ids, list(chars order by turn nulls first, id) as chars,
+  xor(list_reduce(list_prepend(4294967295, list_transform(string_split(cast(conv_id as varchar), ''), lambda c: cast(ascii(c) as bigint))), lambda r, b: list_reduce(list_prepend(xor(r, b), range(8)), lambda a, i: xor(a >> 1, 3988292384 * (a & 1)))), 4294967295) % 6 as h from t group by 1),
+f as (select c.conv_id, coalesce(b.ids[1:c.h], []) || c.ids[c.h + 1:] as ids, coalesce(b.chars[1:c.h], []) || c.chars[c.h + 1:] as chars from o c left join o b on b.conv_id = c.conv_id - c.conv_id % 100),
+p as (select conv_id, unnest(range(0, len(ids) + 1)) as depth, ids, chars from f),
+n as (select ids[1:depth] as path, depth, min(conv_id) as conv_id, count(*) as n_convs, any_value(case when depth > 0 then chars[depth] else 0 end) as chars, list(conv_id order by conv_id) filter (depth = len(ids)) as ends from p group by 1, 2),
+c as (select path[1:depth - 1] as path, count(*) as n_children from n where depth > 0 group by 1),
+w as (select n.*, coalesce(n_children, 0) as n_children from n left join c using (path)),
+up as (select path[1:d] as path, sum(cast(n_children = 0 as integer)) as n_leaves, sum((n_convs - 1) * chars) as saved from (select *, unnest(range(0, depth + 1)) as d from w) group by 1)
+select w.conv_id, w.depth, a.conv_id as parent_conv_id, w.n_convs, w.n_children, cast(n_leaves as bigint) as n_leaves, cast(saved as bigint) as saved_tokens, sha256(coalesce(array_to_string(w.ends, ','), '')) as ends_sha256
+from w join up on up.path = w.path left join n a on w.depth > 0 and a.path = w.path[1:w.depth - 1]
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_license_scan": op1_license_scan,
@@ -120,8 +175,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_embedding_dedup": op8_embedding_dedup,
         "op9_sharding": op9_sharding,
         "op10_suffix_array_dedup": op10_suffix_array_dedup,
+        "op11_fill_in_middle": op11_fill_in_middle,
+        "op12_quality_rules": op12_quality_rules,
+        "op13_prefix_trie": op13_prefix_trie,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_license_scan": license_oracle(), "op4_jaccard_join": JACCARD_SQL, "op5_exact_topk": TOP_K_SQL, "op8_embedding_dedup": NEAR_SQL}
+    return {"op1_license_scan": license_oracle(), "op4_jaccard_join": JACCARD_SQL, "op5_exact_topk": TOP_K_SQL, "op8_embedding_dedup": NEAR_SQL, "op11_fill_in_middle": FILL_SQL, "op12_quality_rules": QUALITY_SQL, "op13_prefix_trie": TRIE_SQL}
