@@ -3,9 +3,7 @@
 An item is a (feature, offset, symbol) and can be at one place of a window only, so that a sequence contains a pattern just
 if the window holds all its items. A closed set is the set of items common to some windows.
 
-Runs of successive offsets in closed sets are searched for by themselves: the run about a set within its closure is a
-closure of its own, so that runs grow item by item within their offsets and those next to them, and closed sets with far
-offsets are never formed. Runs are dealt out by their first item, one task for each, and there is no bound on their number.
+Runs of successive offsets in closed sets are searched for by themselves (``run_search``), without a bound on their number.
 
 Closed sets as a whole are found by intersecting arrays of windows level by level. Levels are joins by city, what was seen
 before is taken out by an anti-join, and each level is written before the next, so nothing is gathered on the driver.
@@ -14,15 +12,13 @@ before is taken out by an anti-join, and each level is written before the next,
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.tokens import pattern_string, token
-from ..sources.storage import stored
+from ..sources.storage import numbered, stored
+from . import run_search
 
 
 def items(cells: DataFrame) -> DataFrame:
@@ -51,11 +47,15 @@ def min_support(n: int, min_rows: int, mode: str = "percent") -> int:
     return max(min_rows, -(-percent * n // 100))
 
 
-def supports(tokens: DataFrame, min_rows: int, mode: str = "percent") -> DataFrame:
-    """(city, token, context_idx, feature_idx, tids, support, needed) of the frequent items."""
+def supports(tokens: DataFrame, min_rows: int, mode: str = "percent", min_share: float = 0.0) -> DataFrame:
+    """(city, token, context_idx, feature_idx, tids, support, needed) of the frequent items.
+
+    Frequent is what ``min_rows`` windows hold, by ``mode`` (see ``min_support``), and a share of ``min_share`` of a city's windows.
+    """
     n = tokens.groupBy("city").agg(F.count_distinct("window_id").alias("n"))
     percent = F.greatest(F.lit(1), F.ceil(100 * F.lit(min_rows) / F.col("n")))
     needed = F.lit(min_rows) if mode == "exact" else F.greatest(F.lit(min_rows), F.ceil(percent * F.col("n") / 100)).cast("int")
+    needed = F.greatest(needed, F.ceil(F.col("n") * min_share - 1e-9).cast("int"))
     each = tokens.groupBy("city", "token", "context_idx", "feature_idx").agg(F.array_sort(F.collect_set("window_id")).alias("tids"))
     out = each.join(n.select("city", needed.alias("needed")), "city").withColumn("support", F.size("tids"))
     return out.where(F.col("support") >= F.col("needed")).select("city", "token", "context_idx", "feature_idx", "tids", "support", "needed")
@@ -94,83 +94,6 @@ def closures(sets: DataFrame, frequent: DataFrame) -> DataFrame:
     return counted.where(F.col("n") == F.size("tids")).drop("n")
 
 
-def _runs(bits: np.ndarray, offsets: np.ndarray, first: int, needed: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(windows, items) of each frequent run whose first item is ``first``.
-
-    ``bits`` are the windows of each item, 64 to a number; items are in order of ``offsets``. A run holds all items of its
-    offsets and of the two next to them that its windows have in common.
-    """
-    others, lo = ~bits, int(offsets[first])
-    begins = np.flatnonzero(np.r_[True, offsets[1:] != offsets[:-1]])
-    seen = {bits[first].tobytes()}
-
-    def closed(windows: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, int]]:
-        """Those sets of windows that make a run from ``first`` on, with its items and last offset."""
-        held = ((windows[:, None, :] & others) == 0).all(axis=2)
-        present = np.zeros((len(windows), int(offsets[-1]) + 2), dtype=bool)
-        present[:, offsets[begins]] = np.logical_or.reduceat(held, begins, axis=1)
-        last = lo + present[:, lo:].argmin(axis=1) - 1
-        inside = held & (offsets >= lo) & (offsets <= last[:, None])
-        whole = ~inside[:, :first].any(axis=1)
-        if lo:
-            whole &= ~present[:, lo - 1]
-        return [(windows[k], inside[k], int(last[k])) for k in np.flatnonzero(whole)]
-
-    todo = closed(bits[first][None])
-    while todo:
-        windows, inside, last = todo.pop()
-        yield windows, np.flatnonzero(inside)
-        end = int(np.searchsorted(offsets, last + 1, "right"))
-        both = bits[first + 1 : end] & windows
-        both = both[(np.bitwise_count(both).sum(axis=1) >= needed) & ~inside[first + 1 : end]]
-        new = []
-        for x in both:
-            if (key := x.tobytes()) not in seen:
-                seen.add(key)
-                new.append(x)
-        if new:
-            todo += closed(np.array(new))
-
-
-def closed_runs(frequent: DataFrame, min_offsets: int = 1) -> DataFrame:
-    """(city, context_idx, token, subject_ids) of every run of ``min_offsets`` or more successive offsets of a closed set: its items in order, and all windows that hold them."""
-    kinds = dict(frequent.dtypes)
-    dealt = f"city string, first int, needed int, bits binary, tids {kinds['tids']}, offsets array<int>, tokens array<string>"
-    chunk = 2000
-
-    def deal(frame: pd.DataFrame) -> pd.DataFrame:
-        """A city's items, once for each that a run can begin with."""
-        frame = frame.sort_values(["context_idx", "token"])
-        tids = np.unique(np.concatenate(frame["tids"].to_numpy()))
-        marks = np.zeros((len(frame), -(-len(tids) // 64) * 64), dtype=bool)
-        for k, own in enumerate(frame["tids"]):
-            marks[k, np.searchsorted(tids, own)] = True
-        n, bits = len(frame), np.packbits(marks, axis=1).tobytes()
-        same = {"city": frame["city"].iat[0], "needed": int(frame["needed"].iat[0])}
-        lists = {"tids": [tids] * n, "offsets": [frame["context_idx"].to_numpy()] * n, "tokens": [frame["token"].to_numpy()] * n}
-        return pd.DataFrame({"first": np.arange(n, dtype=np.int32), "bits": [bits] * n, **lists}).assign(**same)[["city", "first", "needed", "bits", "tids", "offsets", "tokens"]]
-
-    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        out: list[tuple] = []
-        for batch in batches:
-            for row in batch.itertuples():
-                offsets, tokens, tids = np.asarray(row.offsets), np.asarray(row.tokens, dtype=object), np.asarray(row.tids)
-                bits = np.frombuffer(row.bits, np.uint64).reshape(len(offsets), -1)
-                for windows, items in _runs(bits, offsets, row.first, row.needed):
-                    if offsets[items[-1]] - offsets[items[0]] + 1 >= min_offsets:
-                        held = np.flatnonzero(np.unpackbits(windows.view(np.uint8)))
-                        out.append((row.city, offsets[items], tokens[items], tids[held]))
-                    if len(out) >= chunk:
-                        yield pd.DataFrame(out, columns=columns)
-                        out = []
-        yield pd.DataFrame(out, columns=columns)
-
-    columns = ["city", "context_idx", "token", "subject_ids"]
-    tasks = 8 * frequent.sparkSession.sparkContext.defaultParallelism
-    starts = frequent.select("city", F.col("context_idx").cast("int").alias("context_idx"), "token", "tids", F.col("needed").cast("int").alias("needed")).groupBy("city").applyInPandas(deal, dealt)
-    return starts.repartition(tasks, "city", "first").mapInPandas(search, f"city string, context_idx array<int>, token array<string>, subject_ids {kinds['tids']}")
-
-
 def patterns(frequent: DataFrame, min_offsets: int = 1, contiguous: bool = True, max_sets: int = 200_000) -> tuple[DataFrame, list[str]]:
     """Closed patterns (city, pattern_id, pattern_string, itemsets, support, subject_ids), and the cities whose search was cut.
 
@@ -179,17 +102,22 @@ def patterns(frequent: DataFrame, min_offsets: int = 1, contiguous: bool = True,
     """
     frequent = stored(frequent, "items")
     if contiguous:
-        rows, cut = stored(closed_runs(frequent, min_offsets), "runs").select("city", F.arrays_zip("context_idx", "token").alias("items"), "subject_ids"), []
+        found, own = run_search.runs(frequent, min_offsets=min_offsets)
+        placed, cut = numbered(found.select("city", "held", "windows"), ["city"], ["held", "windows"], "pattern_id"), []
+        rows = run_search.decoded(placed, own, ["pattern_id"]).select("city", "pattern_id", F.arrays_zip("context_idx", "token").alias("items"), "subject_ids")
     else:
         sets, cut = closed_sets(frequent, max_sets)
         members = closures(sets, frequent)
         grouped = members.groupBy("city", "tids").agg(F.array_sort(F.collect_list(F.struct("context_idx", "token"))).alias("items"), F.count_distinct("context_idx").alias("k"))
-        rows = grouped.where(F.col("k") >= min_offsets).select("city", "items", F.col("tids").alias("subject_ids"))
+        rows = numbered(grouped.where(F.col("k") >= min_offsets).select("city", "items", F.col("tids").alias("subject_ids")), ["city"], ["items"], "pattern_id")
+    return rows.select("city", F.col("pattern_id").cast("int").alias("pattern_id"), *strings(), F.size("subject_ids").alias("support"), "subject_ids"), cut
+
+
+def strings() -> list[Column]:
+    """pattern_string and itemsets of ``items``, an array of (context_idx, token)."""
     offsets = F.array_sort(F.array_distinct(F.transform("items", lambda i: i["context_idx"])))
     itemsets = F.transform(offsets, lambda k: F.transform(F.filter("items", lambda i: i["context_idx"] == k), lambda i: i["token"]))
-    number = F.row_number().over(Window.partitionBy("city").orderBy("items")) - 1
-    out = rows.withColumn("itemsets", itemsets).withColumn("pattern_id", number)
-    return out.select("city", "pattern_id", pattern_string(F.col("itemsets")).alias("pattern_string"), "itemsets", F.size("subject_ids").alias("support"), "subject_ids"), cut
+    return [pattern_string(itemsets).alias("pattern_string"), itemsets.alias("itemsets")]
 
 
 def frequent_sets(frequent: DataFrame, max_items: int = 3) -> DataFrame:

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.tokens import feature_of, offset_of
 from ..schemas import NUMERIC, SYMBOLIC
+from ..sources.storage import stored
 
 FEATURES = [*NUMERIC, *SYMBOLIC]
 
@@ -42,7 +46,7 @@ def impurity(cells: DataFrame) -> DataFrame:
 
 
 def coherence(blocks: DataFrame, cube: DataFrame) -> DataFrame:
-    """``blocks`` with hvar3: variation, impurity and share of missing cells, each by the size of its part of the block."""
+    """``blocks`` with hvar3: variation and impurity, each by the size of its part of the block, and the share of missing cells."""
     cells = block_cells(blocks, cube)
     numeric = F.size(F.filter("cols", lambda c: c < len(NUMERIC)))
     symbolic = F.size("cols") - numeric
@@ -50,7 +54,7 @@ def coherence(blocks: DataFrame, cube: DataFrame) -> DataFrame:
     gone = cells.groupBy("city", "id").agg(F.avg((F.col("num").isNull() & F.col("sym").isNull()).cast("int")).alias("gap"))
     parts = blocks.join(variation(cells), ["city", "id"], "left").join(impurity(cells), ["city", "id"], "left").join(gone, ["city", "id"], "left")
     term = lambda v, n: F.when(n > 0, F.coalesce(v, F.lit(0.0)) / (area * n)).otherwise(0.0)
-    return parts.withColumn("hvar3", term(F.col("cv"), numeric) + term(F.col("gini"), symbolic) + term(F.col("gap"), F.size("cols"))).drop("cv", "gini", "gap")
+    return parts.withColumn("hvar3", term(F.col("cv"), numeric) + term(F.col("gini"), symbolic) + F.coalesce("gap", F.lit(0.0))).drop("cv", "gini", "gap")
 
 
 def described(blocks: DataFrame) -> DataFrame:
@@ -96,28 +100,115 @@ def overlaps(blocks: DataFrame, least: float = 0.0) -> DataFrame:
     return both.select("city", "a", "b", F.when(union > 0, inter / union).otherwise(0.0).alias("jaccard")).where(F.col("jaccard") >= least)
 
 
-def overlap_filtered(blocks: DataFrame, limit: float | None) -> DataFrame:
-    """Blocks in order of hvar3 and size, each kept unless it overlaps a kept one by ``limit`` or more; None keeps all.
+#: Blocks of a city that are judged in a round, and blocks that a task holds against a round's chosen ones.
+CHUNK, HELD = 20_000, 20_000
 
-    The scores are made by joins; only the ids and the pairs over the limit of one city meet in a task for the greedy choice.
-    """
+
+def overlap_filtered(blocks: DataFrame, limit: float | None) -> DataFrame:
+    """Blocks in order of hvar3 and size, each kept unless it overlaps a kept one by ``limit`` or more; None keeps all."""
     if limit is None:
         return blocks
-    order = F.struct("hvar3", -F.col("shape.volume"), F.col("id"))
-    close = overlaps(blocks, limit)
-    near = close.select("city", F.col("a").alias("id"), F.col("b").alias("other")).unionByName(close.select("city", F.col("b").alias("id"), F.col("a").alias("other")))
-    ranked = blocks.withColumn("rank", F.row_number().over(Window.partitionBy("city").orderBy(order))).select("city", "id", "rank")
-    listed = ranked.join(near.groupBy("city", "id").agg(F.collect_list("other").alias("near")), ["city", "id"], "left").select("city", "id", "rank", F.coalesce("near", F.array().cast("array<int>")).alias("near"))
+    kinds = dict(blocks.dtypes)
+    lists = ["rows", "cols", "contexts"]
+
+    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield batch.assign(**{c: [np.packbits(np.bincount(v, minlength=8) > 0).tobytes() for v in batch[c]] for c in lists})
+
+    narrow = blocks.select("city", "id", F.col("hvar3").cast("double").alias("hvar3"), F.col("shape.volume").cast("long").alias("volume"), *lists)
+    marked = narrow.mapInPandas(pack, f"city string, id {kinds['id']}, hvar3 double, volume long, rows binary, cols binary, contexts binary").withColumnRenamed("rows", "windows")
+    return blocks.join(apart(marked, ["id"], limit), ["city", "id"], "left_semi")
+
+
+def apart(marked: DataFrame, key: list[str], limit: float) -> DataFrame:
+    """(city, *key) of the blocks that the greedy choice keeps.
+
+    ``marked`` has city, ``key``, hvar3, volume and, as bits, windows, cols and contexts. The choice goes by rounds: of each city the
+    first ``CHUNK`` blocks in order are judged among themselves, and what overlaps a chosen one leaves the others, which are held
+    against the chosen ones in parts of about ``HELD``. What is chosen is the same as one by one: no block is judged before all that
+    precede it have been.
+    """
+    left = stored(marked, "blocks")
+    order = [F.col("hvar3"), F.desc("volume"), *map(F.col, key)]
+    schema = left.schema
+    sort, way = ["hvar3", "volume", *key], [True, False, *(True for _ in key)]
 
     def choose(frame: pd.DataFrame) -> pd.DataFrame:
-        kept: set[int] = set()
-        for row in frame.sort_values("rank").itertuples():
-            if kept.isdisjoint(row.near):
-                kept.add(row.id)
-        return frame[frame["id"].isin(kept)][["city", "id"]]
-
-    chosen = listed.groupBy("city").applyInPandas(choose, "city string, id int")
-    return blocks.join(chosen, ["city", "id"], "left_semi")
+        frame = frame.sort_values(sort, ascending=way)
+        own, open_, kept = _Bits(frame), np.ones(len(frame), dtype=bool), []
+        for i in range(len(frame)):
+            if open_[i]:
+                kept.append(i)
+                later = np.flatnonzero(open_[i + 1 :]) + i + 1
+                open_[later[own.over(np.array([i]), own, later, limit)[0]]] = False
+        return frame.iloc[kept]
+
+    def leave(frame: pd.DataFrame, chosen: pd.DataFrame) -> pd.DataFrame:
+        frame = frame[names]
+        if not len(frame) or not len(chosen):
+            return frame
+        own, other = _Bits(frame), _Bits(chosen)
+        gone = np.zeros(len(frame), dtype=bool)
+        for one in own.alike():
+            near = other.near(own, one[0], limit)
+            for a in range(0, len(one), step := max(1, 2_000_000 // max(1, len(near) * own.words))):
+                part = one[a : a + step]
+                gone[part] = own.over(part, other, near, limit).any(axis=1)
+        return frame[~gone]
+
+    names, found = left.columns, None
+    while not left.isEmpty():
+        first = left.withColumn("__place", F.row_number().over(Window.partitionBy("city").orderBy(*order))).where(F.col("__place") <= CHUNK)
+        chosen = stored(first.drop("__place").groupBy("city").applyInPandas(choose, schema), "chosen")
+        found = chosen.select("city", *key) if found is None else found.unionByName(chosen.select("city", *key))
+        # what precedes the last chosen one has been judged
+        last = first.groupBy("city").agg(F.max(F.struct(F.col("hvar3"), (-F.col("volume")).alias("v"), *key)).alias("__last"), F.max("__place").alias("__n"))
+        rest = left.join(last.where(F.col("__n") == CHUNK), "city").where(F.struct(F.col("hvar3"), (-F.col("volume")).alias("v"), *key) > F.col("__last")).select(*names)
+        counts = rest.groupBy("city").agg(F.ceil(F.count("*") / HELD).alias("__parts"))
+        dealt = rest.join(counts, "city").withColumn("__part", F.pmod(F.xxhash64(*key), F.col("__parts"))).drop("__parts")
+        sent = chosen.join(counts, "city").withColumn("__part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__parts") - 1))).drop("__parts")
+        left = stored(dealt.groupBy("city", "__part").cogroup(sent.groupBy("city", "__part")).applyInPandas(leave, schema), "blocks")
+    return found if found is not None else left.select("city", *key)
+
+
+class _Bits:
+    """Windows, features and offsets of blocks as bits, for their overlaps."""
+
+    def __init__(self, frame: pd.DataFrame):
+        self.sides = [self._read(frame[c]) for c in ("windows", "cols", "contexts")]
+        self.sizes = [np.bitwise_count(s).sum(axis=1, dtype=np.int64) for s in self.sides]
+        self.volume = self.sizes[0] * self.sizes[1] * self.sizes[2]
+        self.words = self.sides[0].shape[1]
+
+    @staticmethod
+    def _read(values: pd.Series) -> np.ndarray:
+        width = -(-max(map(len, values), default=8) // 8) * 8
+        return np.frombuffer(b"".join(v.ljust(width, b"\0") for v in values), np.uint64).reshape(len(values), -1)
+
+    def alike(self) -> list[np.ndarray]:
+        """Places of blocks of the same features and offsets."""
+        key = np.hstack([self.sides[1], self.sides[2]])
+        order = np.lexsort(key.T)
+        new = np.flatnonzero((key[order[1:]] != key[order[:-1]]).any(axis=1)) + 1
+        return np.split(order, new)
+
+    def common(self, side: int, i: np.ndarray, other: _Bits, j: np.ndarray) -> np.ndarray:
+        a, b = self.sides[side][i], other.sides[side][j]
+        width = min(a.shape[1], b.shape[1])
+        return np.bitwise_count(a[:, None, :width] & b[None, :, :width]).sum(axis=2, dtype=np.int64)
+
+    def near(self, own: _Bits, i: int, limit: float) -> np.ndarray:
+        """Places of blocks whose features and whose offsets overlap those of block ``i`` of ``own`` by the limit."""
+        out = np.ones(len(self.volume), dtype=bool)
+        for side in (1, 2):
+            both = own.common(side, np.array([i]), self, np.arange(len(out)))[0]
+            out &= both >= limit * (own.sizes[side][i] + self.sizes[side] - both) - 1e-9
+        return np.flatnonzero(out)
+
+    def over(self, i: np.ndarray, other: _Bits, j: np.ndarray, limit: float) -> np.ndarray:
+        """Whether blocks ``i`` overlap blocks ``j`` of ``other`` by the limit, as rows for ``i``."""
+        both = self.common(0, i, other, j) * self.common(1, i, other, j) * self.common(2, i, other, j)
+        return both / (self.volume[i][:, None] + other.volume[j] - both) >= limit
 
 
 def ordered(blocks: DataFrame) -> DataFrame:

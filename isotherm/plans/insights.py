@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.keys import month_name
-from ..operators import bins, mining, regimes, rollup, series, triclusters, windows
+from ..operators import bins, mining, regimes, rollup, run_search, series, triclusters, windows
 from ..sources.sinks import as_json
-from ..sources.storage import stored
+from ..sources.storage import numbered, stored
 
 
 @dataclass(frozen=True)
@@ -30,6 +30,7 @@ class Config:
     contiguous: bool = True
     support_mode: str = "percent"
     max_sets: int = 200_000
+    min_share: float = 0.0
 
 
 def cells(weather: DataFrame, config: Config) -> tuple[DataFrame, DataFrame]:
@@ -47,14 +48,33 @@ def find_triclusters(weather: DataFrame, config: Config = Config()) -> tuple[Dat
     rows, cube = cells(weather, config)
     cube = stored(cube, "cube")
     symbols = bins.discretised(cube, bins.edges(cube, config.n_bins, config.binning))
-    frequent = mining.supports(mining.items(symbols), config.min_rows, config.support_mode)
-    found, cut = mining.patterns(frequent, config.min_offsets, config.contiguous, config.max_sets)
-    blocks = stored(triclusters.from_patterns(found, config.min_rows, config.min_features, config.min_offsets), "blocks")
-    scored = triclusters.described(triclusters.coherence(blocks, cube)).where(F.col("hvar3") <= config.coherence)
-    kept = triclusters.overlap_filtered(stored(triclusters.deduplicated(scored), "scored"), config.overlap)
+    frequent = mining.supports(mining.items(symbols), config.min_rows, config.support_mode, config.min_share)
+    if config.contiguous:
+        kept, cut = run_triclusters(frequent, cube, config), []
+    else:
+        found, cut = mining.patterns(frequent, config.min_offsets, False, config.max_sets)
+        blocks = stored(triclusters.from_patterns(found, config.min_rows, config.min_features, config.min_offsets), "blocks")
+        scored = triclusters.described(triclusters.coherence(blocks, cube)).where(F.col("hvar3") <= config.coherence)
+        kept = triclusters.overlap_filtered(stored(triclusters.deduplicated(scored), "scored"), config.overlap)
     return triclusters.ordered(regimes.labelled(kept)), windows.window_midpoints(rows), cut
 
 
+def run_triclusters(frequent: DataFrame, cube: DataFrame, config: Config) -> DataFrame:
+    """Triclusters of closed runs: scored where they are found, told apart as bits, and only then spelled out.
+
+    Runs of the same windows and offsets are the same run, so that none is found twice.
+    """
+    found, own = run_search.runs(stored(frequent, "items"), cube, config.min_features, config.min_offsets, config.coherence)
+    key = ["held", "windows"]
+    if config.overlap is not None:
+        found = found.join(triclusters.apart(found, key, config.overlap), ["city", *key], "left_semi")
+    placed = numbered(found.select("city", *key, "hvar3"), ["city"], key, "id").withColumn("id", F.col("id").cast("int"))
+    spelled = run_search.decoded(placed, own, ["id", "hvar3"]).select("city", F.col("id").alias("pattern_id"), "hvar3", F.arrays_zip("context_idx", "token").alias("items"), "subject_ids")
+    wide = stored(spelled.select("city", "pattern_id", "hvar3", *mining.strings(), F.size("subject_ids").alias("support"), "subject_ids"), "patterns")
+    blocks = triclusters.from_patterns(wide, 1, config.min_features, config.min_offsets)
+    return triclusters.described(blocks.join(wide.select("city", F.col("pattern_id").alias("id"), "hvar3"), ["city", "id"]))
+
+
 def summaries(weather: DataFrame) -> DataFrame:
     """A row for each city: extreme months, trend, streaks, anomalies and data health."""
     daily = series.daily_features(weather)

@@ -23,10 +23,9 @@ QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
 #: Windows that cover every day, of all queries on cubes, items and blocks.
 LIVE = Config()
-#: The same windows with patterns held by a tenth of them; the number of patterns grows steeply as fewer are asked for.
-TENTH = Config(min_rows=17)
-#: Triclusters held by a fifth of the windows: each is scored over all of its cells.
-FIFTH = Config(min_rows=34)
+#: The same windows with patterns held by a tenth or a fifth of them; the number of patterns grows steeply as fewer are asked for.
+TENTH = Config(min_share=0.1)
+FIFTH = Config(min_share=0.2)
 
 
 def query(sql: str | None = None) -> Callable[[Query], Query]:
@@ -485,7 +484,7 @@ bc as (select city, id, window_id, context_idx, feature_idx, num, sym from (sele
 cv as (select city, id, avg(case when abs(m) < 1e-12 then 0 else s / abs(m) end) as cv from (select city, id, context_idx, feature_idx, avg(num) as m, stddev_pop(num) as s from bc where feature_idx < 7 group by 1, 2, 3, 4) group by 1, 2),
 gini as (select city, id, avg(1 - sq / (t * t)) as gini from (select city, id, context_idx, feature_idx, sum(n) as t, sum(n * n) as sq from (select city, id, context_idx, feature_idx, sym, cast(count(*) as double) as n from bc where feature_idx >= 7 group by 1, 2, 3, 4, 5) group by 1, 2, 3, 4) group by 1, 2),
 gaps as (select city, id, avg(case when num is null and sym is null then 1 else 0 end) as gap from bc group by 1, 2),
-hvar as (select city, id, rows, len(rows) as support, len(rows) * len(contexts) * len(cols) as volume, case when jn > 0 then coalesce(cv, 0) / (a * jn) else 0 end + case when js > 0 then coalesce(gini, 0) / (a * js) else 0 end + coalesce(gap, 0) / (a * (jn + js)) as hvar3
+hvar as (select city, id, rows, len(rows) as support, len(rows) * len(contexts) * len(cols) as volume, case when jn > 0 then coalesce(cv, 0) / (a * jn) else 0 end + case when js > 0 then coalesce(gini, 0) / (a * js) else 0 end + coalesce(gap, 0) as hvar3
   from (select *, len(rows) * len(contexts) as a, len(list_filter(cols, lambda c: c < 7)) as jn, len(list_filter(cols, lambda c: c >= 7)) as js from blocks) left join cv using (city, id) left join gini using (city, id) left join gaps using (city, id))"""
 TO_BLOCKS = TO_CUBE + ",\n" + BLOCKS
 
@@ -601,7 +600,7 @@ def legacy_labels(spark, sf_dir):
 def closed_patterns(spark, sf_dir):
     cube = stored(cells(weather(spark, sf_dir), TENTH)[1], "cube")
     symbols = bins.discretised(cube, bins.edges(cube, TENTH.n_bins, TENTH.binning))
-    found, cut = mining.patterns(mining.supports(mining.items(symbols), TENTH.min_rows), TENTH.min_offsets)
+    found, cut = mining.patterns(mining.supports(mining.items(symbols), TENTH.min_rows, min_share=TENTH.min_share), TENTH.min_offsets)
     return found.select("city", "pattern_id", "pattern_string", "support", F.col("city").isin(cut).alias("truncated"))
 
 

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -30,6 +31,21 @@ def stored(df: DataFrame, name: str = "step") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def numbered(df: DataFrame, by: list[str], order: list[str], name: str) -> DataFrame:
+    """``df`` with ``name``: a row's place, from 0, in its group of ``by`` in ``order``.
+
+    Rows are sorted by ranges, each range numbers its own, and a range's numbers are moved on by the group's rows in the ranges
+    before it; so a large group is spread over tasks.
+    """
+    ranged = df.repartitionByRange(*by, *order).sortWithinPartitions(*by, *order)
+    rows = stored(ranged.withColumns({"__part": F.spark_partition_id(), "__at": F.monotonically_increasing_id()}), "ranges")
+    counts = rows.groupBy(*by, "__part").agg(F.count("*").alias("__n"), F.min("__at").alias("__least"))
+    before = Window.partitionBy(*by).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    moved = counts.withColumn("__before", F.coalesce(F.sum("__n").over(before), F.lit(0)) - F.col("__least")).drop("__n", "__least")
+    out = rows.join(moved, [*by, "__part"])
+    return out.withColumn(name, F.col("__at") + F.col("__before")).drop("__part", "__at", "__before").select(*df.columns, name)
+
+
 def removed(spark: SparkSession, since: int = 0) -> int:
     """Steps stored after the first ``since`` go; to be called once what was made of them has been written. Returns how many are left."""
     for name, path in _STEPS[since:]:
