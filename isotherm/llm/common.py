@@ -37,10 +37,13 @@ def given_back() -> None:
         libc.malloc_trim(0)
 
 
-def lean(f: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
-    """A function for mapInPandas whose task gives its memory back at the end."""
+Batches = Iterator[pd.DataFrame] | Iterator[pa.RecordBatch]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+
+def lean(f: Callable[[Batches], Batches]) -> Callable[[Batches], Batches]:
+    """A function for mapInPandas or mapInArrow whose task gives its memory back at the end."""
+
+    def run(batches: Batches) -> Batches:
         yield from f(batches)
         given_back()
 

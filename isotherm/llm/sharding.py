@@ -1,26 +1,32 @@
 """Sharding by sampled splitters, law ``bytes``: shards of near equal size, with equal texts side by side.
 
-Rows are ordered by (hash of the text, text_crc32, doc_id). A sample of keys, each row drawn with a chance in proportion
-to its size, gives splitters at its quantiles, which range-partition the rows into many small ranges. Ranges of more than
-``ROWS`` rows are subdivided, by the hash or, inside one text, by doc_id, so that ranges grow in number and not in size.
+Rows are ordered by (hash of the text, text_crc32, hash of doc_id). A sample of hashes, each row drawn with a chance in proportion
+to its size, gives splitters at its quantiles, which range-partition the rows into many small ranges. Texts of more than a quarter of
+``ROWS`` rows are counted exactly and each is a range of its own. Ranges of many rows are then subdivided in equal steps of the
+hash, a hot text's by the hash of doc_id or, where ids repeat or are null, by a salt of the row, so that ranges grow in number and
+not in size whatever the texts and ids are.
 Exact row and byte totals of the ranges place each range in the whole order; a shard's boundary is found by the running
 totals inside its range. A boundary that would cut a group of equal texts moves to the nearer end of the group if the
-shards stay within ``TOLERANCE`` of their share; a larger group is cut by doc_id. Shards differ by that tolerance and by one
+shards stay within ``TOLERANCE`` of their share; a larger group is cut. Shards differ by that tolerance and by one
 row's size at most, which shows where rows are large against shards.
 
-Only the sample (about ``SAMPLE`` keys), the ranges' totals (one for ``ROWS`` rows) and the boundaries come to the driver.
+Only the sample (about ``SAMPLE`` keys), the hot texts and the ranges' totals (a few for ``ROWS`` rows) and the boundaries come to
+the driver.
 
-Defined cases: a null text has size 1 and the checksum of the empty text; null ids sort first; repeated rows each get a
-slot of their own; an empty table gives an empty result; with fewer rows than shards some shards stay empty; further
-columns are ignored.
+Defined cases: a null text has size 1 and the checksum of the empty text; repeated rows each get a slot of their own; an empty table
+gives an empty result; with fewer rows than shards some shards stay empty; further columns are ignored.
 """
 
 from __future__ import annotations
 
-from bisect import bisect_left
+from bisect import bisect_right
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from .common import lean, materialize
 
@@ -30,56 +36,69 @@ SAMPLE, RANGES, TOLERANCE = 40_000, 48, 0.02
 ROWS = 500_000
 
 
-def _splitters(keyed: DataFrame, total: int, ranges: int) -> list[tuple[int, int]]:
-    """Quantiles of a size-weighted sample of (hash, doc_id); each row is drawn by itself, so that repeated ones don't come all together."""
+def _splitters(keyed: DataFrame, total: int, ranges: int) -> list[int]:
+    """Quantiles of a size-weighted sample of hashes; each row is drawn by itself, so that repeated ones don't come all together."""
     chance = F.least(F.lit(1.0), F.col("size") * (SAMPLE / max(total, 1)))
-    drawn = keyed.where((F.rand(7) < chance) & F.col("doc_id").isNotNull())
-    sample = sorted((r["h"], r["doc_id"]) for r in drawn.select("h", "doc_id").collect())  # about SAMPLE of them
-    if not sample:
-        return []
-    return sorted({sample[i * len(sample) // ranges] for i in range(1, ranges)})
+    sample = sorted(r["h"] for r in keyed.where(F.rand(7) < chance).select("h").collect())  # about SAMPLE of them
+    return [sample[i * len(sample) // ranges] for i in range(1, ranges)] if sample else []
+
+
+def _hot(keyed: DataFrame) -> dict[int, bool]:
+    """Hashes of texts of more than a quarter of ROWS rows: whether one id of them has as many, so that the salt has to part them."""
+    most = ROWS // 4
+    texts = keyed.groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") > most).select("h")
+    found = materialize(texts, "hot-texts")
+    ids = keyed.join(found, "h", "left_semi").groupBy("h", "o").agg(F.count("*").alias("n")).where(F.col("n") > most)
+    salted = {r["h"] for r in ids.select("h").distinct().collect()}
+    return {r["h"]: r["h"] in salted for r in found.collect()}
+
+
+def ranged(keyed: DataFrame, splitters: list[int]) -> DataFrame:
+    """``keyed`` with ``range``: ranges of the order, numbered in it, of no more than some ROWS rows each; ``o`` is what equal texts are ordered by."""
+    spark = keyed.sparkSession
+    hot = _hot(keyed)
+    # a hot text begins a range, and so does what follows it; a splitter is the first hash of its range
+    firsts = sorted({*splitters, *hot, *(h + 1 for h in hot if h < 2**63 - 1)})
+    bounds = spark.sparkContext.broadcast(firsts)  # at most shards * RANGES keys and two for each hot text
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = np.array(bounds.value, dtype=np.int64)
+        for batch in batches:
+            at = np.searchsorted(own, batch["h"].to_numpy(), "right").astype(np.int32)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(at)], names=[*batch.schema.names, "range"])
+
+    placed = keyed.mapInArrow(lean(place), StructType([*keyed.schema, StructField("range", IntegerType())]))
+    kinds = spark.createDataFrame([(bisect_right(firsts, h), salted) for h, salted in hot.items()], "range int, salted boolean")
+    placed = placed.join(F.broadcast(kinds), "range", "left")
+    placed = placed.withColumn("o", F.when(F.col("salted"), F.col("salt")).otherwise(F.col("o"))).withColumn("step", F.when(F.col("salted").isNull(), F.col("h")).otherwise(F.col("o"))).drop("salted", "salt")
+    placed = materialize(placed, "shard-ranges")
+    spread = placed.groupBy("range").agg(F.count("*").alias("n"), F.min("step").alias("low"), F.max("step").alias("high"))
+    parts, before = [], 0
+    for r in spread.orderBy("range").collect():  # one for each range between splitters
+        n = -(-2 * r["n"] // ROWS) if r["low"] < r["high"] else 1
+        parts.append((r["range"], before, n, float(r["low"]), float(r["high"] - r["low"]) or 1.0))
+        before += n
+    steps = spark.createDataFrame(parts, "range int, before int, parts int, low double, width double")
+    step = F.least(F.col("parts") - 1, F.floor((F.col("step").cast("double") - F.col("low")) / F.col("width") * F.col("parts"))).cast("int")
+    return placed.join(F.broadcast(steps), "range").select(*keyed.drop("salt").columns, (F.col("before") + step).cast("int").alias("range"))
 
 
 def shard(docs: DataFrame, shards: int = 16) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot and grown_shard of every row of ``docs``."""
-    spark = docs.sparkSession
-    text = F.coalesce(F.col("text"), F.lit(""))
-    keyed = docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"),
-        (F.octet_length(text) + 1).cast("long").alias("size"),
-        F.crc32(text.cast("binary")).cast("long").alias("text_crc32"),
-        F.xxhash64(text).alias("h"),
-    )
-    keyed = materialize(keyed, "shard-keys")  # about 30 bytes a row: texts are read once
+    keyed = keys(docs)
     total, rows = keyed.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count("*")).first()
-    splitters = _splitters(keyed, total, shards * RANGES)
-    bounds = spark.sparkContext.broadcast(splitters)  # fewer than shards * RANGES keys
-
-    def place(batches):
-        import numpy as np
-
-        hs = np.array([h for h, _ in bounds.value], dtype="int64")
-        for batch in batches:
-            h = batch["h"].to_numpy()
-            low, high = np.searchsorted(hs, h, "left"), np.searchsorted(hs, h, "right")
-            for i in np.flatnonzero(high > low):  # splitters inside a group of equal texts
-                d = batch["doc_id"].iat[i]
-                low[i] = low[i] if d != d or d is None else bisect_left(bounds.value, (h[i], int(d) + 1), low[i], high[i])
-            yield batch.assign(range=low.astype("int32"))
-
-    ranged = keyed.mapInPandas(lean(place), keyed.schema.simpleString()[7:-1].replace(":", " ").replace(",", ", ") + ", range int")
-    ranged = _subdivided(ranged)
-    order = Window.partitionBy("range").orderBy("h", "text_crc32", F.col("doc_id").asc_nulls_first(), "size")
-    ranged = ranged.withColumn("row", F.row_number().over(order).cast("long")).withColumn("upto", F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    ranged = materialize(ranged, "shard-ranges")
-    totals = sorted(tuple(r) for r in ranged.groupBy("range").agg(F.max("row"), F.max("upto")).collect())  # one for each range
+    order = Window.partitionBy("range").orderBy("h", "text_crc32", "o", "doc_id", "size")
+    own = ranged(keyed, _splitters(keyed, total, shards * RANGES))
+    own = own.withColumn("row", F.row_number().over(order).cast("long")).withColumn("upto", F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    own = materialize(own, "shard-ranges")
+    totals = sorted(tuple(r) for r in own.groupBy("range").agg(F.max("row"), F.max("upto")).collect())  # one for each range
     starts, n, b = {}, 0, 0
     for k, count, size in totals:
         starts[k] = (n, b)
         n, b = n + count, b + size
-    cuts = _cuts(ranged, totals, starts, rows, total, shards)
-    offsets = spark.createDataFrame([(k, *v) for k, v in starts.items()], "range int, row0 long, byte0 long")
-    placed = ranged.join(F.broadcast(offsets), "range").withColumn("at", F.col("row0") + F.col("row") - 1)
+    cuts = _cuts(own, totals, starts, rows, total, shards)
+    offsets = docs.sparkSession.createDataFrame([(k, *v) for k, v in starts.items()], "range int, row0 long, byte0 long")
+    placed = own.join(F.broadcast(offsets), "range").withColumn("at", F.col("row0") + F.col("row") - 1)
     number = F.lit(0)
     first = F.lit(0).cast("long")
     for k, cut in enumerate(cuts, 1):
@@ -88,21 +107,18 @@ def shard(docs: DataFrame, shards: int = 16) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), number.cast("int").alias("shard"), (F.col("at") - first).alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
 
 
-def _subdivided(ranged: DataFrame) -> DataFrame:
-    """Ranges in parts of about ROWS rows, numbered in order: equal steps of the hash or, in a range of one text, of doc_id."""
-    spark = ranged.sparkSession
-    spread = ranged.groupBy("range").agg(F.count("*").alias("n"), F.min("h").alias("h0"), F.max("h").alias("h1"), F.min("doc_id").alias("d0"), F.max("doc_id").alias("d1"))
-    parts, before = [], 0
-    for r in spread.orderBy("range").collect():  # one for each range between splitters
-        low, high = (r["h0"], r["h1"]) if r["h0"] < r["h1"] else (r["d0"] or 0, r["d1"] or 0)
-        n = -(-r["n"] // ROWS) if low < high else 1
-        parts.append((r["range"], before, n, r["h0"] < r["h1"], float(low), float(high - low) or 1.0))
-        before += n
-    steps = spark.createDataFrame(parts, "range int, before int, parts int, by_hash boolean, low double, width double")
-    value = F.when(F.col("by_hash"), F.col("h")).otherwise(F.col("doc_id")).cast("double")
-    step = F.least(F.col("parts") - 1, F.floor((value - F.col("low")) / F.col("width") * F.col("parts"))).cast("int")
-    place = F.col("before") + F.greatest(F.coalesce(step, F.lit(0)), F.lit(0))  # null ids come first
-    return ranged.join(F.broadcast(steps), "range").select(*(c for c in ranged.columns if c != "range"), place.cast("int").alias("range"))
+def keys(docs: DataFrame) -> DataFrame:
+    """doc_id, size, text_crc32, h, o (hash of doc_id) and salt of every row, stored: about 40 bytes a row, so that texts are read once and salts stay."""
+    text = F.coalesce(F.col("text"), F.lit(""))
+    keyed = docs.select(
+        F.col("doc_id").cast("long").alias("doc_id"),
+        (F.octet_length(text) + 1).cast("long").alias("size"),
+        F.crc32(text.cast("binary")).cast("long").alias("text_crc32"),
+        F.xxhash64(text).alias("h"),
+        F.xxhash64(F.col("doc_id").cast("long")).alias("o"),
+        F.xxhash64(F.monotonically_increasing_id()).alias("salt"),
+    )
+    return materialize(keyed, "shard-keys")
 
 
 def _cuts(ranged: DataFrame, totals: list, starts: dict, rows: int, total: int, shards: int) -> list[int]:

@@ -140,6 +140,29 @@ def test_shards(spark, monkeypatch, rows):
         assert max(len(g) for g in groups.values()) <= 2
 
 
+HOT_ROWS = {"distinct ids": lambda k: k, "clustered ids": lambda k: 10**15 + k // 40, "one id": lambda _: 5, "null ids": lambda _: None}
+
+
+@pytest.mark.parametrize("ids", HOT_ROWS)
+def test_hot_texts_are_spread_over_ranges(spark, monkeypatch, ids):
+    """A third of all rows has an empty text, some texts come by hundreds, and the rest are short ones."""
+    monkeypatch.setattr(sharding, "ROWS", 200)
+    rows = [(HOT_ROWS[ids](k), "" if k % 3 == 0 else f"text {k % 7}" if k % 5 == 0 else "x" * (k % 900) + str(k)) for k in range(6000)]
+    keyed = sharding.keys(docs_of(spark, rows))
+    counts = [r["count"] for r in sharding.ranged(keyed, sharding._splitters(keyed, 10**6, 20)).groupBy("range").count().collect()]
+    assert sum(counts) == 6000 and max(counts) <= 400
+    got = sharding.shard(docs_of(spark, rows), 16).collect()
+    sizes, slots, empty = Counter(), defaultdict(list), defaultdict(int)
+    for r in got:
+        sizes[r["shard"]] += r["size"]
+        slots[r["shard"]].append(r["slot"])
+        empty[r["shard"]] += r["size"] == 1
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values()) and len(got) == 6000
+    mean = sum(sizes.values()) / 16
+    assert max(sizes.values()) - min(sizes.values()) <= 2 * 905 + 2 * sharding.TOLERANCE * mean
+    assert sum(n > 0 for n in empty.values()) <= 2  # 2,000 bytes of all
+
+
 def test_long_documents_in_pieces(monkeypatch):
     """Windows of each run, by document and place, are the same in pieces."""
     rng = np.random.default_rng(3)
