@@ -16,7 +16,7 @@ Where cells are given, coherence is worked out in the search from sums over a ru
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, fields
 
 import numpy as np
 import pandas as pd
@@ -26,8 +26,8 @@ from pyspark.sql import functions as F
 from ..schemas import NUMERIC, SYMBOLIC
 from ..sources.storage import stored
 
-#: Runs that a task meets before it hands back what is open, and runs that are extended at once.
-BUDGET, BATCH = 30_000, 64
+#: Runs that a task meets before it hands back what is open, runs that are extended at once, and that are scored at once.
+BUDGET, BATCH, SCORED = 30_000, 64, 1024
 
 
 class Board:
@@ -64,7 +64,10 @@ class Board:
 
     def closed(self, windows: np.ndarray, lo: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """For sets of windows: items in common from offset ``lo`` on without a break, the last such offset, whether offset lo - 1 has some."""
-        held = ((windows[:, None, :] & self.others) == 0).all(axis=2)
+        outside = windows[:, :1] & self.others[:, 0]
+        for word in range(1, windows.shape[1]):
+            outside |= windows[:, word, None] & self.others[:, word]
+        held = outside == 0
         present = np.zeros((len(windows), int(self.offsets[-1]) + 2), dtype=bool)
         present[:, self.offsets[self.begins]] = np.logical_or.reduceat(held, self.begins, axis=1)
         last = lo + present[:, lo:].argmin(axis=1) - 1
@@ -136,7 +139,7 @@ def extended(board: Board, own: Open, lo: int) -> Open | None:
     # the earliest item that keeps an extension from being a run; -1 where nothing below can be one, len(item) where nothing does
     bar = np.where(own.alive, len(item), -1)
     both = own.windows[g] & board.bits[e]
-    rare = np.bitwise_count(both).sum(axis=1) < board.needed
+    rare = np.bitwise_count(both) @ np.ones(both.shape[1], dtype=np.int64) < board.needed
     bar[g[rare], e[rare]] = -1
     g, e, both = g[~rare], e[~rare], both[~rare]
     if not len(g):
@@ -165,6 +168,16 @@ def met(board: Board, first: int, core: int, windows: np.ndarray, budget: int) -
     return seen, todo
 
 
+def gathered(seen: list[Open]) -> Iterator[Open]:
+    """The same runs, about SCORED at a time."""
+    own: list[Open] = []
+    for k, x in enumerate(seen):
+        own.append(x)
+        if k == len(seen) - 1 or sum(len(o.core) for o in own) >= SCORED:
+            yield Open(*(np.concatenate([getattr(o, f.name) for o in own]) for f in fields(Open)))
+            own = []
+
+
 def boards(frequent: DataFrame, cube: DataFrame | None = None) -> DataFrame:
     """(city, needed, windows, tids, offsets, features, tokens, bits, numbers, codes): a row for each city.
 
@@ -207,8 +220,8 @@ def runs(frequent: DataFrame, cube: DataFrame | None = None, min_features: int =
     """
     own = stored(boards(frequent, cube), "boards")
     tasks = 8 * own.sparkSession.sparkContext.defaultParallelism
-    fields = "city string, open boolean, first int, core int, held binary, windows binary, cols binary, contexts binary, volume long, hvar3 double"
-    names = [c.split(" ")[0] for c in fields.split(", ")]
+    told = "city string, open boolean, first int, core int, held binary, windows binary, cols binary, contexts binary, volume long, hvar3 double"
+    names = [c.split(" ")[0] for c in told.split(", ")]
 
     def search(work: pd.DataFrame, given: pd.DataFrame) -> pd.DataFrame:
         out: list[pd.DataFrame] = []
@@ -218,8 +231,8 @@ def runs(frequent: DataFrame, cube: DataFrame | None = None, min_features: int =
         for row in work.itertuples():
             windows = np.frombuffer(row.windows, np.uint64) if row.windows is not None else board.bits[row.first]
             seen, todo = met(board, row.first, row.core, windows, left)
-            for x in seen:
-                left -= len(x.core)
+            left -= sum(len(x.core) for x in seen)
+            for x in gathered(seen):
                 cols, contexts = board.shapes(x.inside)
                 keep = (cols.sum(axis=1) >= min_features) & (contexts.sum(axis=1) >= min_offsets)
                 hvar3 = np.full(len(keep), np.nan)
@@ -242,7 +255,7 @@ def runs(frequent: DataFrame, cube: DataFrame | None = None, min_features: int =
     while True:
         dealt = work.withColumn("part", F.pmod(F.xxhash64("first", "core", "windows"), F.lit(parts)))
         places = own.select("*", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)).cast("array<bigint>")).alias("part"))
-        step = stored(dealt.groupBy("city", "part").cogroup(places.groupBy("city", "part")).applyInPandas(search, fields), "runs")
+        step = stored(dealt.groupBy("city", "part").cogroup(places.groupBy("city", "part")).applyInPandas(search, told), "runs")
         done = step.where(~F.col("open")).select("city", "held", "windows", "cols", "contexts", "volume", F.nanvl("hvar3", F.lit(None).cast("double")).alias("hvar3"))
         found = done if found is None else found.unionByName(done)
         work = step.where("open").select("city", "first", "core", "windows")

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import keys, tokens
-from ..operators import bins, forecast, mining, regimes, rollup, series, triclusters, windows, yearly_clusters
+from ..operators import bins, forecast, mining, regimes, rollup, sequences, series, triclusters, windows, yearly_clusters
 from ..schemas import NUMERIC, SYMBOLIC
 from ..sources import sinks, tables
 from ..sources.storage import stored
@@ -610,6 +610,44 @@ def triclusters_found(spark, sf_dir):
     return even(blocks.select("city", "id", "place", "pattern_string", "support", "type", "label", "hvar3", F.col("shape.volume").alias("volume"), F.col("city").isin(cut).alias("truncated")))
 
 
+#: Weeks of events as groups, a user's week as a sequence of days.
+WEEKS = """d as (select distinct cast(date_trunc('week', ts) as date) as city, user_id as seq, cast(ts as date) as day, event_type as item from events),
+o as (select city, seq, cast(day - city as integer) as pos, item from d),
+z as (select city, greatest(2, ceil(0.25 * count(distinct seq) - 1e-9)) as needed from o group by 1),
+m(city, seq, p, places, needed) as (
+  select city, seq, [[item]], list(pos order by pos), needed from o join z using (city) group by city, seq, item, needed qualify count(*) over (partition by city, item) >= needed
+  union all
+  select city, seq, p, list(pos order by pos), needed from (
+    select m.city, m.seq, list_append(m.p, [o.item]) as p, o.pos, m.needed from m join o on o.city = m.city and o.seq = m.seq and o.pos > m.places[1]
+    union all
+    select m.city, m.seq, list_append(m.p[:-2], list_append(m.p[-1], o.item)), o.pos, m.needed from m join o on o.city = m.city and o.seq = m.seq and list_contains(m.places, o.pos) and o.item > m.p[-1][-1])
+  group by city, seq, p, needed qualify count(*) over (partition by city, p) >= needed),
+found as (select city, p, count(*) as support from m group by all)"""
+_TOLD = "cast(city as varchar) as week, array_to_string(list_transform(p, lambda s: '(' || array_to_string(s, ' ') || ')'), ' ') as pattern_string, support"
+
+
+def weeks_of(spark, sf_dir) -> DataFrame:
+    rows = tables.table(spark, sf_dir, "events").select(F.date_trunc("week", "ts").cast("date").alias("city"), F.col("user_id").alias("seq"), F.col("ts").cast("date").alias("day"), "event_type")
+    days = rows.groupBy("city", "seq", "day").agg(F.array_sort(F.collect_set("event_type")).alias("items"))
+    return days.groupBy(F.col("city").cast("string").alias("city"), "seq").agg(F.transform(F.array_sort(F.collect_list(F.struct("day", "items"))), lambda s: s["items"]).alias("itemsets"))
+
+
+def sequential(name: str, miner: str, sql: str) -> None:
+    def run(spark, sf_dir):
+        found = sequences.patterns(weeks_of(spark, sf_dir), 2, miner, min_share=0.25)
+        return found.select(F.col("city").alias("week"), "pattern_string", F.col("support").cast("long").alias("support"))
+
+    run.__name__ = name
+    query("with recursive " + WEEKS + sql)(run)
+
+
+sequential("sequences_prefixspan", "prefixspan", f" select {_TOLD} from found")
+sequential("sequences_spam", "spam", f" select {_TOLD} from found")
+sequential("sequences_clospan", "clospan", f""", spots as (select city, p, support, unnest(range(1, len(p) + 1)) as i from found), cut as (select city, p, support, i, unnest(p[i]) as item from spots),
+less as (select distinct city, support, list_filter(list_transform(p, lambda s, k: case when k = i then list_filter(s, lambda v: v <> item) else s end), lambda s: len(s) > 0) as p from cut)
+select {_TOLD} from found where not exists (select 1 from less where less.city = found.city and less.support = found.support and less.p = found.p)""")
+
+
 @query()
 def kmeans_regimes(spark, sf_dir):
     found = yearly_clusters.clusters(monthly_of(spark, sf_dir))
