@@ -8,6 +8,8 @@ values differ from those of an exact likelihood; interfaces, candidates, folds a
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -99,10 +101,33 @@ class SeasonalArma:
                 if abs(new[t]) > 1e9:
                     raise ArithmeticError("shocks don't settle")
             shock = new
-        self.e, self.shock, self.y, self.x = e, shock, y, x
+        self.e, self.shock, self.errors = e, shock, y - x @ self.beta
         self.sigma = float(np.std(shock[long + reach :]))
         return self
 
+    def differences(self) -> dict[int, float]:
+        """Lags of the polynomial that takes the differences."""
+        lags = {0: 1.0}
+        for period in [self.period] * self.sd + [1] * self.d:
+            new = dict(lags)
+            for k, v in lags.items():
+                new[k + period] = new.get(k + period, 0.0) - v
+            lags = new
+        return lags
+
+    def state(self) -> dict[str, list[float] | float]:
+        """All that a forecast needs: coefficients and the last values that it looks back to."""
+        reach = max([*self.ar, *self.ma, *self.differences(), 1])
+        tails = {"e": self.e, "shock": self.shock, "errors": self.errors}
+        return {"beta": self.beta.tolist(), "phi": self.phi.tolist(), "theta": self.theta.tolist(), "sigma": self.sigma} | {k: v[-reach:].tolist() for k, v in tails.items()}
+
+    def restored(self, state: dict) -> SeasonalArma:
+        """A model of a state, which forecasts as the one that it was taken of."""
+        for name in ("beta", "phi", "theta", "e", "shock", "errors"):
+            setattr(self, name, np.asarray(state[name], dtype=float))
+        self.sigma = float(state["sigma"])
+        return self
+
     def forecast(self, ahead: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Means and standard errors for the rows of exogenous values ``ahead``."""
         h = len(ahead)
@@ -113,14 +138,8 @@ class SeasonalArma:
             at = len(self.e) + t
             e[at] = sum(f * e[at - k] for f, k in zip(self.phi, self.ar, strict=True)) + sum(f * shock[at - k] for f, k in zip(self.theta, self.ma, strict=True))
             weight[t] = pulse[t] + sum(f * pulse[t - k] for f, k in zip(self.theta, self.ma, strict=True) if k <= t) + sum(f * weight[t - k] for f, k in zip(self.phi, self.ar, strict=True) if k <= t)
-        errors = self.y - self.x @ self.beta
+        errors, lags = self.errors, self.differences()  # the differences undone, for levels as for pulses
         out = np.r_[errors, np.zeros(h)]
-        lags = {0: 1.0}  # the differences undone: their polynomial's lags, for levels as for pulses
-        for period in [self.period] * self.sd + [1] * self.d:
-            new = dict(lags)
-            for k, v in lags.items():
-                new[k + period] = new.get(k + period, 0.0) - v
-            lags = new
         psi = weight.copy()
         for t in range(h):
             at = len(errors) + t
@@ -129,11 +148,11 @@ class SeasonalArma:
         return out[len(errors) :] + ahead @ self.beta, self.sigma * np.sqrt(np.cumsum(psi**2))
 
 
-def _matrix(days: np.ndarray, pairs: int = 3) -> np.ndarray:
-    """Exogenous values of days counted from the series' first (an array of dates)."""
+def _matrix(days: np.ndarray, pairs: int = 3, origin: pd.Timestamp | None = None) -> np.ndarray:
+    """Exogenous values of days counted from the series' first (of an array of dates), or from ``origin``."""
     date = pd.DatetimeIndex(days)
     angle = 2 * np.pi * date.dayofyear.to_numpy() / YEAR_DAYS
-    idx = (date - date[0]).days.to_numpy() / YEAR_DAYS
+    idx = (date - (date[0] if origin is None else pd.Timestamp(origin))).days.to_numpy() / YEAR_DAYS
     return np.column_stack([f(k * angle) for k in range(1, pairs + 1) for f in (np.sin, np.cos)] + [idx])
 
 
@@ -142,12 +161,13 @@ def _spread(df: DataFrame, *keys: str) -> DataFrame:
     return df.repartition(8 * df.sparkSession.sparkContext.defaultParallelism, *keys)
 
 
-def cross_validated(df: DataFrame, only: list[int] | None = None) -> DataFrame:
-    """(city, candidate, mae): mean over the folds; a candidate that fails in a fold has none."""
+def cross_validated(df: DataFrame, only: list[int] | None = None, least: int = 0) -> DataFrame:
+    """(city, candidate, mae) of cities with at least ``least`` days: mean over the folds; a candidate that fails in a fold has none."""
     known = [c for c in candidates() if only is None or c[0] in only]
     models = {k: (o, s) for k, o, s in known}
     tries = F.explode(F.array(*(F.lit(k) for k in models)))
-    rows = interpolated(regular(df), ["tavg"]).select("city", "date", "tavg").withColumn("candidate", tries)
+    rows = interpolated(regular(df), ["tavg"]).select("city", "date", "tavg", F.count("*").over(by_city()).alias("n")).where(F.col("n") >= least)
+    rows = rows.drop("n").withColumn("candidate", tries)
 
     def score(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("date")
@@ -164,23 +184,45 @@ def cross_validated(df: DataFrame, only: list[int] | None = None) -> DataFrame:
     return _spread(rows, "city", "candidate").groupBy("city", "candidate").applyInPandas(score, "city string, candidate int, mae double")
 
 
-def sarimax_forecast(df: DataFrame, horizon: int = 7, only: list[int] | None = None) -> DataFrame:
-    """(city, date, tavg, lower_95, upper_95, candidate) from each city's best candidate; cities with fewer than LEAST_DAYS days have none."""
-    horizon = min(max(horizon, 1), 30)
-    scores = cross_validated(df, only).where(F.col("mae").isNotNull())
-    best = scores.groupBy("city").agg(F.min_by("candidate", F.struct("mae", "candidate")).alias("candidate"))
+#: A fitted model of a city as a row.
+STATE = "city string, candidate int, cv_mae double, train_start date, train_end date, beta array<double>, phi array<double>, theta array<double>, sigma double, e array<double>, shock array<double>, errors array<double>"
+
+
+def train_sarimax(df: DataFrame, only: list[int] | None = None) -> DataFrame:
+    """The state (``STATE``) of each city's best candidate, fitted to its whole series; cities with fewer than LEAST_DAYS days have none."""
+    scores = cross_validated(df, only, LEAST_DAYS).where(F.col("mae").isNotNull())
+    best = scores.groupBy("city").agg(F.min_by("candidate", F.struct("mae", "candidate")).alias("candidate"), F.min("mae").alias("cv_mae"))
     series = interpolated(regular(df), ["tavg"]).select("city", "date", "tavg", F.count("*").over(by_city()).alias("n")).where(F.col("n") >= LEAST_DAYS)
     models = {k: (o, s) for k, o, s in candidates()}
 
-    def ahead(frame: pd.DataFrame) -> pd.DataFrame:
+    def fit(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("date")
-        y, dates = frame["tavg"].to_numpy(float), pd.DatetimeIndex(frame["date"])
-        future = pd.date_range(dates[-1] + pd.Timedelta(days=1), periods=horizon)
-        x = _matrix(dates.append(future))
-        mean, error = SeasonalArma(*models[int(frame["candidate"].iat[0])]).fit(y, x[: len(y)]).forecast(x[len(y) :])
-        return pd.DataFrame({"city": frame["city"].iat[0], "date": future.date, "tavg": mean, "lower_95": mean - 1.959964 * error, "upper_95": mean + 1.959964 * error, "candidate": frame["candidate"].iat[0]})
+        y, dates, k = frame["tavg"].to_numpy(float), frame["date"].to_numpy(), int(frame["candidate"].iat[0])
+        state = SeasonalArma(*models[k]).fit(y, _matrix(dates)).state()
+        return pd.DataFrame([{"city": frame["city"].iat[0], "candidate": k, "cv_mae": frame["cv_mae"].iat[0], "train_start": dates[0], "train_end": dates[-1], **state}])
+
+    return series.join(best, "city").groupBy("city").applyInPandas(fit, STATE)
+
+
+def sarimax_ahead(states: DataFrame, horizon: int = 7) -> DataFrame:
+    """(city, date, tavg, lower_95, upper_95, candidate) of the days after each state's last one; nothing is fitted."""
+    horizon = min(max(horizon, 1), 30)
+    models = {k: (o, s) for k, o, s in candidates()}
 
-    return series.join(best, "city").groupBy("city").applyInPandas(ahead, "city string, date date, tavg double, lower_95 double, upper_95 double, candidate int")
+    def ahead(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for row in batch.to_dict("records"):
+                future = pd.date_range(pd.Timestamp(row["train_end"]) + pd.Timedelta(days=1), periods=horizon)
+                x = _matrix(future, origin=pd.Timestamp(row["train_start"]))
+                mean, error = SeasonalArma(*models[row["candidate"]]).restored(row).forecast(x)
+                yield pd.DataFrame({"city": row["city"], "date": future.date, "tavg": mean, "lower_95": mean - 1.959964 * error, "upper_95": mean + 1.959964 * error, "candidate": row["candidate"]})
+
+    return states.mapInPandas(ahead, "city string, date date, tavg double, lower_95 double, upper_95 double, candidate int")
+
+
+def sarimax_forecast(df: DataFrame, horizon: int = 7, only: list[int] | None = None) -> DataFrame:
+    """The forecast of each city's best candidate, trained on the spot."""
+    return sarimax_ahead(train_sarimax(df, only), horizon)
 
 
 def forest_features(df: DataFrame) -> DataFrame:
@@ -274,6 +316,27 @@ def train_forests(df: DataFrame, trees: int = 600, depth: int | None = None, lea
     return _spread(rows.withColumn("part", parts), "city", "part").groupBy("city", "part").applyInPandas(grow, "city string, tree int, feature array<int>, threshold array<double>, child array<int>, mean array<double>")
 
 
+def forest_scores(df: DataFrame, forests: DataFrame) -> DataFrame:
+    """(city, part, mae, rmse, n) of a forest on the validation and test parts of its city, each some 365 days."""
+    rows = chronological(forest_features(df).join(df.select("city", "date", "tavg"), ["city", "date"])).where(F.col("part") != "train")
+    rows = rows.select("city", "part", "tavg", *FOREST_FEATURES)
+
+    def guess(days: pd.DataFrame, trees: pd.DataFrame) -> pd.DataFrame:
+        if days.empty or trees.empty:
+            return pd.DataFrame(columns=["city", "part", "tavg", "guess"])
+        x, total = days[FOREST_FEATURES].to_numpy(float), np.zeros(len(days))
+        for tree in trees.itertuples():
+            feature, threshold, child, mean = (np.asarray(v) for v in (tree.feature, tree.threshold, tree.child, tree.mean))
+            node = np.zeros(len(x), dtype=int)
+            while (inner := feature[node] >= 0).any():
+                node = np.where(inner, child[node] + (x[np.arange(len(x)), feature[node]] > threshold[node]), node)
+            total += mean[node]
+        return days[["city", "part", "tavg"]].assign(guess=total / len(trees))
+
+    guessed = rows.groupBy("city").cogroup(forests.groupBy("city")).applyInPandas(guess, "city string, part string, tavg double, guess double")
+    return errors(guessed, "tavg", "guess", ["city", "part"])
+
+
 def forest_forecast(df: DataFrame, forests: DataFrame, horizon: int = 7) -> DataFrame:
     """(city, date, tavg) for the days after the last; each value feeds the lags of the next. Cities without a forest or with fewer than 15 rows have none."""
     place = F.row_number().over(Window.partitionBy("city").orderBy(F.desc("date")))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.keys import month_name
 from ..functions.tokens import feature_of, symbol_of, tokens_in
 from .triclusters import FEATURES
 
@@ -88,6 +89,14 @@ def seasons_of(blocks: DataFrame, meta: DataFrame) -> DataFrame:
     return flat.groupBy("city", "id").agg(F.array_sort(F.collect_set(F.month(day))).alias("months"), F.array_sort(F.collect_set(F.year(day))).alias("years"))
 
 
+def cards(blocks: DataFrame, meta: DataFrame) -> DataFrame:
+    """``blocks`` with months, months_names and years of their windows, and signature_top5 (feature, direction, count)."""
+    top = F.transform(F.array_sort(F.collect_list(F.struct("rank", "feature", "direction", "count"))), lambda s: F.struct(s["feature"].alias("feature"), s["direction"].alias("direction"), s["count"].alias("count")))
+    signatures = signature(parsed(blocks)).groupBy("city", "id").agg(top.alias("signature_top5"))
+    out = blocks.join(seasons_of(blocks, meta), ["city", "id"], "left").join(signatures, ["city", "id"], "left")
+    return out.withColumn("months_names", F.transform("months", month_name))
+
+
 def ranked(blocks: DataFrame) -> DataFrame:
     """Places by coherence (the dashboard's order), by support and by volume."""
     w = Window.partitionBy("city")

@@ -72,6 +72,11 @@ def interpolated(df: DataFrame, columns: list[str] = VALUES) -> DataFrame:
     return out.withColumns({c: value(c) for c in columns}).drop(*around)
 
 
+def without_gaps(df: DataFrame, columns: list[str] = VALUES) -> DataFrame:
+    """``df``; a query over it fails where a value is still missing, as in a city that has none at all."""
+    return df.withColumns({c: F.coalesce(F.col(c), F.raise_error(F.concat(F.lit(f"no values to fill {c} of "), "city")).cast("double")) for c in columns})
+
+
 def rolling(name: str, value: Column, frame, rows: int = 7) -> dict[str, Column]:
     """Mean and sample deviation over the frame, null unless it is full."""
     full = F.count(value).over(frame) == rows
@@ -134,7 +139,7 @@ def enriched_features(df: DataFrame, order: str | None = None) -> DataFrame:
     rows = coerced(df)
     if order:
         rows = keep_last(rows, order)
-    return symbolic(filled_rolling(features(rows)))
+    return symbolic(filled_rolling(without_gaps(features(rows))))
 
 
 def shifted_stats(df: DataFrame) -> DataFrame:

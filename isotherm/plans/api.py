@@ -14,7 +14,8 @@ from ..operators import forecast, rollup, series
 from ..schemas import KEYS
 from ..sources import sinks, tables
 from ..sources.sinks import write_upsert
-from ..sources.storage import stored
+from ..sources.snapshots import Snapshots
+from ..sources.storage import scratch, stored
 from .insights import Config, payload
 
 #: What a run's log rows hold besides its id, state and time.
@@ -46,8 +47,8 @@ class Store:
     def upsert(self, name: str, rows: DataFrame) -> int:
         return write_upsert(self.spark, self.path(name), rows, KEYS[name], "city")
 
-    def add_city(self, name: str, country: str | None, answers: DataFrame, places: DataFrame) -> str:
-        """Ingest a daily archive's answer (body) of a place; returns its key."""
+    def add_city(self, name: str, country: str | None, answers: DataFrame, places: DataFrame, train: bool = True) -> str:
+        """Ingest a daily archive's answer (body) of a place and train its model; returns its key."""
         found = tables.geocode(places, name, clean_text(country))
         if found is None:
             raise ValueError(f"no such place: {name}")
@@ -56,33 +57,59 @@ class Store:
         self.upsert("weather_daily", rows)
         extent = rows.agg(F.lit(key).alias("city"), F.lit(found["latitude"]).cast("double").alias("latitude"), F.lit(found["longitude"]).cast("double").alias("longitude"), F.lit("archive").alias("source"), F.min("date").alias("start_date"), F.max("date").alias("end_date"))
         self.upsert("metadata", extent)
+        if train:
+            self.train([key])
         return key
 
+    def models(self, kind: str = "sarimax") -> Snapshots:
+        """The versions of the fitted states of all cities."""
+        return Snapshots(self.spark, f"{self.path('models')}/{kind}")
+
+    def train(self, cities: list[str] | None = None, only: list[int] | None = None) -> int:
+        """Fits the models of ``cities`` (all, if None) and publishes their states in place of older ones; other cities' stay. Returns the version.
+
+        A city whose series is too short has no model, and loses one that it had.
+        """
+        weather = self.read("weather_daily")
+        own = weather if cities is None else weather.where(F.col("city").isin(cities))
+        with scratch(self.spark):
+            fitted = stored(forecast.train_sarimax(own, only), "states").withColumn("trained_at", F.current_timestamp())
+            trained = own.select("city").distinct()
+            return self.models().commit(lambda old: fitted if old is None else old.join(trained, "city", "left_anti").unionByName(fitted))
+
+    def train_forests(self, trees: int = 600) -> DataFrame:
+        """Grows all cities' forests and publishes them; returns (city, part, mae, rmse, n) on the parts held out."""
+        days = series.interpolated(series.regular(self.read("weather_daily")), ["tavg"]).select("city", "date", "tavg")
+        store = self.models("forest")
+        store.commit(lambda _: forecast.train_forests(days, trees))
+        return forecast.forest_scores(days, store.read())
+
     def cities(self) -> DataFrame:
         return tables.cities(self.read("metadata"))
 
     def history(self, city: str, start: str | None = None, end: str | None = None) -> DataFrame:
         return tables.history(self.read("weather_daily"), city, clean_text(start), clean_text(end))
 
-    def analyse(self, config: Config | None = None, endpoint: str = "analyse") -> DataFrame:
-        """Daily and monthly tables are upserted for all cities; the payloads come back as (city, payload).
+    def analyse(self, config: Config | None = Config(), endpoint: str = "analyse") -> DataFrame:
+        """Daily and monthly tables are upserted for all cities; the payloads, with patterns unless ``config`` is None, come back as (city, payload).
 
         The run's start and end are logged, and each city's payload is kept with its state; where the run fails the state says so,
         and the last good payload stays.
         """
         run, weather = self.start_run(endpoint, {"config": repr(config)}), self.read("weather_daily")
         cities = weather.select("city").distinct()
-        try:
-            daily = series.daily_features(weather)
-            rows = {"daily_rows": self.upsert("analysis_daily", daily), "monthly_rows": self.upsert("analysis_monthly", rollup.monthly(daily))}
-            out = stored(payload(weather, config), "payloads")
-        except Exception as e:
-            self._append("insights_cache", cities.select("city", F.current_timestamp().alias("at"), F.lit("error").alias("status"), F.lit(None).cast("string").alias("payload"), F.lit(run).alias("run_id")))
-            self.end_run(run, "error", error=str(e)[:2000])
-            raise
-        self._append("insights_cache", out.select("city", F.current_timestamp().alias("at"), F.lit("ok").alias("status"), "payload", F.lit(run).alias("run_id")))
+        with scratch(self.spark):
+            try:
+                daily = series.daily_features(weather)
+                rows = {"daily_rows": self.upsert("analysis_daily", daily), "monthly_rows": self.upsert("analysis_monthly", rollup.monthly(daily))}
+                out = stored(payload(weather, config), "payloads")
+            except Exception as e:
+                self._append("insights_cache", cities.select("city", F.current_timestamp().alias("at"), F.lit("error").alias("status"), F.lit(None).cast("string").alias("payload"), F.lit(run).alias("run_id")))
+                self.end_run(run, "error", error=str(e)[:2000])
+                raise
+            self._append("insights_cache", out.select("city", F.current_timestamp().alias("at"), F.lit("ok").alias("status"), "payload", F.lit(run).alias("run_id")))
         self.end_run(run, "ok", rows)
-        return out
+        return self.read("insights_cache").where(F.col("run_id") == run).select("city", "payload")
 
     def insights(self, city: str) -> DataFrame:
         """The city's state and last good payload, or no row."""
@@ -110,5 +137,11 @@ class Store:
         rest = log.groupBy("run_id").agg(*(F.max(c).alias(c) for c in RUN_COLUMNS))
         return tables.recent_runs(sinks.run_states(log).join(rest, "run_id"), limit)
 
-    def forecast(self, horizon: int = 7) -> DataFrame:
-        return forecast.sarimax_forecast(self.read("weather_daily"), clamped(horizon, 1, 30))
+    def forecast(self, horizon: int = 7, city: str | None = None) -> DataFrame:
+        """The days after training of all cities or of one, from their stored states; LookupError where nothing has been trained."""
+        states = self.models().read()
+        if states is not None and city is not None:
+            states = states.where(F.col("city") == city)
+        if states is None or (city is not None and states.isEmpty()):
+            raise LookupError(f"no model of {city or 'any city'}: train first")
+        return forecast.sarimax_ahead(states, clamped(horizon, 1, 30))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import asdict, dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -95,6 +95,21 @@ def payload(weather: DataFrame, config: Config | None = None) -> DataFrame:
     for name, by in (("top_hot_days", F.desc("tavg")), ("top_cold_days", F.asc("tavg")), ("top_anomaly_days", F.desc(F.abs("anomaly_z")))):
         out = out.join(listed(rollup.top_days(daily, by), name, "rank", "date", "tavg", "anomaly_z"), "city")
     if config:
-        blocks, _, cut = find_triclusters(weather, config)
-        out = out.join(regimes.summary(blocks), "city", "left").join(listed(blocks.where("place <= 12"), "clusters", "place", "label", "support", "hvar3", "type"), "city", "left").withColumn("truncated", F.col("city").isin(cut))
+        blocks, meta, cut = find_triclusters(weather, config)
+        out = with_patterns(out, stored(blocks, "triclusters"), meta, config, cut)
     return as_json(out, ["city"])
+
+
+#: What the first clusters of the dashboard's order are told by.
+CARD = ["label", "years", "months", "months_names", "signature_top5", "support", "hvar3", "type"]
+
+
+def with_patterns(out: DataFrame, blocks: DataFrame, meta: DataFrame, config: Config, cut: list[str]) -> DataFrame:
+    """``out`` with method, engine, config, the summary and the cards of the first twelve triclusters; all of them are a table of their own."""
+    first = regimes.ranked(blocks).where(F.col("by_coherence") <= 12)
+    told = regimes.cards(first, meta).groupBy("city").agg(F.array_sort(F.collect_list(F.struct("by_coherence", *CARD))).alias("c"))
+    told = told.select("city", F.transform("c", lambda s: F.struct(*(s[k].alias(k) for k in CARD))).alias("clusters"))
+    given = F.struct(*(F.lit(v).alias(k) for k, v in asdict(config).items()))
+    engine = F.struct(F.lit("closed runs" if config.contiguous else "closed sets").alias("search"), F.col("city").isin(cut).alias("truncated"))
+    out = out.join(regimes.summary(blocks), "city", "left").join(told, "city", "left")
+    return out.withColumns({"method": F.lit("triclusters of closed patterns"), "engine": engine, "config": given, "truncated": F.col("city").isin(cut)})

@@ -367,6 +367,9 @@ select c.city, coalesce(length, 0) as length, cast(a as varchar) as start, cast(
 
 streak("warm_streak", lambda: F.col("anomaly_z") >= 1, "anomaly_z >= 1")
 streak("cold_streak", lambda: F.col("anomaly_z") <= -1, "anomaly_z <= -1")
+# the payload's own limits
+streak("warm_streak_payload", lambda: F.col("anomaly_z") >= 2, "anomaly_z >= 2")
+streak("cold_streak_payload", lambda: F.col("anomaly_z") <= -2, "anomaly_z <= -2")
 
 
 @query(TO_DAILY + """select d.city, cast(min(d.date) as varchar) as data_start, cast(max(d.date) as varchar) as data_end, date_diff('day', min(d.date), max(d.date)) + 1 as expected_days, count(*) as actual_days,
@@ -536,6 +539,28 @@ def block_summary(spark, sf_dir):
     return out.select("city", "n_triclusters", "n_supported_windows", *(F.array_join(c, ",").alias(c) for c in ("top_coherent_ids", "most_supported_ids", "largest_volume_ids")))
 
 
+_MONTHS = ", ".join(f"'{m}'" for m in keys.MONTHS)
+
+
+@query(
+    TO_ITEMS
+    + ",\n"
+    + NAMES
+    + f""", mid as (select city, window_id, min(date) + cast(date_diff('day', min(date), max(date)) // 2 as integer) as day from hops group by 1, 2),
+top as (select city, window_id, feature, symbol, n from (select city, window_id, feature, symbol, count(*) as n from items join names using (feature_idx) group by all) qualify row_number() over (partition by city, window_id order by n desc, feature, symbol) <= 5),
+sig as (select city, window_id, string_agg(feature || ':' || symbol || ':' || n, ',' order by n desc, feature, symbol) as signature from top group by 1, 2)
+select city, window_id as id, cast(month(day) as varchar) as months, [{_MONTHS}][month(day)] as months_names, cast(year(day) as varchar) as years, signature from mid join sig using (city, window_id)"""
+)
+def window_cards(spark, sf_dir):
+    """The cards of single windows, each with all of its items as its pattern."""
+    rows, _ = cells(weather(spark, sf_dir), LIVE)
+    w = F.col("window_id")
+    blocks = mining.sequences(items_of(spark, sf_dir)).select("city", w.alias("id"), F.array(w).alias("rows"), tokens.pattern_string(F.col("itemsets")).alias("pattern_string"))
+    signature = F.array_join(F.transform("signature_top5", lambda s: F.concat_ws(":", s["feature"], s["direction"], s["count"].cast("string"))), ",")
+    told = regimes.cards(stored(blocks, "blocks"), windows.window_midpoints(rows))
+    return told.select("city", "id", *(F.array_join(c, ",").alias(c) for c in ("months", "months_names", "years")), signature.alias("signature"))
+
+
 SHAPES = """shapes as (select city, cast(window_id // 3 as integer) as id, list_sort(list(distinct w)) as rows, [0, 1] as contexts, list_sort(list(distinct cast(f as integer))) as cols from (select city, window_id, unnest([window_id, window_id + 1, window_id + 2]) as w, unnest([window_id % 4, 5, 6]) as f from hops where context_idx = 0) group by 1, 2)"""
 
 

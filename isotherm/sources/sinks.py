@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .storage import stored
+from ..functions.keys import file_safe
+from .storage import scratch, stored
 
 
 def latest(batches: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
@@ -14,25 +17,35 @@ def latest(batches: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     return batches.withColumn("__rank", rank).where("__rank = 1").drop("__rank")
 
 
-def upsert(existing: DataFrame, batch: DataFrame, keys: list[str]) -> DataFrame:
-    """Existing rows, replaced and added to by a batch whose last row of a key counts."""
-    numbered = batch.withColumns({"__batch": F.lit(1), "__seq": F.monotonically_increasing_id()})
-    old = existing.withColumns({"__batch": F.lit(0), "__seq": F.lit(0).cast("long")})
-    return latest(old.unionByName(numbered), keys, ["__batch", "__seq"]).select(existing.columns)
-
-
-def write_upsert(spark: SparkSession, path: str, batch: DataFrame, keys: list[str], partition: str) -> int:
-    """Upsert into Parquet files partitioned by ``partition``: only the partitions that the batch touches are rewritten. Returns the rows submitted."""
-    submitted = batch.count()
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-    if hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop):
-        old = spark.read.parquet(path)
-        touched = batch.select(partition).distinct()
-        merged = upsert(old.join(touched, partition, "left_semi").select(batch.columns), batch, keys)
-        merged = stored(merged, "upsert")  # the files read are those replaced
-    else:
-        merged = upsert(batch.limit(0), batch, keys)
-    merged.repartition(partition).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(partition).parquet(path)
+def upsert(existing: DataFrame, batch: DataFrame, keys: list[str], order: list[str] | None = None) -> DataFrame:
+    """Existing rows, replaced and added to by a batch.
+
+    Of a batch's rows of one key that counts which is last by ``order``, columns of the batch that need not be stored; without it
+    any of them may, so that a batch should have each key once then.
+    """
+    order = order or []
+    last = batch.withColumns({"__batch": F.lit(1), **{f"__o{k}": F.col(c) for k, c in enumerate(order)}})
+    old = existing.withColumns({"__batch": F.lit(0), **{f"__o{k}": F.lit(None).cast(batch.schema[c].dataType) for k, c in enumerate(order)}})
+    names = [*existing.columns, "__batch", *(f"__o{k}" for k in range(len(order)))]
+    return latest(old.select(names).unionByName(last.select(names)), keys, names[len(existing.columns) :]).select(existing.columns)
+
+
+def write_upsert(spark: SparkSession, path: str, batch: DataFrame, keys: list[str], partition: str, order: list[str] | None = None) -> int:
+    """Upsert into Parquet files partitioned by ``partition``: only the partitions that the batch touches are rewritten. Returns the rows submitted.
+
+    The batch is worked out once. Columns of ``order`` tell which of a key's rows is last and aren't written.
+    """
+    with scratch(spark):
+        batch = stored(batch, "batch")
+        submitted, columns = batch.count(), [c for c in batch.columns if c not in (order or [])]
+        hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+        if hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop):
+            touched = batch.select(partition).distinct()
+            merged = upsert(spark.read.parquet(path).join(touched, partition, "left_semi").select(columns), batch, keys, order)
+            merged = stored(merged, "upsert")  # the files read are those replaced
+        else:
+            merged = upsert(batch.select(columns).limit(0), batch, keys, order)
+        merged.repartition(partition).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(partition).parquet(path)
     return submitted
 
 
@@ -60,5 +73,21 @@ def write_json(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 
 
-def write_csv(df: DataFrame, path: str) -> None:
+def payload_file(city: Column, run: str, at: str) -> Column:
+    """A payload's name by city, run and time (yyyyMMddTHHmmssZ): letters and digits that are no such become underscores."""
+    return F.concat(file_safe(city), F.lit(f"__{run}__{at}.json"))
+
+
+def write_payloads(payloads: DataFrame, base: str, run: str, at: str) -> DataFrame:
+    """Writes each (city, payload) below ``base`` in a folder of its own name; returns (city, path)."""
+    named = payloads.withColumn("file", payload_file(F.col("city"), run, at))
+    named.select("file", F.col("payload").alias("value")).write.mode("append").partitionBy("file").text(base)
+    return named.select("city", F.concat(F.lit(f"{base.rstrip('/')}/file="), "file").alias("path"))
+
+
+def write_csv(df: DataFrame, path: str, meta: dict | None = None) -> None:
+    """CSV with a header; with ``meta`` also one JSON record beside it, at ``path`` with the ending .meta.json."""
     df.write.mode("overwrite").csv(path, header=True)
+    if meta is not None:
+        record = df.sparkSession.createDataFrame([(json.dumps(meta, default=str),)], "value string")
+        record.coalesce(1).write.mode("overwrite").text(path.rstrip("/").removesuffix(".csv") + ".meta.json")

@@ -2,25 +2,41 @@
 
 from __future__ import annotations
 
+import threading
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share, as ``spark.checkpoint.dir`` names it; one in the warehouse where that is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_shared"
-    return base.rstrip("/")
+    """The folder that all executors share, as ``spark.checkpoint.dir`` names it.
+
+    Where that is unset it is one in the warehouse; a cluster's session whose warehouse is a local folder is refused.
+    """
+    if base := spark.conf.get("spark.checkpoint.dir", None):
+        return base.rstrip("/")
+    base = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_shared"
+    if not spark.conf.get("spark.master", "local").split("[")[0] == "local" and spark._jvm.org.apache.hadoop.fs.Path(base).getFileSystem(spark._jsc.hadoopConfiguration()).getScheme() == "file":
+        raise RuntimeError("set spark.checkpoint.dir: the warehouse is a folder of one machine")
+    return base
+
+
+class _Steps(threading.local):
+    """What a thread has stored and not yet removed: names of catalog tables, or '', and paths."""
+
+    def __init__(self):
+        self.known: list[tuple[str, str]] = []
 
 
-#: What has been stored by this driver and not yet removed: names of catalog tables, or '', and paths.
-_STEPS: list[tuple[str, str]] = []
+_STEPS = _Steps()
 
 
 def noted(name: str, path: str) -> None:
     """A step of some other kind (a catalog table ``name``, or '' for files) that ``removed`` takes along."""
-    _STEPS.append((name, path))
+    _STEPS.known.append((name, path))
 
 
 def stored(df: DataFrame, name: str = "step") -> DataFrame:
@@ -47,16 +63,26 @@ def numbered(df: DataFrame, by: list[str], order: list[str], name: str) -> DataF
 
 
 def removed(spark: SparkSession, since: int = 0) -> int:
-    """Steps stored after the first ``since`` go; to be called once what was made of them has been written. Returns how many are left."""
-    for name, path in _STEPS[since:]:
+    """This thread's steps after the first ``since`` go; to be called once what was made of them has been written. Returns how many are left."""
+    for name, path in _STEPS.known[since:]:
         if name:
             spark.sql(f"drop table if exists {name}")
         at = spark._jvm.org.apache.hadoop.fs.Path(path)
         at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
-    del _STEPS[since:]
-    return len(_STEPS)
+    del _STEPS.known[since:]
+    return len(_STEPS.known)
 
 
 def steps() -> int:
-    """How many steps are stored."""
-    return len(_STEPS)
+    """How many steps this thread has stored."""
+    return len(_STEPS.known)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """What is stored inside goes at the end; what was made of it has to be written by then."""
+    since = steps()
+    try:
+        yield
+    finally:
+        removed(spark, since)

@@ -6,7 +6,7 @@ from isotherm.functions import scalars, tokens
 from isotherm.operators import mining
 from isotherm.plans.api import Store, clamped, clean_text
 from isotherm.plans.insights import Config
-from isotherm.sources import sinks, tables
+from isotherm.sources import sinks, storage, tables
 
 
 def answer(spark, n=30):
@@ -17,7 +17,7 @@ def answer(spark, n=30):
 
 def test_store_from_ingest_to_insights(spark, tmp_path):
     places = spark.createDataFrame([("New York", "US", 40.7, -74.0)], "name string, country_code string, latitude double, longitude double")
-    store = Store(spark, str(tmp_path))
+    store, before = Store(spark, str(tmp_path)), storage.steps()
     key = store.add_city("New York", "US", answer(spark), places)
     assert key == "new_york_us" and [r["city"] for r in store.cities().collect()] == [key]
     store.add_city(" new york ", "US", answer(spark), places)
@@ -32,7 +32,17 @@ def test_store_from_ingest_to_insights(spark, tmp_path):
         store.analyse(config="none")
     assert store.runs(1).first()["status"] == "error" and store.insights(key).first().asDict() | {"updated_at": 0} == kept.asDict() | {"updated_at": 0, "status": "error"}
     with_patterns = store.analyse(Config(window=7, stride=7, min_rows=2))
-    assert {"clusters", "truncated"} & set(json.loads(with_patterns.first()["payload"]))
+    told = json.loads(with_patterns.first()["payload"])
+    assert told["config"]["min_rows"] == 2 and told["engine"] == {"search": "closed runs", "truncated": False} and told["n_triclusters"] >= len(told["clusters"]) > 0
+    card = told["clusters"][0]
+    assert set(card) == {"label", "years", "months", "months_names", "signature_top5", "support", "hvar3", "type"}
+    assert card["years"] == [2020] and card["months"] == [1] and card["months_names"] == ["Jan"] and card["support"] >= 2
+    assert 1 <= len(card["signature_top5"]) <= 5 and set(card["signature_top5"][0]) == {"feature", "direction", "count"}
+    coherent = [c["hvar3"] for c in told["clusters"]]
+    assert coherent == sorted(coherent) and len(coherent) <= 12
+    assert storage.steps() == before
+    with pytest.raises(LookupError):
+        store.forecast(7, key)  # 30 days are too few for a model
     with pytest.raises(ValueError):
         store.add_city("Nowhere", None, answer(spark), places)
     with pytest.raises(ValueError):
@@ -76,5 +86,11 @@ def test_cells_and_files(spark, tmp_path):
     assert [tuple(r) for r in rows.select(scalars.safe_int(rows["text"], 4), scalars.safe_float(rows["text"])).collect()] == [(7, 7.0), (4, 0.0), (4, 0.0)]
     days = spark.createDataFrame([("a", "2020-01-01", 1.0, 2.0, 1.5)], "city string, date string, tmin double, tmax double, tavg double").selectExpr("city", "cast(date as date) as date", "tmin", "tmax", "tavg")
     sinks.write_csv(days, f"{tmp_path}/csv")
+    sinks.write_csv(days, f"{tmp_path}/more.csv", {"city": "A", "start": "2020-01-01"})
+    assert json.loads(spark.read.text(f"{tmp_path}/more.meta.json").first()[0]) == {"city": "A", "start": "2020-01-01"}
+    payloads = spark.createDataFrame([("são/x y", '{"a": 1}'), ("b", '{"a": 2}')], "city string, payload string")
+    paths = {r["city"]: r["path"] for r in sinks.write_payloads(payloads, f"{tmp_path}/out", "r1", "20200101T000000Z").collect()}
+    assert paths["são/x y"].endswith("/file=são_x_y__r1__20200101T000000Z.json")
+    assert tables.read_payload(spark, paths["b"]).first()["a"] == 2
     sinks.write_json(days, f"{tmp_path}/json")
     assert tables.read_csv(spark, f"{tmp_path}/csv").collect() == days.collect() and tables.read_payload(spark, f"{tmp_path}/json").first()["tavg"] == 1.5
