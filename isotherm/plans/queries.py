@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import keys, tokens
-from ..operators import bins, forecast, mining, regimes, rollup, sequences, series, triclusters, windows, yearly_clusters
+from ..operators import bins, forecast, mining, quantiles, regimes, rollup, segments, sequences, series, triclusters, windows, yearly_clusters
 from ..schemas import NUMERIC, SYMBOLIC
 from ..sources import sinks, tables
 from ..sources.storage import stored
@@ -264,6 +264,12 @@ def featured(name: str, columns: list[str], f: Callable[[DataFrame], DataFrame],
     query(sql + f"select city, cast(date as varchar) as date, {', '.join([*plain, *([r(*(c for c in columns if c not in plain))] if len(plain) < len(columns) else [])])} from {source}")(run)
 
 
+def again(name: str, of: str, f: Callable[[SparkSession, str], DataFrame]) -> None:
+    """Another form of a query, held against the same SQL."""
+    f.__name__ = name
+    query(SQL[of])(f)
+
+
 def base(df: DataFrame) -> DataFrame:
     return series.interpolated(series.regular(df))
 
@@ -389,6 +395,12 @@ def insights_payload(spark, sf_dir):
     return payload(weather(spark, sf_dir), FIFTH)
 
 
+# Long series: cut by date ranges, here of some two years
+SPLIT = 700
+again("segmented_features", "daily_features", lambda spark, sf_dir: even(segments.daily_features(weather(spark, sf_dir), SPLIT)).withColumn("date", F.col("date").cast("string")))
+again("segmented_enriched", "enriched_features", lambda spark, sf_dir: even(segments.enriched_features(weather(spark, sf_dir), days=SPLIT)).withColumn("date", F.col("date").cast("string")))
+again("segmented_streak", "warm_streak", lambda spark, sf_dir: segments.longest_run(segments.daily_features(weather(spark, sf_dir), SPLIT), F.col("anomaly_z") >= 1, SPLIT).withColumns({"start": F.col("start").cast("string"), "end": F.col("end").cast("string")}))
+
 # Windows and cube
 
 
@@ -472,6 +484,9 @@ def token_parse(spark, sf_dir):
 NAMES = "names as (select unnest(range(12)) as feature_idx, unnest([" + ", ".join(f"'{c}'" for c in [*NUMERIC, *SYMBOLIC]) + "]) as feature)"
 
 
+again("bin_edges_selected", "bin_edges_eq_size", lambda spark, sf_dir: even(quantiles.bins_of(cells(weather(spark, sf_dir), LIVE)[1], LIVE.n_bins).select("city", "feature_idx", F.posexplode("edges").alias("k", "edge"))))
+
+
 @query(TO_ITEMS + ",\n" + NAMES + " select city, window_id as id, cast(row_number() over (partition by city, window_id order by n desc, feature, symbol) as integer) as rank, feature, symbol as direction, n as count from (select city, window_id, feature, symbol, count(*) as n from items join names using (feature_idx) group by all) qualify row_number() over (partition by city, window_id order by n desc, feature, symbol) <= 5")
 def signature_top5(spark, sf_dir):
     lines = mining.sequences(items_of(spark, sf_dir)).select("city", F.col("window_id").alias("id"), tokens.pattern_string(F.col("itemsets")).alias("pattern_string"))
