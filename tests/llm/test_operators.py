@@ -356,5 +356,5 @@ def test_mixing_keeps_all_and_meets_targets(spark):
     np.testing.assert_allclose(emitted / emitted.sum(), [0.6, 0.4], atol=0.03)
 
 
-def test_queries_cover_the_ten():
-    assert {int(n[2:].split("_")[0]) for n in queries.queries()} == set(range(1, 11)) and set(queries.oracle_sql()) <= set(queries.queries())
+def test_queries_cover_all_numbers():
+    assert {int(n[2:].split("_")[0]) for n in queries.queries()} == set(range(1, 14)) and set(queries.oracle_sql()) <= set(queries.queries())
