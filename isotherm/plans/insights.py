@@ -109,7 +109,7 @@ def with_patterns(out: DataFrame, blocks: DataFrame, meta: DataFrame, config: Co
     first = regimes.ranked(blocks).where(F.col("by_coherence") <= 12)
     told = regimes.cards(first, meta).groupBy("city").agg(F.array_sort(F.collect_list(F.struct("by_coherence", *CARD))).alias("c"))
     told = told.select("city", F.transform("c", lambda s: F.struct(*(s[k].alias(k) for k in CARD))).alias("clusters"))
-    given = F.struct(*(F.lit(v).alias(k) for k, v in asdict(config).items()))
+    given = F.struct(*((F.lit(v) if v is not None else F.lit(None).cast("double")).alias(k) for k, v in asdict(config).items()))
     engine = F.struct(F.lit("closed runs" if config.contiguous else "closed sets").alias("search"), F.col("city").isin(cut).alias("truncated"))
     out = out.join(regimes.summary(blocks), "city", "left").join(told, "city", "left")
     return out.withColumns({"method": F.lit("triclusters of closed patterns"), "engine": engine, "config": given, "truncated": F.col("city").isin(cut)})

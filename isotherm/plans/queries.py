@@ -5,6 +5,8 @@ Floats are compared after ``round(x + 1e-9, 6) + 0.0`` on both sides, which take
 
 from __future__ import annotations
 
+import json
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -13,8 +15,9 @@ from pyspark.sql import functions as F
 from ..functions import keys, tokens
 from ..operators import bins, forecast, mining, quantiles, regimes, rollup, segments, sequences, series, triclusters, windows, yearly_clusters
 from ..schemas import NUMERIC, SYMBOLIC
+from ..sources import archive_source as archive
 from ..sources import sinks, tables
-from ..sources.storage import stored
+from ..sources.storage import noted, shared_dir, stored
 from ..streaming.incremental import windowed_counts
 from .insights import Config, cells, find_triclusters, payload, summaries
 
@@ -198,6 +201,24 @@ def archive_rows(spark, sf_dir):
     return even(tables.archive_rows(answers).withColumn("date", F.col("date").cast("string")))
 
 
+@query(with_(WEATHER) + f"select city, cast(date as varchar) as date, {r(*VALUES)} from weather where date >= date '1996-03-01'")
+def archive_source(spark, sf_dir):
+    """All days from 1996-03-01 on, from a source that asks a store of answers for each city and year."""
+    root = f"{shared_dir(spark)}/answers-{uuid.uuid4().hex}"
+    noted("", root)
+    rows = weather(spark, sf_dir).withColumns({"name": F.col("city"), "city": keys.city_key(F.col("city")), "year": F.year("date")})
+    part = lambda c: F.transform("rows", lambda s: s[c])
+    daily = F.struct(F.transform("rows", lambda s: s["date"].cast("string")).alias("time"), part("tmax").alias("temperature_2m_max"), part("tmin").alias("temperature_2m_min"), part("tavg").alias("temperature_2m_mean"))
+    answers = rows.groupBy("city", "year").agg(F.collect_list(F.struct("date", *VALUES)).alias("rows")).select("city", "year", F.to_json(F.struct(daily.alias("daily"))).alias("value"))
+    answers.write.partitionBy("city", "year").text(root)
+    names = {r["city"]: r["name"] for r in rows.select("city", "name").distinct().collect()}  # one for each region
+    places = json.dumps([{"key": k, "latitude": 0, "longitude": 0} for k in names])
+    archive.register(spark)
+    found = spark.read.format("daily_archive").options(places=places, root=root if ":" in root else f"file://{root}", start="1990-01-01", end="2010-12-31").load().where("date >= '1996-03-01'")
+    told = F.create_map(*(F.lit(x) for kv in names.items() for x in kv))
+    return even(found.select(told[F.col("city")].alias("city"), F.col("date").cast("string").alias("date"), *VALUES))
+
+
 # Sinks
 
 
