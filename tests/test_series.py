@@ -216,11 +216,14 @@ def test_triclusters_hold_their_limits(spark):
 def test_payload_says_whether_its_search_was_cut(spark, monkeypatch):
     from isotherm.plans import insights
 
-    found = spark.createDataFrame([("a", 0, 1, "x", 9, 0.1, "mixed", [1, 2])], "city string, id int, place int, label string, support int, hvar3 double, type string, rows array<int>")
+    found = spark.createDataFrame([("a", 0, 1, "x", 9, 0.1, "mixed", [1, 2], "(f0_0#bin1 f7_0#hot)")], "city string, id int, place int, label string, support int, hvar3 double, type string, rows array<int>, pattern_string string")
     blocks = found.withColumn("shape", F.struct(F.lit(4).alias("volume")))
-    monkeypatch.setattr(insights, "find_triclusters", lambda *_: (blocks, None, ["a"]))
+    meta = spark.createDataFrame([("a", w, DAY, DAY, DAY + dt.timedelta(days=31 * w)) for w in range(3)], "city string, window_id int, start_date date, end_date date, center_date date")
+    monkeypatch.setattr(insights, "find_triclusters", lambda *_: (blocks, meta, ["a"]))
     got = json.loads(insights.payload(daily(spark, [float(i % 5) for i in range(40)]), Config()).first()["payload"])
-    assert got["truncated"] is True and len(got["clusters"]) == 1
+    assert got["truncated"] is True and len(got["clusters"]) == 1 and got["engine"]["truncated"] is True
+    assert got["clusters"][0]["months_names"] == ["Feb", "Mar"] and [t["direction"] for t in got["clusters"][0]["signature_top5"]] == ["bin1", "hot"]
+    assert json.loads(insights.payload(daily(spark, [1.0] * 40), Config(overlap=None)).first()["payload"])["config"].get("overlap") is None
 
 
 def test_archive_answers(spark):
