@@ -2,8 +2,7 @@
 
 A city's series with one candidate model is one group of ``applyInPandas``, and so are some trees of a city's forest;
 candidates, trees and cities run side by side. A forest is a table with a row for each tree, to be written and read as any. The ARMA
-estimator is least squares all through (Hannan-Rissanen: residuals of a long autoregression stand in for the shocks), so
-values differ from those of an exact likelihood; interfaces, candidates, folds and intervals are the same.
+models are fitted by exact likelihood (``state_space``); a candidate's folds start from the parameters of the fold before.
 """
 
 from __future__ import annotations
@@ -17,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import YEAR_DAYS, doy_angle, fourier
 from .series import by_city, by_date, interpolated, regular, shifted_stats
+from .state_space import SeasonalArma
 
 ORDERS = [(1, 1, 1), (2, 1, 1), (1, 1, 2), (2, 1, 2), (1, 0, 1), (0, 1, 1)]
 SEASONAL = [(1, 0, 1, 7), (1, 1, 1, 7), (0, 1, 1, 7), (1, 0, 0, 7)]
@@ -55,99 +55,6 @@ def candidate_grid(df: DataFrame) -> DataFrame:
     return df.select("city").distinct().select("city", F.inline(grid))
 
 
-def _lags(short: int, seasonal: int, period: int) -> list[int]:
-    return sorted({i + period * j for i in range(short + 1) for j in range(seasonal + 1)} - {0})
-
-
-def _differenced(a: np.ndarray, d: int, sd: int, period: int) -> np.ndarray:
-    for _ in range(sd):
-        a = a[period:] - a[:-period]
-    return np.diff(a, n=d, axis=0) if d else a
-
-
-def _columns(values: np.ndarray, lags: list[int], start: int) -> list[np.ndarray]:
-    return [values[start - k : len(values) - k] for k in lags]
-
-
-class SeasonalArma:
-    """y = X beta + errors; the differenced errors follow lags of themselves and of shocks, seasonal ones included."""
-
-    def __init__(self, order: tuple[int, int, int], seasonal: tuple[int, int, int, int]):
-        (self.p, self.d, self.q), (sp, self.sd, sq, self.period) = order, seasonal
-        self.ar, self.ma = _lags(self.p, sp, self.period), _lags(self.q, sq, self.period)
-
-    def fit(self, y: np.ndarray, x: np.ndarray) -> SeasonalArma:
-        x = np.column_stack([x, np.ones(len(x))]) if not self.d + self.sd else x
-        w, z = _differenced(y, self.d, self.sd, self.period), _differenced(x, self.d, self.sd, self.period)
-        self.beta = np.linalg.lstsq(z, w, rcond=None)[0]
-        e = w - z @ self.beta
-        shock, reach = np.zeros_like(e), max([*self.ar, *self.ma, 1])
-        long = min(reach + 10, len(e) // 4)
-        lagged = np.column_stack(_columns(e, list(range(1, long + 1)), long))
-        shock[long:] = e[long:] - lagged @ np.linalg.lstsq(lagged, e[long:], rcond=None)[0]
-        self.phi, self.theta = np.zeros(len(self.ar)), np.zeros(len(self.ma))
-        for _ in range(2):  # once with the long regression's shocks, once with the model's own
-            at = long + reach
-            columns = _columns(e, self.ar, at) + _columns(shock, self.ma, at)
-            if not columns:
-                break
-            c = np.linalg.lstsq(np.column_stack(columns), e[at:], rcond=None)[0]
-            self.phi, self.theta = c[: len(self.ar)], c[len(self.ar) :]
-            if not np.isfinite(c).all() or np.abs(self.theta).sum() > 3:
-                raise ArithmeticError("no fit")
-            new = np.zeros_like(e)
-            for t in range(reach, len(e)):
-                new[t] = e[t] - sum(f * e[t - k] for f, k in zip(self.phi, self.ar, strict=True)) - sum(f * new[t - k] for f, k in zip(self.theta, self.ma, strict=True))
-                if abs(new[t]) > 1e9:
-                    raise ArithmeticError("shocks don't settle")
-            shock = new
-        self.e, self.shock, self.errors = e, shock, y - x @ self.beta
-        self.sigma = float(np.std(shock[long + reach :]))
-        return self
-
-    def differences(self) -> dict[int, float]:
-        """Lags of the polynomial that takes the differences."""
-        lags = {0: 1.0}
-        for period in [self.period] * self.sd + [1] * self.d:
-            new = dict(lags)
-            for k, v in lags.items():
-                new[k + period] = new.get(k + period, 0.0) - v
-            lags = new
-        return lags
-
-    def state(self) -> dict[str, list[float] | float]:
-        """All that a forecast needs: coefficients and the last values that it looks back to."""
-        reach = max([*self.ar, *self.ma, *self.differences(), 1])
-        tails = {"e": self.e, "shock": self.shock, "errors": self.errors}
-        return {"beta": self.beta.tolist(), "phi": self.phi.tolist(), "theta": self.theta.tolist(), "sigma": self.sigma} | {k: v[-reach:].tolist() for k, v in tails.items()}
-
-    def restored(self, state: dict) -> SeasonalArma:
-        """A model of a state, which forecasts as the one that it was taken of."""
-        for name in ("beta", "phi", "theta", "e", "shock", "errors"):
-            setattr(self, name, np.asarray(state[name], dtype=float))
-        self.sigma = float(state["sigma"])
-        return self
-
-    def forecast(self, ahead: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Means and standard errors for the rows of exogenous values ``ahead``."""
-        h = len(ahead)
-        ahead = np.column_stack([ahead, np.ones(h)]) if not self.d + self.sd else ahead
-        e, shock = np.r_[self.e, np.zeros(h)], np.r_[self.shock, np.zeros(h)]
-        pulse, weight = np.r_[1.0, np.zeros(h - 1)], np.zeros(h)
-        for t in range(h):
-            at = len(self.e) + t
-            e[at] = sum(f * e[at - k] for f, k in zip(self.phi, self.ar, strict=True)) + sum(f * shock[at - k] for f, k in zip(self.theta, self.ma, strict=True))
-            weight[t] = pulse[t] + sum(f * pulse[t - k] for f, k in zip(self.theta, self.ma, strict=True) if k <= t) + sum(f * weight[t - k] for f, k in zip(self.phi, self.ar, strict=True) if k <= t)
-        errors, lags = self.errors, self.differences()  # the differences undone, for levels as for pulses
-        out = np.r_[errors, np.zeros(h)]
-        psi = weight.copy()
-        for t in range(h):
-            at = len(errors) + t
-            out[at] = e[len(self.e) + t] - sum(v * out[at - k] for k, v in lags.items() if k)
-            psi[t] = weight[t] - sum(v * psi[t - k] for k, v in lags.items() if 0 < k <= t)
-        return out[len(errors) :] + ahead @ self.beta, self.sigma * np.sqrt(np.cumsum(psi**2))
-
-
 def _matrix(days: np.ndarray, pairs: int = 3, origin: pd.Timestamp | None = None) -> np.ndarray:
     """Exogenous values of days counted from the series' first (of an array of dates), or from ``origin``."""
     date = pd.DatetimeIndex(days)
@@ -158,7 +65,7 @@ def _matrix(days: np.ndarray, pairs: int = 3, origin: pd.Timestamp | None = None
 
 def _spread(df: DataFrame, *keys: str) -> DataFrame:
     """Over tasks of a number of its own, as small groups of much work would be put together in few tasks otherwise."""
-    return df.repartition(8 * df.sparkSession.sparkContext.defaultParallelism, *keys)
+    return df.repartition(32 * df.sparkSession.sparkContext.defaultParallelism, *keys)
 
 
 def cross_validated(df: DataFrame, only: list[int] | None = None, least: int = 0) -> DataFrame:
@@ -171,11 +78,12 @@ def cross_validated(df: DataFrame, only: list[int] | None = None, least: int = 0
 
     def score(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("date")
-        y, x, errors = frame["tavg"].to_numpy(float), _matrix(frame["date"].to_numpy()), []
+        y, x, errors, near = frame["tavg"].to_numpy(float), _matrix(frame["date"].to_numpy()), [], None
         try:
             for start, end in folds(len(y)):
-                got, _ = SeasonalArma(*models[int(frame["candidate"].iat[0])]).fit(y[:start], x[:start]).forecast(x[start:end])
-                errors.append(np.abs(got - y[start:end]).mean())
+                fitted = SeasonalArma(*models[int(frame["candidate"].iat[0])]).fit(y[:start], x[:start], near)
+                near = fitted.free
+                errors.append(np.abs(fitted.forecast(x[start:end])[0] - y[start:end]).mean())
             mae = float(np.mean(errors)) if np.isfinite(errors).all() else None
         except (ArithmeticError, np.linalg.LinAlgError, ValueError, IndexError):
             mae = None
@@ -185,7 +93,7 @@ def cross_validated(df: DataFrame, only: list[int] | None = None, least: int = 0
 
 
 #: A fitted model of a city as a row.
-STATE = "city string, candidate int, cv_mae double, train_start date, train_end date, beta array<double>, phi array<double>, theta array<double>, sigma double, e array<double>, shock array<double>, errors array<double>"
+STATE = "city string, candidate int, cv_mae double, train_start date, train_end date, beta array<double>, phi array<double>, theta array<double>, sigma double, mean array<double>, cov array<double>, errors array<double>"
 
 
 def train_sarimax(df: DataFrame, only: list[int] | None = None) -> DataFrame:

@@ -75,7 +75,7 @@ def test_a_state_forecasts_as_its_model(spark):
         state = fitted.state()
         again = forecast.SeasonalArma(order, seasonal).restored(state).forecast(ahead)
         assert np.allclose(mean, again[0]) and np.allclose(error, again[1]), k
-        assert max(len(state[c]) for c in ("e", "shock", "errors")) <= 30
+        assert len(state["mean"]) <= 10 and len(state["cov"]) == len(state["mean"]) ** 2 and len(state["errors"]) <= 30
 
 
 def test_models_are_trained_kept_and_read(spark, tmp_path, monkeypatch):
