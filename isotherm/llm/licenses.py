@@ -6,7 +6,8 @@ at least its priority contains its interval of words (of equal intervals the one
 that comes first, stays). What is left gives the labels and, as the highest weight, the score.
 
 Rules are written as units that stand for one word each: a regex without blanks; ``?unit`` may be missing; ``*3`` stands
-for up to three words of any kind. DataFrame functions only; texts are read once and aren't shuffled, their hits are.
+for up to three words of any kind. DataFrame functions only; nothing is shuffled: a row's hits are judged in one fold over them in
+order, which remembers how far hits of each priority reach and no hit itself.
 
 Defined cases: null or empty text has no words, labels '' and score 0; null and repeated ids stay row by row; an empty
 table gives an empty result; whole texts are scanned; further columns are ignored.
@@ -16,7 +17,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import GAP, WORD, texts
@@ -315,35 +316,42 @@ def license_scan(docs: DataFrame) -> DataFrame:
     letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
     words = F.regexp_extract_all(F.translate("text", letters, letters.lower()), F.lit(WORD), 0)
     table = F.array(*(F.struct(F.lit(k).alias("rule"), F.lit(label).alias("label"), F.lit(p).alias("priority"), F.lit(pattern).alias("pattern"), F.lit(keyword).alias("keyword")) for k, label, p, pattern, keyword in known))
-    some = texts(docs).select(F.monotonically_increasing_id().alias("row"), "doc_id", F.size(F.regexp_extract_all("text", F.lit(WORD), 0)).cast("long").alias("n_words"), F.when(gate_of(F.lower("text")), F.concat(F.lit(" "), F.array_join(words, "  "), F.lit(" "))).alias("wrapped"))
+    some = texts(docs).select("doc_id", F.size(F.regexp_extract_all("text", F.lit(WORD), 0)).cast("long").alias("n_words"), F.when(gate_of(F.lower("text")), F.concat(F.lit(" "), F.array_join(words, "  "), F.lit(" "))).alias("wrapped"))
     some = some.withColumn("passed", F.when(F.col("wrapped").isNotNull(), F.filter(table, lambda r: F.contains(F.col("wrapped"), r["keyword"]))))
 
     def found(r: Column) -> Column:
         sizes = F.transform(F.regexp_extract_all("wrapped", r["pattern"], F.lit(0)), lambda m: F.floor((F.length(m) - F.length(F.replace(m, F.lit(" "), F.lit("")))) / 2).cast("int"))
         return F.zip_with(_starts(F.col("wrapped"), r["pattern"]), sizes, lambda s, n: F.struct(s.cast("long").alias("start"), (s + n).cast("long").alias("end"), r["priority"].alias("priority"), r["rule"].alias("rule"), r["label"].alias("label")))
 
-    hits = some.select("row", "doc_id", "n_words", F.flatten(F.transform("passed", found)).alias("hits"))
-    hits = hits.select("row", "doc_id", "n_words", F.explode_outer("hits").alias("hit")).select("row", "doc_id", "n_words", "hit.*")
     # whatever contains a hit comes before it in this order
-    before = Window.partitionBy("row").orderBy("start", F.desc("end"), F.desc("priority"), "rule").rowsBetween(Window.unboundedPreceding, -1)
-    contained = F.lit(False)
-    for p in WEIGHTS:
-        contained = F.when(F.col("priority") == p, F.coalesce(F.max(F.when(F.col("priority") >= p, F.col("end"))).over(before) >= F.col("end"), F.lit(False))).otherwise(contained)
-    is_base = F.col("rule") < base
-    kept = F.col("start").isNotNull() & ~F.col("contained")
-    weight = F.lit(0.0)
-    for p, w in WEIGHTS.items():
-        weight = F.when(F.col("priority") == p, w).otherwise(weight)
-    joined = lambda c: F.array_join(F.array_sort(F.collect_set(c)), ",")
-    return (
-        hits.withColumn("contained", contained)
-        .groupBy("row")
-        .agg(
-            F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), F.count(F.when(is_base, 1)).alias("n_base"), F.min(F.when(is_base, F.col("start"))).alias("first_word"), F.max(F.when(is_base, F.col("start"))).alias("last_word"),
-            joined(F.when(is_base, F.col("label"))).alias("base_labels"), joined(F.when(is_base | kept, F.col("label"))).alias("labels"), F.max(F.when(kept, weight).otherwise(0.0)).alias("score"), F.count(F.when(kept, 1)).alias("n_kept"),
+    ordered = F.array_sort(F.transform(F.flatten(F.transform("passed", found)), lambda h: F.struct(h["start"], (-h["end"]).alias("end"), (-h["priority"]).alias("priority"), h["rule"], h["label"])))
+    none = F.array().cast("array<string>")
+    begin = F.struct(
+        *(F.lit(-1).cast("long").alias(f"reach_{p}") for p in WEIGHTS), F.lit(0).cast("long").alias("n_base"), F.lit(None).cast("long").alias("first_word"), F.lit(None).cast("long").alias("last_word"),
+        none.alias("base_labels"), none.alias("labels"), F.lit(0.0).alias("score"), F.lit(0).cast("long").alias("n_kept"),
+    )
+
+    def step(acc: Column, h: Column) -> Column:
+        """``acc`` holds how far hits of each priority or more reach so far, and the results."""
+        end, priority, is_base, contained, weight = -h["end"], -h["priority"], h["rule"] < base, F.lit(False), F.lit(0.0)
+        for p, w in WEIGHTS.items():
+            contained = F.when(priority == p, acc[f"reach_{p}"] >= end).otherwise(contained)
+            weight = F.when(priority == p, w).otherwise(weight)
+        label = F.array(h["label"])
+        return F.struct(
+            *(F.when(priority >= p, F.greatest(acc[f"reach_{p}"], end)).otherwise(acc[f"reach_{p}"]).alias(f"reach_{p}") for p in WEIGHTS),
+            (acc["n_base"] + is_base.cast("long")).alias("n_base"),
+            F.when(is_base, F.coalesce(acc["first_word"], h["start"])).otherwise(acc["first_word"]).alias("first_word"),
+            F.when(is_base, h["start"]).otherwise(acc["last_word"]).alias("last_word"),
+            F.when(is_base, F.array_union(acc["base_labels"], label)).otherwise(acc["base_labels"]).alias("base_labels"),
+            F.when(is_base | ~contained, F.array_union(acc["labels"], label)).otherwise(acc["labels"]).alias("labels"),
+            F.when(contained, acc["score"]).otherwise(F.greatest(acc["score"], weight)).alias("score"),
+            (acc["n_kept"] + (~contained).cast("long")).alias("n_kept"),
         )
-        .drop("row")
-    )
+
+    hits = some.select("doc_id", "n_words", F.aggregate(F.coalesce(ordered, F.array().cast("array<struct<start:bigint,end:bigint,priority:int,rule:int,label:string>>")), begin, step).alias("hits"))
+    joined = lambda c: F.array_join(F.array_sort(F.col(f"hits.{c}")), ",").alias(c)
+    return hits.select("doc_id", "n_words", "hits.n_base", "hits.first_word", "hits.last_word", joined("base_labels"), joined("labels"), "hits.score", "hits.n_kept")
 
 
 def oracle() -> str:
