@@ -3,7 +3,8 @@
 A group's wanted ranks begin with the range of all its values. Each round counts the values of a range in ``BUCKETS`` equal steps,
 with least and greatest value of each, and a rank goes on with the values of the step that it falls into; it is found when they are all
 alike. Counters are summed in the tasks that read, so that what meets for a range is bounded, however many rows a group has. Each
-round parts least from greatest value, so that ranges end; some three or four rounds are usual.
+round parts least from greatest value, so that ranges end; some three or four rounds are usual. Values are written once before the first
+round: sums of floats come out a last digit apart when they are worked out again, and a value beside its range would be in none.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ BUCKETS = 1024
 
 def exact_quantiles(df: DataFrame, by: list[str], value: str, probabilities: list[float]) -> DataFrame:
     """(*by, quantiles) of the non-null values of each group, interpolated between neighbours as ``percentile`` does it."""
-    rows = df.select(*by, F.col(value).cast("double").alias("__v")).where(F.col("__v").isNotNull() & ~F.isnan("__v"))
+    rows = stored(df.select(*by, F.col(value).cast("double").alias("__v")).where(F.col("__v").isNotNull() & ~F.isnan("__v")), "values")
     place = F.array(*(F.lit(float(p)) * (F.col("__n") - 1) for p in probabilities))
     ranks = F.array_distinct(F.concat(F.transform(place, lambda x: F.floor(x)), F.transform(place, lambda x: F.ceil(x))))
     sizes = stored(rows.groupBy(*by).agg(F.count("*").alias("__n"), F.min("__v").alias("__lo"), F.max("__v").alias("__hi")), "sizes")

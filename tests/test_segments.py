@@ -82,3 +82,24 @@ def test_edges_of_bins(spark):
     cube = spark.createDataFrame([("a", f, float(v), None) for f in range(3) for v in (rng.normal(size=90) if f < 2 else np.zeros(9))] + [("b", 0, None, None), ("b", 7, None, "x")], "city string, feature_idx int, num double, sym string")
     key = lambda r: (r["city"], r["feature_idx"], [round(e, 12) for e in r["edges"]])
     assert sorted(map(key, quantiles.bins_of(cube, 3).collect())) == sorted(map(key, bins.edges(cube, 3).collect()))
+
+
+def unsteady(df, columns):
+    """``df`` whose numbers are up to a few last digits apart each time that they are worked out, as sums of floats over a cluster are."""
+
+    def moved(batches):
+        rng = np.random.default_rng()
+        for batch in batches:
+            yield batch.assign(**{c: batch[c] * (1 + rng.integers(-4, 5, len(batch)) * 2.0**-52) for c in columns})
+
+    return df.mapInPandas(moved, df.schema)
+
+
+def test_quantiles_of_values_that_differ_when_worked_out_again(spark):
+    rng = np.random.default_rng(8)
+    v = rng.normal(10, 5, (3, 301))
+    df = unsteady(spark.createDataFrame([(f"k{k}", float(x)) for k, own in enumerate(v) for x in own], "k string, v double"), ["v"])
+    got = {r["k"]: r["quantiles"] for r in quantiles.exact_quantiles(df, ["k"], "v", [0.0, 1 / 3, 0.5, 1.0]).collect()}
+    assert {k: len(q) for k, q in got.items()} == {"k0": 4, "k1": 4, "k2": 4}
+    for k, own in enumerate(v):
+        assert got[f"k{k}"] == pytest.approx(np.quantile(own, [0.0, 1 / 3, 0.5, 1.0]), rel=1e-12)
