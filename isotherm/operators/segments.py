@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from ..functions.scalars import YEAR_DAYS, doy_angle, season, tertile, three_way
+from ..sources.storage import stored
 from .quantiles import exact_quantiles
 from .series import DAILY, VALUES, coerced, keep_last, rolling, without_gaps
 
@@ -95,7 +96,8 @@ def enriched_features(df: DataFrame, order: str | None = None, days: int = DAYS)
     rows = coerced(df)
     if order:
         rows = keep_last(rows, order)
-    found = without_gaps(features(rows, days))
+    # written once, so that the cuts are those of the very values that are held against them
+    found = stored(without_gaps(features(rows, days)), "features")
     # of a series without gaps only its first days lack rolling values, and take those of its first full window
     full = found.where(F.col("roll_mean_7").isNotNull()).groupBy("city").agg(F.min_by("roll_mean_7", "date").alias("__m"), F.min_by("roll_std_7", "date").alias("__s"))
     out = found.join(full, "city", "left").withColumns({"roll_mean_7": F.coalesce("roll_mean_7", "__m"), "roll_std_7": F.coalesce("roll_std_7", "__s", F.lit(0.0)), "delta_1": F.coalesce("delta_1", F.lit(0.0)), "delta_7": F.coalesce("delta_7", F.lit(0.0))}).drop("__m", "__s")

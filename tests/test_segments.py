@@ -103,3 +103,14 @@ def test_quantiles_of_values_that_differ_when_worked_out_again(spark):
     assert {k: len(q) for k, q in got.items()} == {"k0": 4, "k1": 4, "k2": 4}
     for k, own in enumerate(v):
         assert got[f"k{k}"] == pytest.approx(np.quantile(own, [0.0, 1 / 3, 0.5, 1.0]), rel=1e-12)
+
+
+def test_bands_are_cut_by_the_values_they_come_with(spark):
+    """The cuts of 400 days are values of days, each of which is on its cut's lower side."""
+    rng = np.random.default_rng(9)
+    rows = [(c, FIRST + dt.timedelta(days=i), float(x), float(x + 7 + rng.random()), float(x + 3)) for c in ("a", "b", "c", "d") for i, x in enumerate(rng.normal(10, 5, 400))]
+    got = segments.enriched_features(unsteady(spark.createDataFrame(rows, KINDS), series.VALUES), days=90).toPandas()
+    assert len(got) == 1600
+    for _, own in got.groupby("city"):
+        assert own["temp_band"].value_counts().to_dict() == {"cold": 134, "mild": 133, "hot": 133}
+        assert own["diurnal_band"].value_counts().to_dict() == {"low": 134, "medium": 133, "high": 133}
