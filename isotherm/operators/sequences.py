@@ -2,13 +2,15 @@
 
 A sequence contains a pattern if its sets lie, in order, within sets of the sequence. A pattern grows by a step: a sequence step
 appends a set of one item, an itemset step adds a larger item to the last set; so each pattern has one parent. Both miners go level
-by level, find every frequent pattern whatever its length, and return them with the sequences that contain them.
+by level and find every frequent pattern whatever its length. A level is counted before anything of it is kept: counts of steps are
+summed where they arise, and only what is frequent is written. Equal sequences are one row with their number, and items are numbers
+in their order. The sequences that contain a pattern are listed only where they are asked for.
 
-- ``prefixspan``: projected databases as rows. A pattern and a sequence have the places where the pattern can end; places that
-  follow the first of them, or lie among them, are what the next item is counted over, by joins on (city, sequence).
+- ``prefixspan``: projected databases as rows. A pattern and a sequence have what of the sequence is left from the first place where
+  the pattern can end, and all such places; what follows the first of them, or lies beside them, are the steps. No row is shuffled.
 - ``spam``: vertical bitmaps. A pattern has a bit for each place of each sequence of a block; a sequence step sets all bits after the
-  first one and meets the item's, an itemset step meets the item's as they are. Counts of a level are summed over blocks, so that a
-  city's sequences are never held as a whole.
+  first one and meets the item's, an itemset step meets the item's as they are. A task makes the bits of its patterns from the items'
+  and returns counts alone, so that no bits are written and a city's sequences are never held as a whole.
 - ``clospan``: patterns that no larger one of the same support contains. One with an item more would do, so that it is enough to
   take away each item of each frequent pattern in turn and to drop what is left where its support is the same.
 """
@@ -16,6 +18,7 @@ by level, find every frequent pattern whatever its length, and return them with
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -25,58 +28,100 @@ from pyspark.sql import functions as F
 from ..functions.tokens import pattern_string
 from ..sources.storage import numbered, stored
 
-#: Sequences of a block of bitmaps, and patterns that a task extends at once in a block.
-BLOCK, HELD = 4096, 256
+#: Sequences of a block of bitmaps, patterns that a task extends in a block, and words of bitmaps that it holds at once.
+BLOCK, HELD, WORDS = 4096, 256, 2**20
 PATTERN = "array<array<string>>"
 
 
-def occurrences(sequences: DataFrame) -> DataFrame:
-    """(city, seq, pos, item), each once, of (city, seq, itemsets)."""
-    flat = sequences.select("city", "seq", F.posexplode("itemsets").alias("pos", "items"))
-    return flat.select("city", "seq", "pos", F.explode(F.array_distinct("items")).alias("item")).where(F.col("item").isNotNull())
-
-
-def thresholds(sequences: DataFrame, min_rows: int, min_share: float = 0.0) -> DataFrame:
-    """(city, needed): sequences that have to contain a pattern."""
-    n = sequences.groupBy("city").agg(F.count_distinct("seq").alias("n"))
-    return n.select("city", F.greatest(F.lit(min_rows), F.ceil(F.col("n") * min_share - 1e-9)).cast("int").alias("needed"))
-
-
-def _frequent(rows: DataFrame, needed: DataFrame, by: list[str]) -> DataFrame:
-    """``rows`` (one for each sequence) of groups of ``by`` that have enough of them."""
-    rows = stored(rows, "sequences")
-    counts = rows.groupBy("city", *by).agg(F.count("*").alias("__n")).join(needed, "city").where(F.col("__n") >= F.col("needed"))
-    return stored(rows.join(counts.select("city", *by), ["city", *by], "left_semi"), "sequences")
-
-
-def _levels(sequences: DataFrame, min_rows: int, min_share: float) -> Iterator[DataFrame]:
-    """(city, pattern, seq, places) of the frequent patterns of one item, two items and so on."""
-    needed = stored(thresholds(sequences, min_rows, min_share), "needed")
-    flat = stored(occurrences(sequences), "occurrences")
-    places = F.array_sort(F.collect_set("pos")).alias("places")
-    level = _frequent(flat.groupBy("city", "item", "seq").agg(places).select("city", F.array(F.array("item")).cast(PATTERN).alias("pattern"), "seq", "places"), needed, ["pattern"])
-    flat = flat.join(level.select("city", F.col("pattern")[0][0].alias("item")).distinct(), ["city", "item"], "left_semi")
-    last = F.element_at("pattern", -1)
-    while not level.isEmpty():
-        yield level
-        both = level.join(flat, ["city", "seq"])
-        after = F.col("pos") > F.col("places")[0]
-        within = F.array_contains("places", F.col("pos")) & (F.col("item") > F.element_at(last, -1))
-        appended = F.concat("pattern", F.array(F.array("item")))
-        filled = F.concat(F.slice("pattern", 1, F.size("pattern") - 1), F.array(F.concat(last, F.array("item"))))
-        steps = F.filter(F.array(F.when(after, appended), F.when(within, filled)), lambda p: p.isNotNull())
-        grown = both.select("city", F.explode(steps).alias("pattern"), "seq", "pos").groupBy("city", "pattern", "seq").agg(places)
-        level = _frequent(grown, needed, ["pattern"])
-
-
-def prefixspan(sequences: DataFrame, min_rows: int, min_share: float = 0.0) -> DataFrame:
-    """(city, itemsets, support, subject_ids) of every frequent pattern of (city, seq, itemsets)."""
-    return _told([x.select("city", "pattern", "seq") for x in _levels(sequences, min_rows, min_share)], sequences)
-
-
-def clospan(sequences: DataFrame, min_rows: int, min_share: float = 0.0) -> DataFrame:
+def merged(sequences: DataFrame) -> DataFrame:
+    """(city, seq, sets) of (city, seq, itemsets), a row for each sequence: sorted distinct items, sets without any left out."""
+    own = sequences.where(F.col("city").isNotNull() & F.col("seq").isNotNull()).groupBy("city", "seq").agg(F.collect_list("itemsets").alias("many"))
+    given = lambda s: F.coalesce(s, F.array().cast("array<string>"))
+    both = F.reduce("many", F.array().cast(PATTERN), lambda a, b: F.zip_with(a, b, lambda x, y: F.concat(given(x), given(y))))
+    return own.select("city", "seq", F.filter(F.transform(both, lambda s: F.array_sort(F.array_distinct(F.filter(s, lambda i: i.isNotNull())))), lambda s: F.size(s) > 0).alias("sets"))
+
+
+class _Ground:
+    """What both miners start from, each table written once.
+
+    ``needed`` (city, needed): sequences that have to contain a pattern; ``codes`` (city, item, code): frequent items, numbered in
+    order; ``classes`` (city, cls, n, sets): equal sequences and their number, sets of codes; ``root``: the pattern without items.
+    """
+
+    def __init__(self, sequences: DataFrame, min_rows: int, min_share: float, subjects: bool):
+        rows = merged(sequences)
+        self.rows = rows = stored(rows, "sequences") if subjects else rows
+        every = rows.groupBy("city", "sets").agg(F.count("*").alias("n")).withColumn("cls", F.monotonically_increasing_id())
+        self.every = every = stored(every, "classes")
+        enough = F.greatest(F.lit(min_rows), F.ceil(F.sum("n") * min_share - 1e-9)).cast("int")
+        self.needed = stored(every.groupBy("city").agg(enough.alias("needed")), "needed")
+        flat = every.select("city", "cls", "n", F.posexplode("sets").alias("pos", "items")).select("city", "cls", "n", "pos", F.explode("items").alias("item"))
+        held = flat.select("city", "cls", "n", "item").distinct().groupBy("city", "item").agg(F.sum("n").alias("__n"))
+        kept = held.join(self.needed, "city").where(F.col("__n") >= F.col("needed")).select("city", "item")
+        self.codes = stored(numbered(kept, ["city"], ["item"], "code").withColumn("code", F.col("code").cast("int")), "codes")
+        sets = flat.join(self.codes, ["city", "item"]).groupBy("city", "cls", "n", "pos").agg(F.array_sort(F.collect_list("code")).alias("items"))
+        sets = sets.groupBy("city", "cls", "n").agg(F.array_sort(F.collect_list(F.struct("pos", "items"))).alias("sets"))
+        self.classes = stored(sets.withColumn("sets", F.transform("sets", lambda s: s["items"])), "classes")
+        self.root = self.needed.select("city", F.lit(0).cast("long").alias("id"), F.array().cast("array<int>").alias("steps"), F.array().cast(PATTERN).alias("pattern"))
+
+    def grown(self, counts: DataFrame, known: DataFrame) -> DataFrame:
+        """(city, id, step, kid, steps, pattern, support) of the frequent ones among the steps of ``known`` patterns: (city, id, step, n), step 2 * code, and 1 more for itemset steps."""
+        total = counts.groupBy("city", "id", "step").agg(F.sum("n").alias("support")).join(self.needed, "city").where(F.col("support") >= F.col("needed"))
+        both = total.join(known.select("city", "id", "steps", "pattern"), ["city", "id"]).withColumn("code", F.shiftright("step", 1)).join(self.codes, ["city", "code"])
+        one, last = F.array("item"), F.try_element_at("pattern", F.lit(-1))
+        pattern = F.when(F.col("step") % 2 == 0, F.concat("pattern", F.array(one))).otherwise(F.concat(F.slice("pattern", 1, F.greatest(F.size("pattern") - 1, F.lit(0))), F.array(F.concat(last, one))))
+        return stored(both.select("city", "id", "step", F.monotonically_increasing_id().alias("kid"), F.concat("steps", F.array("step")).alias("steps"), pattern.alias("pattern"), F.col("support").cast("int").alias("support")), "grown")
+
+    def told(self, levels: list[DataFrame], held: list[DataFrame] | None) -> DataFrame:
+        """(city, itemsets, support) of all levels' patterns, with ``held`` (city, pattern, cls) also subject_ids."""
+        out = _union(levels).select("city", F.col("pattern").alias("itemsets"), "support")
+        if held is None:
+            return out
+        seqs = self.rows.join(self.every, ["city", "sets"]).select("city", "cls", "seq")
+        ids = _union(held).join(seqs, ["city", "cls"]).groupBy("city", F.col("pattern").alias("itemsets")).agg(F.array_sort(F.collect_list("seq")).alias("subject_ids"))
+        return out.join(ids, ["city", "itemsets"])
+
+
+def _union(parts: list[DataFrame]) -> DataFrame:
+    rows = parts[0]
+    for x in parts[1:]:
+        rows = rows.unionByName(x)
+    return rows
+
+
+def _known(grown: DataFrame) -> DataFrame:
+    return grown.select("city", F.col("kid").alias("id"), "steps", "pattern", "support")
+
+
+def prefixspan(sequences: DataFrame, min_rows: int, min_share: float = 0.0, subjects: bool = True) -> DataFrame:
+    """(city, itemsets, support, subject_ids) of every frequent pattern of (city, seq, itemsets); without ``subjects`` the ids are left out."""
+    ground = _Ground(sequences, min_rows, min_share, subjects)
+    # all of a sequence follows an empty set, where the pattern without items ends
+    before = F.array(F.array().cast("array<int>"))
+    level = ground.classes.select("city", F.lit(0).cast("long").alias("id"), F.lit(None).cast("int").alias("last"), "cls", "n", F.concat(before, "sets").alias("sets"), F.array(F.lit(0)).alias("ends"))
+    follow = F.array_distinct(F.flatten(F.slice("sets", 2, F.size("sets"))))
+    beside = F.array_distinct(F.flatten(F.transform("ends", lambda j: F.filter(F.col("sets")[j], lambda i: i > F.col("last")))))
+    steps = F.concat(F.transform(follow, lambda i: i * 2), F.transform(beside, lambda i: i * 2 + 1))
+    code = F.shiftright("step", 1)
+    where = F.when(F.col("step") % 2 == 0, F.sequence(F.lit(1), F.greatest(F.size("sets") - 1, F.lit(1)))).otherwise(F.col("ends"))
+    hits = F.filter(where, lambda j: F.array_contains(F.col("sets")[j], F.col("last")))
+    known, levels, held = ground.root, [], []
+    while True:
+        grown = ground.grown(level.select("city", "id", "n", F.explode(steps).alias("step")), known)
+        if grown.isEmpty():
+            break
+        known = _known(grown)
+        wide = level.withColumn("step", F.explode(steps)).join(grown.select("city", "id", "step", "kid"), ["city", "id", "step"])
+        wide = wide.withColumn("last", code).withColumn("hits", hits).withColumn("first", F.col("hits")[0])
+        level = stored(wide.select("city", F.col("kid").alias("id"), "last", "cls", "n", F.slice("sets", F.col("first") + 1, F.size("sets")).alias("sets"), F.transform("hits", lambda j: j - F.col("first")).alias("ends")), "level")
+        levels.append(known)
+        held.append(level.select("city", "id", "cls").join(known.select("city", "id", "pattern"), ["city", "id"]).select("city", "pattern", "cls"))
+    return ground.told(levels, held if subjects else None) if levels else _none(sequences, subjects)
+
+
+def clospan(sequences: DataFrame, min_rows: int, min_share: float = 0.0, subjects: bool = True) -> DataFrame:
     """The frequent patterns that no larger one of the same support contains."""
-    found = stored(prefixspan(sequences, min_rows, min_share), "patterns")
+    found = stored(prefixspan(sequences, min_rows, min_share, subjects), "patterns")
     return found.join(_without_one(found), ["city", "itemsets", "support"], "left_anti")
 
 
@@ -87,82 +132,86 @@ def _without_one(found: DataFrame) -> DataFrame:
     return at.select("city", F.filter(less, lambda s: F.size(s) > 0).alias("itemsets"), "support").where(F.size("itemsets") > 0).distinct()
 
 
-def _told(levels: list[DataFrame], sequences: DataFrame) -> DataFrame:
-    if not levels:
-        kinds = dict(sequences.dtypes)
-        return sequences.sparkSession.createDataFrame([], f"city {kinds['city']}, itemsets {PATTERN}, support int, subject_ids array<{kinds['seq']}>")
-    rows = levels[0]
-    for x in levels[1:]:
-        rows = rows.unionByName(x)
-    out = rows.groupBy("city", F.col("pattern").alias("itemsets")).agg(F.array_sort(F.collect_list("seq")).alias("subject_ids"))
-    return out.select("city", "itemsets", F.size("subject_ids").alias("support"), "subject_ids")
+def _none(sequences: DataFrame, subjects: bool) -> DataFrame:
+    kinds = dict(sequences.dtypes)
+    ids = f", subject_ids array<{kinds['seq']}>" if subjects else ""
+    return sequences.sparkSession.createDataFrame([], f"city {kinds['city']}, itemsets {PATTERN}, support int{ids}")
 
 
-def spam(sequences: DataFrame, min_rows: int, min_share: float = 0.0) -> DataFrame:
+def spam(sequences: DataFrame, min_rows: int, min_share: float = 0.0, subjects: bool = True) -> DataFrame:
     """The same patterns as ``prefixspan`` by vertical bitmaps over blocks of sequences."""
-    needed = stored(thresholds(sequences, min_rows, min_share), "needed")
-    flat = occurrences(sequences)
-    placed = numbered(flat.select("city", "seq").distinct(), ["city"], ["seq"], "at")
-    kind, city = dict(sequences.dtypes)["seq"], dict(sequences.dtypes)["city"]
-    rows = flat.join(placed, ["city", "seq"]).withColumn("block", F.floor(F.col("at") / BLOCK)).withColumn("at", (F.col("at") % BLOCK).cast("int"))
-    single = rows.groupBy("city", "block", "item").agg(F.collect_list(F.struct("at", F.col("pos").cast("int").alias("pos"))).alias("cells"), F.count_distinct("at").alias("n"))
-    single = stored(single, "bitmaps")
-    width = rows.groupBy("city", "block").agg((F.floor(F.max("pos") / 64) + 1).cast("int").alias("words"))
-    counts = single.groupBy("city", "item").agg(F.sum("n").alias("n")).join(needed, "city").where(F.col("n") >= F.col("needed")).select("city", "item")
-    single = single.join(counts, ["city", "item"], "left_semi").join(width, ["city", "block"])
-    board = stored(single.groupBy("city", "block", "words").agg(F.array_sort(F.collect_list(F.struct("item", "cells"))).alias("items")), "bitmaps")
-    state = f"city {city}, block long, pattern {PATTERN}, n int, bits binary"
-
-    def bitmap(cells, words: int) -> np.ndarray:
-        at, pos = (np.array([c[k] for c in cells]) for k in ("at", "pos"))
-        out = np.zeros((BLOCK, words), dtype=np.uint64)
-        np.bitwise_or.at(out, (at, pos // 64), np.uint64(1) << (pos % 64).astype(np.uint64))
-        return out
-
-    def begin(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for row in batch.itertuples():
-                maps = [bitmap(i["cells"], row.words) for i in row.items]
-                yield pd.DataFrame({"city": row.city, "block": row.block, "pattern": [[[i["item"]]] for i in row.items], "n": [int(m.any(axis=1).sum()) for m in maps], "bits": [m.tobytes() for m in maps]})
-
-    def grow(work: pd.DataFrame, given: pd.DataFrame) -> pd.DataFrame:
-        out: list[tuple] = []
-        if len(work):
-            row = next(given.itertuples(index=False))
-            maps = [(i["item"], bitmap(i["cells"], row.words)) for i in row.items]
-            for city_, block, pattern, _, bits in work.itertuples(index=False):
-                own, pattern = np.frombuffer(bits, np.uint64).reshape(BLOCK, -1), [list(s) for s in pattern]
-                later = after_first(own)
-                for item, of in maps:
-                    ways = [(later, [*pattern, [item]])] + ([(own, [*pattern[:-1], [*pattern[-1], item]])] if item > pattern[-1][-1] else [])
-                    for start, made in ways:
-                        if n := int((hit := start & of).any(axis=1).sum()):
-                            out.append((city_, block, made, n, hit.tobytes()))
-        return pd.DataFrame(out, columns=["city", "block", "pattern", "n", "bits"])
-
-    level, found = stored(board.mapInPandas(begin, state), "level"), []
-    while not level.isEmpty():
-        found.append(level)
-        parts = level.groupBy("city", "block").agg(F.ceil(F.count("*") / HELD).alias("parts"))
-        work = level.join(parts, ["city", "block"]).withColumn("part", F.pmod(F.xxhash64("pattern"), F.col("parts"))).drop("parts")
-        given = board.select("city", "block", "words", "items").join(parts, ["city", "block"]).withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
-        grown = stored(work.groupBy("city", "block", "part").cogroup(given.groupBy("city", "block", "part")).applyInPandas(lambda a, b: grow(a[["city", "block", "pattern", "n", "bits"]], b), state), "grown")
-        enough = grown.groupBy("city", "pattern").agg(F.sum("n").alias("__n")).join(needed, "city").where(F.col("__n") >= F.col("needed")).select("city", "pattern")
-        level = stored(grown.join(enough, ["city", "pattern"], "left_semi"), "level")
-    if not found:
-        return _told([], sequences)
-
-    def members(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            at = [np.flatnonzero(np.frombuffer(b, np.uint64).reshape(BLOCK, -1).any(axis=1)) for b in batch["bits"]]
-            yield batch[["city", "block", "pattern"]].assign(at=at)
-
-    levels = found[0]
-    for x in found[1:]:
-        levels = levels.unionByName(x)
-    told = levels.select("city", "block", "pattern", "bits").mapInPandas(members, f"city {city}, block long, pattern {PATTERN}, at array<long>")
-    seqs = told.select("city", "pattern", "block", F.explode("at").alias("at")).select("city", "pattern", (F.col("at") + F.col("block") * BLOCK).alias("at")).join(placed, ["city", "at"])
-    return _told([seqs.select("city", "pattern", F.col("seq").cast(kind).alias("seq"))], sequences)
+    ground = _Ground(sequences, min_rows, min_share, subjects)
+    city = dict(sequences.dtypes)["city"]
+    placed = numbered(ground.classes, ["city"], ["cls"], "at").withColumn("block", F.floor(F.col("at") / BLOCK)).withColumn("at", (F.col("at") % BLOCK).cast("int"))
+    flat = placed.select("city", "block", "at", "n", F.posexplode("sets").alias("pos", "items")).select("city", "block", "at", "n", "pos", F.explode("items").alias("code"))
+    board = flat.groupBy("city", "block", "code").agg(F.collect_list(F.struct("at", "pos", "n")).alias("cells"))
+    board = stored(board.select("city", "block", "code", *(F.col("cells")[k].alias(k) for k in ("at", "pos", "n"))), "bitmaps")
+    blocks = stored(placed.select("city", "block").distinct(), "blocks")
+
+    def dealt(known: DataFrame):
+        """Some patterns and a block's items, for each group of them."""
+        parts = known.groupBy("city").agg(F.ceil(F.count("*") / HELD).alias("parts"))
+        work = known.join(parts, "city").withColumn("part", F.pmod(F.xxhash64("steps"), F.col("parts"))).join(blocks, "city").select("city", "block", "part", "id", "steps")
+        given = board.join(parts, "city").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))).drop("parts")
+        return work.groupBy("city", "block", "part").cogroup(given.groupBy("city", "block", "part"))
+
+    def count(work: pd.DataFrame, given: pd.DataFrame) -> pd.DataFrame:
+        out: list[pd.DataFrame] = []
+        weights = np.zeros(BLOCK)
+        for own in given.itertuples():
+            weights[own.at] = own.n
+        for rows, bits in _bits(work, given):
+            later = np.stack([after_first(b) if len(s) else np.full_like(b, ~np.uint64(0)) for b, s in zip(bits, rows["steps"], strict=True)])
+            last = np.array([s[-1] >> 1 if len(s) else np.iinfo(np.int32).max for s in rows["steps"]])
+            for own in given.itertuples():
+                of = bitmap(own.at, own.pos, bits.shape[2])
+                for kind, start in ((0, later), (1, bits)):
+                    n = np.bitwise_or.reduce(start & of, axis=2).astype(bool) @ weights
+                    some = (n > 0) & ((kind == 0) | (own.code > last))
+                    out.append(pd.DataFrame({"city": work["city"].iloc[0], "id": rows["id"][some], "step": 2 * own.code + kind, "n": n[some].astype(np.int64)}))
+        return pd.concat(out)
+
+    def members(work: pd.DataFrame, given: pd.DataFrame) -> pd.DataFrame:
+        found = [(i, np.flatnonzero(b.any(axis=1))) for rows, bits in _bits(work, given) for i, b in zip(rows["id"], bits, strict=True)]
+        found = [(work["city"].iloc[0], work["block"].iloc[0], i, at) for i, at in found if len(at)]
+        return pd.DataFrame(found, columns=["city", "block", "id", "at"])
+
+    known, levels, held = ground.root, [], []
+    while True:
+        grown = ground.grown(dealt(known).applyInPandas(count, f"city {city}, id long, step int, n long"), known)
+        if grown.isEmpty():
+            break
+        known = _known(grown)
+        levels.append(known)
+        if subjects:
+            at = dealt(known).applyInPandas(members, f"city {city}, block long, id long, at array<int>").withColumn("at", F.explode("at"))
+            held.append(at.join(placed.select("city", "block", "at", "cls"), ["city", "block", "at"]).join(known, ["city", "id"]).select("city", "pattern", "cls"))
+    return ground.told(levels, held if subjects else None) if levels else _none(sequences, subjects)
+
+
+def bitmap(at: np.ndarray, pos: np.ndarray, words: int) -> np.ndarray:
+    """For each sequence of a block, in words from the lowest on, a bit for each place."""
+    out = np.zeros((BLOCK, words), dtype=np.uint64)
+    np.bitwise_or.at(out, (at, pos // 64), np.uint64(1) << (pos % 64).astype(np.uint64))
+    return out
+
+
+def _bits(work: pd.DataFrame, given: pd.DataFrame) -> Iterator[tuple[pd.DataFrame, np.ndarray]]:
+    """Some patterns at a time with their bits, step by step from those of their items."""
+    words = max(int(own.pos.max()) for own in given.itertuples()) // 64 + 1
+    cells = {own.code: (own.at, own.pos) for own in given.itertuples()}
+    size = max(1, WORDS // (BLOCK * words))
+    item = lru_cache(maxsize=size)(lambda code: bitmap(*cells[code], words))
+    for k in range(0, len(work), size):
+        rows, made = work.iloc[k : k + size], []
+        for steps in rows["steps"]:
+            # the pattern without items ends before every sequence
+            bits = np.zeros((BLOCK, words), dtype=np.uint64)
+            for j, step in enumerate(steps):
+                start = (after_first(bits) if step % 2 == 0 else bits) if j else ~bits
+                bits = start & item(step >> 1) if step >> 1 in cells else np.zeros_like(bits)
+            made.append(bits)
+        yield rows, np.stack(made)
 
 
 def after_first(bits: np.ndarray) -> np.ndarray:
@@ -182,10 +231,10 @@ def after_first(bits: np.ndarray) -> np.ndarray:
 MINERS = {"prefixspan": prefixspan, "spam": spam, "clospan": clospan}
 
 
-def patterns(sequences: DataFrame, min_rows: int, miner: str = "prefixspan", min_offsets: int = 1, min_share: float = 0.0) -> DataFrame:
-    """(city, pattern_id, pattern_string, itemsets, support, subject_ids) by one of ``MINERS``, as ``mining.patterns`` has them."""
+def patterns(sequences: DataFrame, min_rows: int, miner: str = "prefixspan", min_offsets: int = 1, min_share: float = 0.0, subjects: bool = True) -> DataFrame:
+    """(city, pattern_id, pattern_string, itemsets, support, subject_ids) by one of ``MINERS``, as ``mining.patterns`` has them; without ``subjects`` the ids are left out."""
     if miner not in MINERS:
         raise ValueError(f"unknown miner: {miner}")
-    found = MINERS[miner](sequences, min_rows, min_share).where(F.size("itemsets") >= min_offsets)
+    found = MINERS[miner](sequences, min_rows, min_share, subjects).where(F.size("itemsets") >= min_offsets)
     rows = numbered(found, ["city"], ["itemsets"], "pattern_id")
-    return rows.select("city", F.col("pattern_id").cast("int").alias("pattern_id"), pattern_string(F.col("itemsets")).alias("pattern_string"), "itemsets", "support", "subject_ids")
+    return rows.select("city", F.col("pattern_id").cast("int").alias("pattern_id"), pattern_string(F.col("itemsets")).alias("pattern_string"), "itemsets", "support", *(["subject_ids"] if subjects else []))

@@ -695,7 +695,7 @@ def weeks_of(spark, sf_dir) -> DataFrame:
 
 def sequential(name: str, miner: str, sql: str) -> None:
     def run(spark, sf_dir):
-        found = sequences.patterns(weeks_of(spark, sf_dir), 2, miner, min_share=0.25)
+        found = sequences.patterns(weeks_of(spark, sf_dir), 2, miner, min_share=0.25, subjects=False)
         return found.select(F.col("city").alias("week"), "pattern_string", F.col("support").cast("long").alias("support"))
 
     run.__name__ = name

@@ -86,6 +86,30 @@ def test_patterns_of_windows_are_their_frequent_sets(spark):
     assert {r["pattern_string"] for r in sequences.patterns(lines, 3, "clospan").collect()} == {r["pattern_string"] for r in whole.collect()}
 
 
+def test_copies_of_sequences_are_mined_once(spark, monkeypatch):
+    """Neither rows nor bits are written for each copy, and supports count all copies."""
+    rows, kinds, keep = [], set(), sequences.stored
+
+    def counted(df, name="step"):
+        out = keep(df, name)
+        rows.append(out.count())
+        kinds.update(k for _, k in df.dtypes)
+        return out
+
+    monkeypatch.setattr(sequences, "stored", counted)
+    own = [[["a", "b"], ["c"]], [["a"], ["c"]], [["b"], [], ["c", None]]]
+    for miner in (sequences.prefixspan, sequences.spam):
+        told = {}
+        for copies in (1, 9):
+            rows.clear()
+            found = miner(frame(spark, {"x": {len(own) * k + i: s for k in range(copies) for i, s in enumerate(own)}}), 1, 0.6, subjects=False).collect()
+            told[copies] = sum(rows), {tuple(map(tuple, r["itemsets"])): r["support"] for r in found}
+        assert told[1][0] == told[9][0]
+        assert told[1][1] == {(("a",),): 2, (("b",),): 2, (("c",),): 3, (("a",), ("c",)): 2, (("b",), ("c",)): 2}
+        assert told[9][1] == {p: 9 * n for p, n in told[1][1].items()}
+    assert "binary" not in kinds
+
+
 def test_bits_after_the_first():
     rng = np.random.default_rng(1)
     bits = rng.integers(0, 2**63, (200, 3), dtype=np.uint64) & rng.integers(0, 2**63, (200, 3), dtype=np.uint64) & rng.integers(0, 2**63, (200, 3), dtype=np.uint64)
